@@ -10,8 +10,8 @@ from tidelag.plans import problems
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": problems.p2_found}
+    return {f.__name__: f for f in (problems.p2_found, problems.p3_found, problems.p3_observed)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(problems.ORACLE)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelag.functions.dates import parsed
-from tidelag.operators import spikes
+from tidelag.operators import grid, spikes
 from tidelag.shared import quoted, table
 
 FLOW = "S12.C.D.S333"
@@ -31,3 +32,42 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every implausible reading of the three tables."""
     return flags(spark, d).select("table_name", "reading_id").distinct()
+
+
+def weekly(spark: SparkSession, d: str) -> DataFrame:
+    flow = table(spark, d, "sumflow").select("gauge_id", "reading_id", parsed(quoted("Date")).alias("at"), quoted(FLOW).alias("flow"))
+    w = grid.regular(flow, "gauge_id", "at", "flow", "reading_id")
+    return w.withColumn("week_start", F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (F.col("step") * 7 + grid.MONDAY).cast("int")), "yyyy-MM-dd"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Weeks without a reading between the first and the last reading of each gauge."""
+    return weekly(spark, d).where("status <> 'observed'").select("gauge_id", "week_start")
+
+
+def p3_observed(spark: SparkSession, d: str) -> DataFrame:
+    """Weeks with a reading, with the last one's flow unchanged."""
+    return weekly(spark, d).where("status = 'observed'").select("gauge_id", "week_start", F.col("value").alias("flow"), "n_readings")
+
+
+#: Readings of sumflow with their time in microseconds; the notations are those that the table holds.
+_FLOW_SQL = """u AS (SELECT reading_id, gauge_id, "S12.C.D.S333" AS v, translate(trim("Date", ' '), '/', '-') AS u FROM sumflow),
+x AS (SELECT reading_id, gauge_id, v, CASE
+  WHEN regexp_full_match(u, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(u AS TIMESTAMP)
+  WHEN regexp_full_match(u, '[0-9]{8}') THEN try_strptime(u, '%Y%m%d')
+  WHEN regexp_full_match(u, '[0-9]{2}-[A-Za-z]{3}-[0-9]{4}') THEN try_strptime(u, '%d-%b-%Y')
+  WHEN regexp_full_match(u, '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}') THEN try_strptime(u, '%Y-%m-%d %H:%M')
+  WHEN regexp_full_match(u, '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}') THEN try_strptime(u, '%Y-%m-%d %H:%M:%S')
+  WHEN regexp_full_match(u, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') THEN try_strptime(u, '%Y-%m-%dT%H:%M:%SZ')
+  WHEN regexp_full_match(u, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[+-][0-9]{2}:[0-9]{2}')
+    THEN try_strptime(left(u, 19), '%Y-%m-%dT%H:%M:%S') - (CASE WHEN u[20] = '-' THEN -1 ELSE 1 END) * to_minutes(60 * u[21:22]::INT + u[24:25]::INT) END AS t FROM u),
+r AS (SELECT *, floor((epoch_us(t) / 1000000 + 259200) / 604800)::BIGINT AS w FROM x WHERE t IS NOT NULL AND v IS NOT NULL AND NOT isnan(v))"""
+
+ORACLE = {
+    "p3_found": f"""WITH {_FLOW_SQL},
+e AS (SELECT gauge_id, unnest(range(min(w), max(w) + 1)) AS w FROM r GROUP BY 1)
+SELECT gauge_id, strftime(DATE '1969-12-29' + (7 * w)::INT, '%Y-%m-%d') AS week_start FROM e ANTI JOIN r USING (gauge_id, w)""",
+    "p3_observed": f"""WITH {_FLOW_SQL}
+SELECT gauge_id, strftime(DATE '1969-12-29' + (7 * w)::INT, '%Y-%m-%d') AS week_start, arg_max(v, (t, reading_id, v)) AS flow, count(DISTINCT (t, reading_id)) AS n_readings
+FROM r GROUP BY gauge_id, w""",
+}
