@@ -196,3 +196,73 @@ def ccm_matrix(df: DataFrame, columns, E, lib_sizes=None, p_lib_sizes=(10, 20, 8
 
     out = packed.mapInPandas(run, "series string, source string, target string, lib_size int, rho double")
     return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+
+
+def ccm_projected(df: DataFrame, columns, target, lib_sizes, sample: int = 30, E: int = 1, Tp: int = 0, knn: int = 0, tau: int = -1, radius: int = 0, seed=None, embedded: bool = False, time=None, series=None, order=()) -> DataFrame:
+    """series, direction, lib_size, sample, rho, MAE, CAE, RMSE: cross mapping by simplex projection of all rows.
+
+    The older form: the library is a random draw of the library rows, every row is predicted by projection with the
+    least distance floored, the forecasts are moved Tp rows on and compared with what was observed there (skill
+    rounded to five places). Both directions draw from the same stream, one library size after the other.
+    """
+    from tidelag.functions.skill import LEAST_ERROR
+    from tidelag.operators.simplex import FLOOR
+
+    columns, target, sizes = name_list(columns), name_list(target), library_sizes(lib_sizes)
+    if embedded:
+        E = max(len(columns), len(target))
+    base, alias = numbered(df, [*columns, *target], time, series, order)
+    shifts = [0] if embedded else [d * tau for d in range(E)]
+
+    def side(own: list[str], other: list[str]) -> DataFrame:
+        x = F.array(*(shifted(alias[c], s) for s in shifts for c in own))
+        rows = base.select("series", "row", "n", x.alias("x"), F.coalesce(alias[other[0]], F.lit(float("nan"))).alias("y"))
+        rows = rows.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("row", "x", "y"))).alias("l"))
+        nan = lambda v: F.coalesce(v, F.lit(float("nan")))
+        return rows.select("series", F.lit(f"{own[0]}:{other[0]}").alias("direction"), F.lit(len(own)).alias("m"), F.transform(F.flatten("l.x"), nan).alias("x"), F.col("l.y").alias("y"))
+
+    both = side(columns, target).unionByName(side(target, columns)).repartition(2, "series", "direction")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                y = np.asarray(r.y, float)
+                n = len(y)
+                x = np.asarray(r.x, float).reshape(n, -1)
+                whole = np.isfinite(x).all(axis=1)
+                lo = 0 if embedded or tau > 0 else abs(tau) * (E - 1)
+                hi = n if embedded or tau < 0 else n - abs(tau) * (E - 1)
+                rows = np.arange(n)
+                lib = rows[whole & (rows >= lo + (max(0, -Tp - 1) if not embedded else 0)) & (rows < hi - max(0, Tp)) & (rows + Tp >= 0) & (rows + Tp < n)]
+                k = knn or x.shape[1] + 1
+                rng = np.random.default_rng(seed)
+                for size in sizes:
+                    out = []
+                    for s in range(sample):
+                        some = np.sort(rng.choice(lib, size=min(size, len(lib)), replace=False)) if len(lib) else lib
+                        made = np.full(n, np.nan)
+                        q = rows[whole]
+                        if len(some):
+                            d = np.sqrt(((x[q, None, :] - x[None, some, :]) ** 2).sum(axis=2))
+                            d[np.abs(q[:, None] - some[None, :]) <= radius] = np.inf
+                            o = np.argsort(d, axis=1, kind="stable")[:, :k]
+                            d = np.take_along_axis(d, o, 1)
+                            with np.errstate(all="ignore"):
+                                w = np.where(np.isfinite(d), np.exp(-d / np.maximum(d[:, :1], FLOOR)), 0.0)
+                                made[q] = (w * np.where(w > 0, y[some[o] + Tp], 0.0)).sum(axis=1) / w.sum(axis=1)
+                        moved = np.full(n, np.nan)
+                        if Tp >= 0:
+                            moved[Tp:] = made[: n - Tp]
+                        else:
+                            moved[:Tp] = made[-Tp:]
+                        ok = np.isfinite(moved) & np.isfinite(y)
+                        e = y[ok] - moved[ok]
+                        stats = [np.nan] * 4
+                        if ok.sum() >= LEAST_ERROR:
+                            with np.errstate(all="ignore"):
+                                stats = [np.round(v, 5) for v in (np.corrcoef(y[ok], moved[ok])[0, 1], e.max(), np.abs(e).sum(), np.sqrt((e * e).mean()))]
+                        out.append([r.series, r.direction, size, s, *stats])
+                    yield pd.DataFrame(out, columns=["series", "direction", "lib_size", "sample", "rho", "MAE", "CAE", "RMSE"]).astype({"lib_size": "int32", "sample": "int32"})
+
+    made = both.mapInPandas(run, "series string, direction string, lib_size int, sample int, rho double, MAE double, CAE double, RMSE double")
+    return made.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if k == "double" else F.col(c) for c, k in made.dtypes))

@@ -12,7 +12,7 @@ BLOCK = 512
 
 
 def pairs(p: Prepared) -> DataFrame:
-    """Candidate pairs: series, task, blk, p, l, dist, y, k; library rows within the exclusion radius are left out.
+    """Candidate pairs: series, task, blk, p, l, dist, y, obs, k; library rows within the exclusion radius are left out.
 
     Both sides meet on (series, task, block), which spreads one long series over many tasks and lets the ranking run
     where the join left the rows.
@@ -20,12 +20,12 @@ def pairs(p: Prepared) -> DataFrame:
     spark = p.vectors.sparkSession
     x = [f"x{i}" for i in range(p.width)]
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
-    pred = p.vectors.where("is_pred").select("series", "task", F.floor(F.col("row") / BLOCK).cast("int").alias("blk"), F.col("row").alias("p"), *(F.col(a).alias(f"p{a}") for a in x), "r", "k")
+    pred = p.vectors.where("is_pred").select("series", "task", F.floor(F.col("row") / BLOCK).cast("int").alias("blk"), F.col("row").alias("p"), *(F.col(a).alias(f"p{a}") for a in x), "obs", "r", "k")
     pred = pred.repartition(parts, "series", "task", "blk")
     lib = p.vectors.where("is_lib").select("series", "task", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))).alias("blk"), F.col("row").alias("l"), *x, "y")
     d = sum(((F.col(f"p{a}") - F.col(a)) * (F.col(f"p{a}") - F.col(a)) for a in x), F.lit(0.0))
     joined = pred.join(lib, ["series", "task", "blk"]).where(F.abs(F.col("p") - F.col("l")) > F.col("r"))
-    return joined.select("series", "task", "blk", "p", "l", F.sqrt(d).alias("dist"), "y", "k")
+    return joined.select("series", "task", "blk", "p", "l", F.sqrt(d).alias("dist"), "y", "obs", "k")
 
 
 def nearest(p: Prepared) -> DataFrame:

@@ -140,6 +140,22 @@ def pred_rows(t: Task) -> Column:
     return out
 
 
+def obs_rows(t: Task) -> Column:
+    """Whether the row a prediction lands on has an observation to compare it with.
+
+    Rows reached beyond a span have none if any of them lies outside the series.
+    """
+    out = F.lit(False)
+    for p in t.pred or (None,):
+        a, b = (F.lit(p[0] - 1), F.lit(p[1] - 1)) if p else (F.lit(0), F.col("n") - 1)
+        if not t.embedded:
+            a, b = (F.greatest(a, F.lit(t.shift)), b) if t.tau < 0 else (a, F.least(b, F.col("n") - 1 - t.shift))
+        at = F.col("row") + t.tp
+        seen = (at <= b) | (b + t.tp < F.col("n")) if t.tp > 0 else (at >= a) | (a + t.tp >= 0)
+        out = out | (F.col("row").between(a, b) & seen)
+    return out
+
+
 @dataclass
 class Prepared:
     """A numbered series table with everything a set of tasks needs beside each row."""
@@ -152,7 +168,7 @@ class Prepared:
 
 
 def prepared(df: DataFrame, tasks: list[Task], time: str | None = None, series: str | None = None, order: Sequence[str] = (), also: Iterable[str] = ()) -> Prepared:
-    """Base rows, and ``vectors``: series, row, n, task, is_lib, is_pred, x0..., y, r, k for every task and row of use."""
+    """Base rows, and ``vectors``: series, row, n, task, is_lib, is_pred, x0..., y, obs, r, k for every task and row of use."""
     valid = {v: f"v{i}" for i, v in enumerate(dict.fromkeys(t.valid for t in tasks if t.valid))}
     columns = [c for t in tasks for c, _ in t.dims] + [t.target for t in tasks] + list(also)
     base, alias = numbered(df, columns, time, series, order, {a: F.expr(v) for v, a in valid.items()})
@@ -162,24 +178,31 @@ def prepared(df: DataFrame, tasks: list[Task], time: str | None = None, series:
     y_name = {x: f"y{i}" for i, x in enumerate(ys)}
     base = base.select("*", *(shifted(alias[c], s).alias(d_name[c, s]) for c, s in dims), *(shifted(alias[c], s).alias(y_name[c, s]) for c, s in ys))
     width = max(len(t.dims) for t in tasks)
-    each = []
-    for i, t in enumerate(tasks):
-        whole = F.lit(True)
-        for x in t.dims:
-            whole = whole & F.col(d_name[x]).isNotNull()
-        ok = F.coalesce(F.col(valid[t.valid]).cast("boolean"), F.lit(False)) if t.valid else F.lit(True)
-        each.append(
-            F.struct(
-                F.lit(i).alias("task"),
-                (lib_rows(t) & whole & ok).alias("is_lib"),
-                (pred_rows(t) & whole).alias("is_pred"),
-                *(F.col(d_name[t.dims[j]]).alias(f"x{j}") if j < len(t.dims) else F.lit(0.0).alias(f"x{j}") for j in range(width)),
-                F.col(y_name[t.target, t.tp]).alias("y"),
-                F.lit(t.radius).alias("r"),
-                F.lit(t.knn).alias("k"),
-            )
-        )
-    v = base.select("series", "row", "n", F.explode(F.array(*each)).alias("t")).select("series", "row", "n", "t.*").where("is_lib OR is_pred")
+    # the tasks differ in a few distinct parts only: each part is worked out once a row and looked up by task
+
+    def parts(keys: list, make) -> tuple[Column, Column]:
+        """An array of the distinct parts, and the task's place in it."""
+        distinct = list(dict.fromkeys(keys))
+        first = {k: keys.index(k) for k in distinct}
+        return F.array(*(make(tasks[first[k]]) for k in distinct)), chosen([distinct.index(k) for k in keys])
+
+    def chosen(values: list) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("task") + 1)
+
+    rule = lambda t: (t.tp, t.tau, t.e, t.embedded)
+    ok = lambda t: F.coalesce(F.col(valid[t.valid]).cast("boolean"), F.lit(False)) if t.valid else F.lit(True)
+    kinds = {
+        "is_lib": parts([(t.lib, t.valid, rule(t)) for t in tasks], lambda t: lib_rows(t) & ok(t)),
+        "is_pred": parts([t.pred for t in tasks], pred_rows),
+        "seen": parts([(t.pred, rule(t)) for t in tasks], obs_rows),
+        "y": parts([(t.target, t.tp) for t in tasks], lambda t: F.col(y_name[t.target, t.tp])),
+    }
+    every = F.array(*(F.col(d_name[x]) for x in dims), F.lit(0.0))
+    slots = [[dims.index(t.dims[j]) if j < len(t.dims) else len(dims) for t in tasks] for j in range(width)]
+    v = base.select("series", "row", "n", every.alias("d"), *(a.alias(k) for k, (a, _) in kinds.items()), F.explode(F.array(*map(F.lit, range(len(tasks))))).alias("task"))
+    v = v.select("series", "row", "n", "task", *(F.get("d", chosen(slot)).alias(f"x{j}") for j, slot in enumerate(slots)), *(F.get(k, at).alias(k) for k, (_, at) in kinds.items()), chosen([t.radius for t in tasks]).alias("r"), chosen([t.knn for t in tasks]).alias("k"))
+    v = v.where("is_lib OR is_pred").where(" AND ".join(f"x{j} IS NOT NULL" for j in range(width)))
+    v = v.withColumn("obs", F.when(F.col("seen"), F.col("y"))).drop("seen")
     return Prepared(base, tasks, alias, width, v)
 
 

@@ -15,7 +15,7 @@ FLOOR = 1e-6
 
 
 def weighted(near: DataFrame, keys: Sequence[str] = ("series", "task", "blk", "p"), y: str = "y") -> DataFrame:
-    """series, task, p, n_near, predicted and variance of every row with a neighbour.
+    """series, task, p, n_near, obs, predicted and variance of every row with a neighbour.
 
     A neighbour without a target makes the prediction null.
     """
@@ -26,15 +26,16 @@ def weighted(near: DataFrame, keys: Sequence[str] = ("series", "task", "blk", "p
         F.count("*").alias("n_near"),
         F.count(y).alias("n_y"),
         F.max("m").alias("m"),
+        F.max("obs").alias("obs"),
         (F.sum(F.col("w") * (F.col(y) - F.col("m")) * (F.col(y) - F.col("m"))) / F.sum("w")).alias("v"),
     )
     whole = F.col("n_y") == F.col("n_near")
-    return g.select(*keys, "n_near", F.when(whole, F.col("m")).alias("predicted"), F.when(whole, F.col("v")).alias("variance"))
+    return g.select(*keys, "n_near", "obs", F.when(whole, F.col("m")).alias("predicted"), F.when(whole, F.col("v")).alias("variance"))
 
 
 def forecasts(p: Prepared) -> DataFrame:
     """series, task, p (the row predicted from), predicted, variance."""
-    return weighted(nearest(p)).select("series", "task", "p", "n_near", "predicted", "variance")
+    return weighted(nearest(p)).select("series", "task", "p", "n_near", "obs", "predicted", "variance")
 
 
 def segments(t: Task):
