@@ -47,8 +47,14 @@ def cross_mapped(x: np.ndarray, time: np.ndarray, y: np.ndarray, lib: np.ndarray
             d2 += off * off
         d = np.sqrt(d2)
         d[np.abs(time[q, None] - time[None, lib]) <= radius] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(lib) else np.broadcast_to(np.arange(len(lib)), d.shape)
+        near = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1) if k < len(lib) else np.broadcast_to(np.arange(len(lib)), d.shape)
         dist = np.take_along_axis(d, near, 1)
+        # where the k-th distance occurs again beyond the k chosen, the earlier library rows are taken
+        tied = (d <= dist.max(axis=1, keepdims=True)).sum(axis=1) > k
+        if tied.any():
+            near = np.array(near)
+            near[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+            dist = np.take_along_axis(d, near, 1)
         o = np.argsort(dist, axis=1, kind="stable")
         near, dist = np.take_along_axis(near, o, 1), np.take_along_axis(dist, o, 1)
         full = np.isfinite(dist[:, -1])

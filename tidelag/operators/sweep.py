@@ -155,7 +155,7 @@ def embed_dim_columns(df, columns, target=None, max_e=15, min_e=1, lib=None, pre
         known = known.withColumn("next", F.lead("rho").over(w)).where(F.col("next").isNull() | (F.col("next") < F.col("rho")))
         best = known.groupBy(*keys).agg(F.min(F.struct("E", "rho")).alias("b"))
     else:
-        best = s.where("rho IS NOT NULL").groupBy(*keys).agg(F.max(F.struct("rho", (-F.col("E")).alias("e"), "E")).alias("b"))
+        best = s.where("rho IS NOT NULL").groupBy(*keys).agg(F.max(F.struct("rho", (-F.col("E")).alias("smaller"), "E")).alias("b"))
     every = s.select(*keys).distinct()
     return every.join(best, keys, "left").select(*keys, F.coalesce("b.E", F.lit(0)).alias("E"), F.bround("b.rho", 4).cast("float").alias("rho"))
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelag.plans import problems
+from tidelag.plans import edm, problems
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (problems.p2_found, problems.p3_found, problems.p3_observed)}
+    return {**edm.QUERIES, **{f.__name__: f for f in (problems.p2_found, problems.p3_found, problems.p3_observed)}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.ORACLE)
+    return {**edm.ORACLE, **problems.ORACLE}
