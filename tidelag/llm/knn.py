@@ -181,9 +181,10 @@ def nearest(
     :param width, threshold: a window reaches ``width`` times as far as the verified distances must; a vector is
         verified if it falls into ``threshold`` windows (all if None). With 1 and None the result is exact; less
         of either is faster in many dimensions and may lose some.
-    :returns: ``members`` (the least k+1 keys with this vector), ``d2`` and ``ids``: squared distances and keys of the
+    :returns: ``x0``, ``x1``, ... (the vector), ``members`` (the least k+1 keys with this vector), ``d2`` and ``ids``: squared distances and keys of the
         k+1 nearest rows in order of distance, then key. A member's own neighbours are this list without itself. A
-        row beyond the least k+1 of its vector has the first k members as neighbours. Empty tables give no rows.
+        row beyond the least k+1 of its vector has the first k members as neighbours (:func:`neighbours_of`). Empty tables
+        give no rows.
 
     Equal vectors are one point, so that no number of copies makes a block large. Blocks are cut by medians along
     the projections, fitted on at most FIT_ROWS vectors; each vector is first searched in its own block, which bounds
@@ -252,8 +253,8 @@ def nearest(
 
     met = points.groupBy("b").cogroup(visits.groupBy("b")).applyInPandas(away, "id bigint, d2 array<double>, ids array<bigint>")
     gathered = met.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("d2", "ids"))).alias("more"))
-    all_ = first.join(gathered, "id", "left").select("members", F.when(F.col("more").isNull(), F.arrays_zip("d2", "ids")).otherwise(F.slice(F.array_sort(F.concat(F.arrays_zip("d2", "ids"), "more")), 1, top)).alias("z"))
-    return all_.select("members", F.col("z.d2").alias("d2"), F.col("z.ids").alias("ids"))
+    all_ = first.join(gathered, "id", "left").select(*xs, "members", F.when(F.col("more").isNull(), F.arrays_zip("d2", "ids")).otherwise(F.slice(F.array_sort(F.concat(F.arrays_zip("d2", "ids"), "more")), 1, top)).alias("z"))
+    return all_.select(*xs, "members", F.col("z.d2").alias("d2"), F.col("z.ids").alias("ids"))
 
 
 def neighbour_rows(lists: DataFrame, k: int) -> DataFrame:
@@ -263,6 +264,17 @@ def neighbour_rows(lists: DataFrame, k: int) -> DataFrame:
     return each.select("id", F.posexplode("z").alias("rank", "n")).select("id", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("n.ids").alias("neighbour"), F.sqrt("n.d2").alias("distance"))
 
 
+def neighbours_of(queries: DataFrame, lists: DataFrame, key: str, columns: Sequence[str], k: int) -> DataFrame:
+    """``id``, ``rank``, ``neighbour`` and ``distance`` of the rows of ``queries``, found through their vectors in ``lists``.
+
+    Query rows whose vector isn't in the lists have no row; repeated ones count once.
+    """
+    xs = [f"x{i}" for i in range(len(columns))]
+    rows = queries.select(quoted(key).cast("bigint").alias("id"), *((quoted(c).cast("double") + 0.0).alias(a) for a, c in zip(xs, columns))).where("id IS NOT NULL").distinct()
+    each = rows.join(lists, xs).select("id", F.arrays_zip("ids", "d2").alias("z")).select("id", F.slice(F.filter("z", lambda x: x["ids"] != F.col("id")), 1, k).alias("z"))
+    return each.select("id", F.posexplode("z").alias("rank", "n")).select("id", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("n.ids").alias("neighbour"), F.sqrt("n.d2").alias("distance"))
+
+
 def mutual(lists: DataFrame, k: int) -> DataFrame:
     """``a`` and ``b`` (a < b): rows each of which is among the k nearest of the other."""
     n = neighbour_rows(lists, k).select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"))

@@ -34,8 +34,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every row whose id is divisible by 100, against all rows."""
-    n = knn.neighbour_rows(knn.nearest(table(spark, d, "block_3sp"), "row_id", LAGS, 5, 9000.0), 5)
-    return n.where("id % 100 = 0").select(F.col("id").alias("row_id"), "rank", "neighbour", F.round("distance", 9).alias("distance"))
+    rows = table(spark, d, "block_3sp")
+    n = knn.neighbours_of(rows.where("row_id % 100 = 0"), knn.nearest(rows, "row_id", LAGS, 5, 9000.0), "row_id", LAGS, 5)
+    return n.select(F.col("id").alias("row_id"), "rank", "neighbour", F.round("distance", 9).alias("distance"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
