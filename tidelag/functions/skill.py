@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 LEAST_ERROR, LEAST_PEARSON = 5, 3
 
 
+def correlation(o: Column, q: Column) -> Column:
+    """Aggregate: correlation of the pairs without a null; null where either side does not vary (in ANSI mode too)."""
+    return F.try_divide(F.covar_pop(o, q), F.stddev_pop(o) * F.stddev_pop(q))
+
+
 def errors(df: DataFrame, keys: Sequence[str] = (), obs: str = "Observations", pred: str = "Predictions", digits: int = 6) -> DataFrame:
     """rho, MAE, CAE and RMSE of each group over the pairs without a missing value.
 
@@ -22,7 +27,7 @@ def errors(df: DataFrame, keys: Sequence[str] = (), obs: str = "Observations", p
     e = o - q
     n = F.count(e)
     some = lambda c: F.when(n >= LEAST_ERROR, F.bround(c, digits))
-    return df.groupBy(*keys).agg(some(F.corr(o, q)).alias("rho"), some(F.max(e)).alias("MAE"), some(F.sum(F.abs(e))).alias("CAE"), some(F.sqrt(F.avg(e * e))).alias("RMSE"))
+    return df.groupBy(*keys).agg(some(correlation(o, q)).alias("rho"), some(F.max(e)).alias("MAE"), some(F.sum(F.abs(e))).alias("CAE"), some(F.sqrt(F.avg(e * e))).alias("RMSE"))
 
 
 def pearson(o: Column, q: Column) -> Column:
@@ -31,7 +36,7 @@ def pearson(o: Column, q: Column) -> Column:
     o, q = F.when(ok, o), F.when(ok, q)
     n = F.count(o)
     flat = (F.var_pop(o) == 0) | (F.var_pop(q) == 0)
-    return F.when(n < LEAST_PEARSON, None).when(flat, 0.0).otherwise(F.corr(o, q))
+    return F.when(n < LEAST_PEARSON, None).when(flat, 0.0).otherwise(correlation(o, q))
 
 
 def slope(df: DataFrame, keys: Sequence[str], lib_size: str, rho: str, rows: float) -> DataFrame:
