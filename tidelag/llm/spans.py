@@ -76,8 +76,8 @@ def parse(code: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.n
             a, b = cs.copy(), ce.copy()
             a[0] = min(a[0], s[0] - 1) if sees_left[0] else a[0]
             b[-1] = max(b[-1], e[-1] + 1) if sees_right[-1] else b[-1]
-            differs_left = code[e[1:]] != code[e[:-1]] if runs else False
-            differs_right = code[s[:-1]] != code[s[1:]] if runs else False
+            differs_left = code[e[1:]] != code[e[:-1]] if runs else np.zeros(m - 1, bool)
+            differs_right = code[s[:-1]] != code[s[1:]] if runs else np.zeros(m - 1, bool)
             near = s[1:] - 1
             lo = np.where(same_doc & ~differs_left, cs[:-1], near)
             hi = np.where(same_doc & ~differs_left, ce[:-1], near)
