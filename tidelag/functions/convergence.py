@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelag.shared import ship
+
 
 def _linear(x: np.ndarray, y: np.ndarray, a: float) -> float:
     """Least squared error over y0 and b in [0, 1] for a given rate."""
@@ -50,6 +52,7 @@ def rate(x: np.ndarray, y: np.ndarray) -> float:
 
 def rates(df: DataFrame, keys: Sequence[str], lib_size: str, rho: str, rows: float) -> DataFrame:
     """``keys`` and ``exp_a`` of each group of (lib_size, rho); null where it can't be told."""
+    ship(df.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

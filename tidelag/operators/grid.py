@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.shared import number, quoted, written
+from tidelag.shared import number, quoted, ship, written
 
 #: Grid steps of one block of the source-by-time matrix; a source's part of a block is one row of it.
 BLOCK = 4096
@@ -84,6 +84,7 @@ def regular(
     :returns: source, step (BIGINT number), start (TIMESTAMP), value, status, n_readings (rows that repeat a reading
         key at the same time count once). A null source is a source of its own; an empty table gives no rows.
     """
+    ship(df.sparkSession)
     at = F.floor((F.unix_micros(quoted(time)) - F.lit(origin * 1_000_000)) / F.lit(step * 1_000_000))
     rows = df.select(quoted(source).alias("src"), F.unix_micros(quoted(time)).alias("t"), quoted(key).alias("id"), number(quoted(value)).alias("v"), at.alias("step")).where("t IS NOT NULL AND v IS NOT NULL")
     cells = rows.groupBy("src", "step", "t", "id").agg(F.max("v").alias("v")).groupBy("src", "step").agg(F.max(F.struct("t", "id", "v")).alias("last"), F.count("*").alias("n"))

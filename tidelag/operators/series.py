@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.shared import number, quoted
+from tidelag.shared import number, quoted, ship
 
 Spans = tuple[tuple[int, int], ...]
 
@@ -87,6 +87,7 @@ def numbered(df: DataFrame, columns: Iterable[str], time: str | None = None, ser
 
     Rows are ordered by ``order`` if given, else by ``time``; a table has no other order. NaN becomes null.
     """
+    ship(df.sparkSession)
     columns = list(dict.fromkeys(columns))
     missing = [c for c in columns if c not in df.columns]
     if missing:
