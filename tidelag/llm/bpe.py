@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.shared import quoted
+from tidelag.shared import quoted, ship
 
 FOLDER = "/opt/tokenizers"
 BYTE_BPE_50K = f"{FOLDER}/byte_bpe_50k.tiktoken"
@@ -116,6 +116,7 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
     No shuffle; rows with a repeated or null key are kept as they are. Texts are encoded whole.
     """
+    ship(df.sparkSession)
     rows = df.select(quoted(key).alias("k"), quoted(text).cast("string").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +133,7 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` (BIGINT) of every row; null and empty texts have 0."""
+    ship(df.sparkSession)
     names = [f"k{i}" for i in range(len(keep))]
     rows = df.select(*(quoted(c).alias(a) for a, c in zip(names, keep)), quoted(text).cast("string").alias("x"))
 
@@ -147,6 +149,7 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str =
 
 def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = BYTE_BPE_50K) -> DataFrame:
     """``key`` and ``text`` of every row of ids; a null or empty array gives the empty text."""
+    ship(df.sparkSession)
     rows = df.select(quoted(key).alias("k"), quoted(ids).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.shared import quoted, written
+from tidelag.shared import quoted, ship, written
 
 #: Vectors the block boundaries are fitted on, at most; every vector is put into a block.
 FIT_ROWS = 200_000
@@ -190,6 +190,7 @@ def nearest(
     the projections, fitted on at most FIT_ROWS vectors; each vector is first searched in its own block, which bounds
     how far its neighbours can be, and then only in those blocks that its window touches.
     """
+    ship(df.sparkSession)
     dims, top = len(columns), k + 1
     m = projections or min(2 * dims, dims + 3)
     threshold = m if threshold is None else threshold

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.shared import quoted, written
+from tidelag.shared import quoted, ship, written
 
 #: Distinct values of one score in one group that a single ordered task takes; larger groups are cut into bins.
 BIN_ROWS = 1 << 20
@@ -128,6 +128,7 @@ def majority_winners(flows: DataFrame, group: str, item: str, scores: Mapping[st
     stand for election. One pass keeps the survivor of each group (an item that beats all others survives in any
     order, so the survivors of parts merge), and a second compares it with all items of its group.
     """
+    ship(flows.sparkSession)
     names = list(scores)
     sign = [1.0 if scores[c] > 0 else -1.0 for c in names]
     rows = flows.select(quoted(group).alias("g"), quoted(item).alias("i"), *((quoted(c) * s).alias(f"v{k}") for k, (c, s) in enumerate(zip(names, sign))), quoted("net_flow").alias("f"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.shared import quoted, written
+from tidelag.shared import quoted, ship, written
 
 U = np.uint64
 ROUNDS = 9
@@ -193,6 +193,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     """
     if least < 1:
         raise ValueError("least must be positive")
+    ship(df.sparkSession)
     docs = df.select(quoted(key).alias("k"), quoted(text).cast("string").alias("x")).where(F.col("k").isNotNull() & (F.length("x") >= least))
     kind = docs.schema["k"].dataType.simpleString()
 
