@@ -140,7 +140,7 @@ def test_equal_windows_have_equal_keys():
         al = rng.choice(["ab", "abcd", "abcdefghijklmnop "])
         base = ["".join(rng.choice(al) for _ in range(rng.randint(30, 120))) for _ in range(4)] + ["a" * 70]
         texts = ["".join(b[rng.randint(0, len(b)) :][: rng.randint(1, 80)] for b in rng.choices(base, k=3)) for _ in range(8)]
-        of, x0, x1, key, _, _ = spans.ranges(texts, least, rounds)
+        of, x0, x1, key = spans.ranges(texts, least, rounds)
         seen, count = {}, 0
         for o, a, b, k in zip(of, x0, x1, key):
             for x in range(a, b + 1):

@@ -137,10 +137,9 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def ranges(texts: list[str], least: int, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """Stretches of windows (of ``least`` code points) with one key: text, first and last start, key, hash of the span.
+    """Stretches of windows (of ``least`` code points) with one key: text, first and last start, key.
 
-    The key of a window is the sequence of the symbols whose context lies inside it. The span of a stretch is all
-    the text its windows cover.
+    The key of a window stands for the symbols whose context lies inside it.
     """
     code, doc, begin = _codes(texts)
     name, s, e, cs, ce, d = parse(code, doc, rounds)
@@ -163,8 +162,7 @@ def ranges(texts: list[str], least: int, rounds: int = ROUNDS) -> tuple[np.ndarr
     at, add, of = at[lead], add[lead], of[lead]
     same = of[1:] == of[:-1]
     x0, x1, key, of = at[:-1][same], at[1:][same] - 1, add[:-1][same], of[:-1][same]
-    span = Rolling(code).of(x0, x1 + least)
-    return of, x0 - begin[of], x1 - begin[of], mixed(key).view(np.int64), span[0], span[1]
+    return of, x0 - begin[of], x1 - begin[of], mixed(key).view(np.int64)
 
 
 def _batched(b: pa.RecordBatch, text: str) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -188,7 +186,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         be told and is left out.
 
     No pair of records is formed and no group is gathered: windows meet by their keys and hashes, which are
-    counted before the shuffle. A stretch of windows with one key is settled at once where the whole span stands in
+    counted before the shuffle. Keys of one record only are dropped first. A stretch of windows with one key is settled at once where the whole span stands in
     two records; only where a key stands in several records with different spans are single windows compared.
     """
     if least < 1:
@@ -200,31 +198,50 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, texts in _batched(b, "x"):
-                of, x0, x1, k, h0, h1 = ranges(texts, least, rounds)
+                of, x0, x1, w = ranges(texts, least, rounds)
                 keys = b.column("k").take(pa.array(rows[of]))
-                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, (k, h0, h1, x0, x1))], names=["k", "w", "h0", "h1", "x0", "x1"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(w), pa.array(x0.astype(np.int32)), pa.array(x1.astype(np.int32))], names=["k", "w", "x0", "x1"])
+
+    # most keys stand in one record only and are gone after this
+    parts = written(docs.mapInArrow(scan, f"k {kind}, w bigint, x0 int, x1 int"))
+    met_keys = parts.groupBy("w").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("w")
+    chosen = parts.join(met_keys, "w", "left_semi")
+
+    def per_record(rows: DataFrame) -> DataFrame:
+        """Texts of the records of these stretches, with the stretches (as many as the text has at most)."""
+        return docs.join(rows.groupBy("k").agg(F.collect_list(F.struct("w", "x0", "x1")).alias("r")), "k")
+
+    def stretches(b: pa.RecordBatch, rows: np.ndarray, texts: list[str]):
+        """Hashes of the texts, where each begins, and text, key, first and last start of its stretches."""
+        code, _, begin = _codes(texts)
+        lists = b.column("r").take(pa.array(rows))
+        flat = lists.flatten()
+        of = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+        w, x0, x1 = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
+        return Rolling(code), begin, of, w, x0, x1
+
+    def whole_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, texts in _batched(b, "x"):
+                roll, begin, of, w, x0, x1 = stretches(b, rows, texts)
+                h = roll.of(x0 + begin[of], x1 + begin[of] + least)
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows[of])), pa.array(w), *map(pa.array, h), pa.array(x0.astype(np.int32)), pa.array(x1.astype(np.int32))], names=["k", "w", "h0", "h1", "x0", "x1"])
 
-    parts = written(docs.mapInArrow(scan, f"k {kind}, w bigint, h0 bigint, h1 bigint, x0 bigint, x1 bigint"))
-    spans = parts.groupBy("w", "h0", "h1").agg(F.min("k").alias("a"), F.max("k").alias("b"))
-    spans = written(spans)
+    # what all windows of a stretch cover, its span, is compared first
+    parts = written(per_record(chosen).mapInArrow(whole_spans, f"k {kind}, w bigint, h0 bigint, h1 bigint, x0 int, x1 int"))
+    spans = written(parts.groupBy("w", "h0", "h1").agg(F.min("k").alias("a"), F.max("k").alias("b")))
     keys = spans.groupBy("w").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max((F.col("a") == F.col("b")).cast("int")).alias("single"))
     whole = spans.where("a <> b").select("w", "h0", "h1")
     settled = parts.join(whole, ["w", "h0", "h1"], "left_semi").select("k", "x0", "x1")
     open_keys = keys.where("a <> b AND single = 1").select("w")
     # of each span of an open key one record stands for all; the others of a span that is in two records are settled
     stands = spans.join(open_keys, "w", "left_semi").select("w", "h0", "h1", F.col("a").alias("k"))
-    asked = parts.join(stands, ["w", "h0", "h1", "k"], "left_semi").groupBy("k").agg(F.collect_list(F.struct("w", "x0", "x1")).alias("r"))
+    asked = parts.join(stands, ["w", "h0", "h1", "k"], "left_semi").select("k", "w", "x0", "x1")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, texts in _batched(b, "x"):
-                code, _, begin = _codes(texts)
-                roll = Rolling(code)
-                lists = b.column("r").take(pa.array(rows))
-                size = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten()
-                w, x0, x1 = (flat.field(i).to_numpy() for i in range(3))
-                of = np.repeat(np.arange(len(rows)), size)
+                roll, begin, of, w, x0, x1 = stretches(b, rows, texts)
                 n = x1 - x0 + 1
                 for lo in range(0, len(n), 1 << 14):
                     part = slice(lo, lo + (1 << 14))
@@ -233,9 +250,9 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
                     x = np.arange(total) - np.repeat(np.cumsum(m) - m, m) + np.repeat(x0[part], m)
                     d = np.repeat(of[part], m)
                     h = roll.of(x + begin[d], x + begin[d] + least)
-                    yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows[d])), pa.array(h[0]), pa.array(h[1]), pa.array(x)], names=["k", "h0", "h1", "x"])
+                    yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows[d])), *map(pa.array, h), pa.array(x.astype(np.int32))], names=["k", "h0", "h1", "x"])
 
-    single = written(docs.join(asked, "k").mapInArrow(windows, f"k {kind}, h0 bigint, h1 bigint, x bigint"))
+    single = written(per_record(asked).mapInArrow(windows, f"k {kind}, h0 bigint, h1 bigint, x int"))
     twice = single.groupBy("h0", "h1").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("h0", "h1")
     met = single.join(twice, ["h0", "h1"], "left_semi").select("k", F.col("x").alias("x0"), F.col("x").alias("x1"))
     every = settled.unionAll(met).select("k", F.col("x0").alias("s"), (F.col("x1") + least).alias("e"))
