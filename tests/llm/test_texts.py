@@ -147,3 +147,18 @@ def test_equal_windows_have_equal_keys():
                 count += 1
                 assert seen.setdefault(texts[o][x : x + least], k) == k
         assert count == sum(max(0, len(t) - least + 1) for t in texts)
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (2, 1)])
+def test_span_of_one_record_meets_the_others_of_its_key(spark, ids):
+    """A record that holds both a span of two records and a span of its own with the same key."""
+    rng = random.Random(8)
+    for least in (12, 140):
+        p = "".join(rng.choice("abcdefgh ") for _ in range(3 * least))
+        rows = list(zip(ids, (p + p + p, p)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        share = {r.doc_id: r.shared_chars for r in spans.shared_share(df, least=least).collect()}
+        want = windows(rows, least)
+        assert share == {k: len(want[k]) for k in ids} == {ids[0]: 3 * len(p), ids[1]: len(p)}
+        got = {r.doc_id: (r.start, r.stop) for r in spans.shared_spans(df, least=least).collect()}
+        assert got == {ids[0]: (0, 3 * len(p)), ids[1]: (0, len(p))}

@@ -234,8 +234,9 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     whole = spans.where("a <> b").select("w", "h0", "h1")
     settled = parts.join(whole, ["w", "h0", "h1"], "left_semi").select("k", "x0", "x1")
     open_keys = keys.where("a <> b AND single = 1").select("w")
-    # of each span of an open key one record stands for all; the others of a span that is in two records are settled
-    stands = spans.join(open_keys, "w", "left_semi").select("w", "h0", "h1", F.col("a").alias("k"))
+    # of each span of an open key the least and the greatest record stand for all, as one of them is another record than
+    # any that is asked; the others of a span that is in two records are settled
+    stands = spans.join(open_keys, "w", "left_semi").select("w", "h0", "h1", F.explode(F.array_distinct(F.array("a", "b"))).alias("k"))
     asked = parts.join(stands, ["w", "h0", "h1", "k"], "left_semi").select("k", "w", "x0", "x1")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
