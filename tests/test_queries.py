@@ -2,6 +2,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from tidelag.plans import catalog
@@ -25,3 +26,27 @@ def test_core_does_without_the_subpackage():
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['tidelag.llm'] = None; import __spark_entry__ as e, tidelag.api, tidelag.cli; assert 'p2_found' in e.queries() and 'p5_found' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_every_series_is_forecast(spark, tmp_path):
+    """Users of any id, against brute force and the query's SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(4)
+    daily = {u: rng.integers(100, 9999, n) / 100 for u, n in ((3, 12), (39, 9), (40, 11), (41, 8), (5000, 14))}
+    rows = [(u, f"2024-01-{i + 1:02} 0{h}:30:00", float(x) if h else 1.0) for u, v in daily.items() for i, x in enumerate(v) for h in (0, 5)]
+    df = spark.createDataFrame(rows, "user_id long, ts string, value double")
+    df.withColumn("ts", df["ts"].cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for u, v in daily.items():
+        v = np.round(v + 1.0, 2)
+        for p in range(1, len(v)):
+            near = [(np.hypot(v[p] - v[r], v[p - 1] - v[r - 1]), abs(p - r), r) for r in range(1, len(v) - 1) if r != p]
+            dist, _, at = map(np.array, zip(*sorted(near)[:3]))
+            w = np.exp(-dist / max(dist[0], 1e-6))
+            want[str(u), p] = float((w * v[at + 1]).sum() / w.sum())
+    got = {(r.series, r.row): r.predicted for r in catalog.queries()["simplex_every_series"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    sql = {(s, p): x for s, p, x in con.sql(catalog.oracle_sql()["simplex_every_series"]).fetchall()}
+    assert sql.keys() == want.keys() and all(sql[k] == pytest.approx(want[k], abs=2e-6) for k in want)

@@ -272,23 +272,37 @@ def simplex_projection_format(spark, d):
     return r.select("row", "Time", "Observations", F.round("Predictions", 6).alias("Predictions"), F.round("Pred_Variance", 4).alias("Pred_Variance"))
 
 
-@query(
-    "WITH h AS (SELECT user_id, date_trunc('day', ts) AS time, round(sum(value), 2) AS v FROM events WHERE user_id < 40 GROUP BY 1, 2), "
-    "s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time) - 1 AS row FROM h), "
-    "e AS (SELECT user_id, row, v AS x0, lag(v) OVER (PARTITION BY user_id ORDER BY row) AS x1, lead(v) OVER (PARTITION BY user_id ORDER BY row) AS y FROM s), "
-    "g AS (SELECT * FROM e WHERE x1 IS NOT NULL), l AS (SELECT * FROM g WHERE y IS NOT NULL), "
-    "k AS (SELECT q.user_id, q.row AS p, l.row AS l, sqrt((q.x0 - l.x0) * (q.x0 - l.x0) + (q.x1 - l.x1) * (q.x1 - l.x1)) AS dist, l.y FROM g q JOIN l ON q.user_id = l.user_id AND q.row <> l.row "
-    "QUALIFY row_number() OVER (PARTITION BY q.user_id, q.row ORDER BY round(dist, 12), abs(q.row - l.row), l.row) <= 3), "
-    "w AS (SELECT *, exp(-dist / greatest(min(dist) OVER (PARTITION BY user_id, p), 1e-6)) AS w FROM k) "
-    "SELECT user_id::VARCHAR AS series, p AS row, round(sum(w * y) / sum(w), 6) AS predicted FROM w GROUP BY 1, 2"
-)
-def simplex_many_series(spark, d):
-    """One plan over the daily series of many users."""
-    e = table(spark, d, "events").where("user_id < 40").groupBy("user_id", F.date_trunc("day", "ts").alias("time")).agg(F.round(F.sum("value"), 2).alias("v"))
+def _series_sql(where: str = "") -> str:
+    return (
+        f"WITH h AS (SELECT user_id, date_trunc('day', ts) AS time, round(sum(value), 2) AS v FROM events {where}GROUP BY 1, 2), "
+        "s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time) - 1 AS row FROM h), "
+        "e AS (SELECT user_id, row, v AS x0, lag(v) OVER (PARTITION BY user_id ORDER BY row) AS x1, lead(v) OVER (PARTITION BY user_id ORDER BY row) AS y FROM s), "
+        "g AS (SELECT * FROM e WHERE x1 IS NOT NULL), l AS (SELECT * FROM g WHERE y IS NOT NULL), "
+        "k AS (SELECT q.user_id, q.row AS p, l.row AS l, sqrt((q.x0 - l.x0) * (q.x0 - l.x0) + (q.x1 - l.x1) * (q.x1 - l.x1)) AS dist, l.y FROM g q JOIN l ON q.user_id = l.user_id AND q.row <> l.row "
+        "QUALIFY row_number() OVER (PARTITION BY q.user_id, q.row ORDER BY round(dist, 12), abs(q.row - l.row), l.row) <= 3), "
+        "w AS (SELECT *, exp(-dist / greatest(min(dist) OVER (PARTITION BY user_id, p), 1e-6)) AS w FROM k) "
+        "SELECT user_id::VARCHAR AS series, p AS row, round(sum(w * y) / sum(w), 6) AS predicted FROM w GROUP BY 1, 2"
+    )
+
+
+def _series(e: DataFrame) -> DataFrame:
+    e = e.groupBy("user_id", F.date_trunc("day", "ts").alias("time")).agg(F.round(F.sum("value"), 2).alias("v"))
     f = simplex.forecasts(series.prepared(e, [series.task("v", "v", E=2)], "time", "user_id"))
     return f.select("series", F.col("p").alias("row"), F.round("predicted", 6).alias("predicted"))
 
 
+@query(_series_sql("WHERE user_id < 40 "))
+def simplex_many_series(spark, d):
+    """One plan over the daily series of the first users."""
+    return _series(table(spark, d, "events").where("user_id < 40"))
+
+
+@query(_series_sql())
+def simplex_every_series(spark, d):
+    """One plan over the daily series of every user."""
+    return _series(table(spark, d, "events"))
+
+
 # ---- locally weighted maps ----
 
 
