@@ -1,3 +1,4 @@
+import datetime as dt
 import subprocess
 import sys
 from pathlib import Path
@@ -50,3 +51,24 @@ def test_every_series_is_forecast(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     sql = {(s, p): x for s, p, x in con.sql(catalog.oracle_sql()["simplex_every_series"]).fetchall()}
     assert sql.keys() == want.keys() and all(sql[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+@pytest.mark.parametrize("name", ["generate_simplex", "generate_smap"])
+def test_generation_learns_from_the_whole_series(spark, tmp_path, name):
+    rng = np.random.default_rng(9)
+    v = np.round(50 + 20 * np.sin(np.arange(1100) / 5) + rng.normal(0, 3, 1100), 2)
+    day = dt.date(1992, 1, 1)
+    spark.createDataFrame([(day + dt.timedelta(days=i), float(x)) for i, x in enumerate(v)], "o_orderdate date, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog.queries()[name](spark, str(tmp_path)).orderBy("step").collect()
+    assert got[0].Time == (day - dt.date(1990, 1, 1)).days + 1100 and got[-1].Time == got[0].Time + len(got) - 1
+    lib = np.arange(2, 1099)
+    near = lambda r: np.array([v[r], v[r - 1], v[r - 2]]).T
+    d = np.linalg.norm(near(lib) - near(np.array([1099])), axis=1)
+    if name == "generate_simplex":
+        at = np.argsort(d, kind="stable")[:4]
+        w = np.exp(-d[at] / d[at[0]])
+        assert got[0].Predictions == pytest.approx((w * v[lib[at] + 1]).sum() / w.sum(), rel=1e-9)
+    else:
+        w = np.exp(-2.0 * d / d.mean())[:, None]
+        c = np.linalg.lstsq(w * np.column_stack([np.ones(len(lib)), near(lib)]), w[:, 0] * v[lib + 1], rcond=None)[0]
+        assert got[0].Predictions == pytest.approx(float(c @ np.append(1.0, near(1099))), rel=1e-2)

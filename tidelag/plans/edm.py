@@ -608,12 +608,12 @@ def embed_dim_columns_first(spark, d):
 
 @query()
 def generate_simplex(spark, d):
-    return generate.generated(daily(spark, d).withColumn("t", F.datediff("day", F.lit("1990-01-01").cast("date"))), series.task("total", "total", [1, 1000], [1, 2], E=3), 50, time="t")
+    return generate.generated(daily(spark, d).withColumn("t", F.datediff("day", F.lit("1990-01-01").cast("date"))), series.task("total", "total", E=3), 50, time="t")
 
 
 @query()
 def generate_smap(spark, d):
-    return generate.generated(daily(spark, d).withColumn("t", F.datediff("day", F.lit("1990-01-01").cast("date"))), series.with_task(series.task("total", "total", [1, 600], [1, 2], E=3), knn=0), 30, theta=2.0, time="t").drop("coef", "sing")
+    return generate.generated(daily(spark, d).withColumn("t", F.datediff("day", F.lit("1990-01-01").cast("date"))), series.with_task(series.task("total", "total", E=3), knn=0), 30, theta=2.0, time="t").drop("coef", "sing")
 
 
 @query("WITH h AS (SELECT date_trunc('hour', ts) AS time, round(sum(value), 2) AS v FROM events GROUP BY 1), s AS (SELECT row_number() OVER (ORDER BY time) - 1 AS row, v FROM h), "
