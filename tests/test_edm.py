@@ -263,4 +263,4 @@ def test_embedding_names(spark):
     assert api.Embed(odd, 2, -1, ["a b.c"]).columns == ["a b.c(t-0)", "a b.c(t-1)"]
     with pytest.raises(RuntimeError):
         api.MakeBlock()
-    assert sweep.RADII[-1] == 30 and smap.BLOCK > 0
+    assert sweep.RADII[-1] == 30 and smap.CELLS > 0

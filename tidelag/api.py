@@ -103,9 +103,9 @@ def CCM(dataFrame, columns="", target="", libSizes="", sample=30, E=0, Tp=0, knn
     """
     place = _place(dataFrame, noTime, order, series)
     if legacy:
-        rows = _ccm.ccm_projected(dataFrame, columns, target, libSizes, sample, E, Tp, knn, tau, exclusionRadius, seed, embedded, **place)
+        rows = _ccm.ccm_projected(dataFrame, columns, target, libSizes, sample, E, Tp, knn, tau, exclusionRadius, seed, embedded, strict=series is None, **place)
     else:
-        rows = _ccm.ccm(dataFrame, columns, target, libSizes, sample, E, Tp, knn, tau, exclusionRadius, seed, embedded, validLib or None, sampler=sampler, **place)
+        rows = _ccm.ccm(dataFrame, columns, target, libSizes, sample, E, Tp, knn, tau, exclusionRadius, seed, embedded, validLib or None, sampler=sampler, strict=series is None, **place)
     means = _ccm.lib_means(rows, columns, target, includeData, ["series"] if series else [])
     return {"libMeans": means, "PredictStats": _out(rows, series)} if includeData else means
 

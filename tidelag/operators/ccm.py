@@ -1,20 +1,20 @@
-"""Convergent cross mapping: library-size and sample grids as data, one packed embedding per source."""
+"""Convergent cross mapping: blocks of predicted rows, grids of library sizes and samples, moments that add up."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.functions.skill import LEAST_PEARSON
-from tidelag.operators.series import name_list, number_list, numbered, shifted
-
-#: Values of the distance matrix that a task holds at once.
-CELLS = 1 << 23
+from tidelag.functions.skill import LEAST_ERROR, LEAST_PEARSON
+from tidelag.operators.neighbors import BLOCK, CELLS, FLOOR, PIECE, best, by_group, near_band, numbers
+from tidelag.operators.series import beside, name_list, number_list, numbered
 
 
 def library_sizes(x) -> list[int]:
@@ -27,72 +27,199 @@ def library_sizes(x) -> list[int]:
     return v
 
 
+@lru_cache(maxsize=8)
+def _hashed(rows: int, sample: int, seed) -> np.ndarray:
+    """Places in the order of md5(seed:sample:place)."""
+    head = hashlib.md5(f"{seed}:{sample}:".encode())
+
+    def digest(i: int) -> bytes:
+        h = head.copy()
+        h.update(b"%d" % i)
+        return h.digest()
+
+    return np.argsort(np.array([digest(i) for i in range(rows)], dtype="S16"), kind="stable") if rows else np.zeros(0, int)
+
+
 def drawn(rows: int, size: int, sample: int, sampler: str, seed, rng) -> np.ndarray:
     """Library rows (places among the valid rows), in order, without repeats."""
     if sampler == "numpy":
         return np.sort(rng.choice(rows, size=size, replace=False))
-    text = [hashlib.md5(f"{seed}:{sample}:{i}".encode()).hexdigest() for i in range(rows)]
-    return np.sort(np.argsort(text, kind="stable")[:size])
+    return np.sort(_hashed(rows, sample, seed)[:size])
 
 
-def cross_mapped(x: np.ndarray, time: np.ndarray, y: np.ndarray, lib: np.ndarray, k: int, radius: int) -> np.ndarray:
-    """Predictions of all rows (columns of y) from a library of some; NaN for rows with fewer than k neighbours."""
-    n = len(x)
-    out = np.full((n, y.shape[1]), np.nan)
-    for lo in range(0, n, max(1, CELLS // max(1, len(lib)))):
-        q = slice(lo, lo + max(1, CELLS // max(1, len(lib))))
-        d2 = np.zeros((len(x[q]), len(lib)))
+def cross_mapped(qx: np.ndarray, qt: np.ndarray, x: np.ndarray, t: np.ndarray, y: np.ndarray, k: int, radius: int, floored: bool = False) -> np.ndarray:
+    """Predictions (columns of y) of the rows qx at times qt from a library x, t, y in order of time.
+
+    Rows with fewer than k neighbours are NaN, or, if ``floored``, predicted from those they have, the least
+    distance being FLOOR at least.
+    """
+    out = np.full((len(qx), y.shape[1]), np.nan)
+    step = max(1, CELLS // max(1, len(x)))
+    for lo in range(0, len(qx), step):
+        part = slice(lo, lo + step)
+        d2 = np.zeros((len(qx[part]), len(x)))
         for j in range(x.shape[1]):
-            off = x[q, j, None] - x[None, lib, j]
-            d2 += off * off
-        d = np.sqrt(d2)
-        d[np.abs(time[q, None] - time[None, lib]) <= radius] = np.inf
-        near = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1) if k < len(lib) else np.broadcast_to(np.arange(len(lib)), d.shape)
-        dist = np.take_along_axis(d, near, 1)
-        # where the k-th distance occurs again beyond the k chosen, the earlier library rows are taken
-        tied = (d <= dist.max(axis=1, keepdims=True)).sum(axis=1) > k
-        if tied.any():
-            near = np.array(near)
-            near[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, near, 1)
-        o = np.argsort(dist, axis=1, kind="stable")
-        near, dist = np.take_along_axis(near, o, 1), np.take_along_axis(dist, o, 1)
-        full = np.isfinite(dist[:, -1])
-        least = dist[:, :1]
+            off = qx[part, j, None] - x[None, :, j]
+            off *= off
+            d2 += off
+        d2[near_band(qt[part], t, radius)] = np.inf
+        q, l = best(d2, k)
+        if not len(q):
+            continue
+        d = np.sqrt(d2[q, l])
+        o = np.lexsort((l, d, q))
+        q, l, d = q[o], l[o], d[o]
+        new = np.append(True, q[1:] != q[:-1])
+        place = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+        keep = place < k
+        q, l, d, place = q[keep], l[keep], d[keep], place[keep]
+        start = np.flatnonzero(place == 0)
+        size = np.diff(np.append(start, len(q)))
+        least = np.repeat(d[start], size)
         with np.errstate(all="ignore"):
-            w = np.where(least > 0, np.exp(-dist / np.where(least > 0, least, 1.0)), (dist == 0).astype(float))
-        w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
-        got = np.einsum("nk,nkt->nt", w, y[lib[near]])
-        got[~full] = np.nan
-        out[q] = got
+            w = np.exp(-d / np.maximum(least, FLOOR)) if floored else np.where(least > 0, np.exp(-d / np.where(least > 0, least, 1.0)), (d == 0).astype(float))
+        made = np.add.reduceat(w[:, None] * y[l], start) / np.add.reduceat(w, start)[:, None]
+        if not floored:
+            made[size < k] = np.nan
+        out[lo + q[start]] = made
     return out
 
 
-def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Correlation of each pair of columns over the pairs without NaN: NaN below three, 0 without variation."""
-    ok = np.isfinite(a) & np.isfinite(b)
-    n = ok.sum(axis=0)
-    a, b = np.where(ok, a, 0.0), np.where(ok, b, 0.0)
-    with np.errstate(all="ignore"):
-        a = np.where(ok, a - a.sum(axis=0) / n, 0.0)
-        b = np.where(ok, b - b.sum(axis=0) / n, 0.0)
-        den = np.sqrt((a * a).sum(axis=0) * (b * b).sum(axis=0))
-        r = np.where(den > 0, (a * b).sum(axis=0) / den, 0.0)
-    return np.where(n < LEAST_PEARSON, np.nan, r)
+@dataclass(frozen=True)
+class Side:
+    """One source: its embedding (columns and shifts) and the columns and rows ahead that it tells."""
 
+    x: tuple[tuple[str, int], ...]
+    y: tuple[tuple[str, int], ...]
+    k: int
+    skip: int = -1
 
-def ccm(df: DataFrame, columns, target, lib_sizes, sample: int = 30, E: int = 1, Tp: int = 0, knn: int = 0, tau: int = -1, radius: int = 0, seed=None, embedded: bool = False, valid: str | None = None, time=None, series=None, order=(), sampler: str = "numpy") -> DataFrame:
-    """series, direction, lib_size, sample, rho: skill of either side's embedding in telling the other side.
 
-    Directions are 'columns[0]:target[0]' (columns' embedding predicts the target) and the reverse. Rows count whose
-    embedding is complete, that are ``valid``, whose own first variable is there and whose target Tp rows on is there. A
-    library is a random draw of the valid rows; each valid row is predicted from its nearest library rows, itself and
-    those within the exclusion radius left out; a row with fewer than k is not predicted.
+#: What a block of predicted rows adds to the moments of one library: pairs, sums, squares and products, largest
+#: error, absolute and squared errors.
+SUMS = ("sa", "sb", "saa", "sbb", "sab", "cae", "sq")
 
-    ``sampler`` 'numpy' draws with numpy's generator, every library size and direction beginning with the same stream;
-    'hash' draws by the order of md5(seed:sample:place), which any engine can repeat. A series with fewer than k+1 valid
-    rows has null rho.
+
+def _crossed(base: DataFrame, alias: dict[str, str], sides: list[Side], sizes, per_size: bool, sample: int, radius: int, seed, sampler: str, one: bool, teach: Column | None = None, ok=None, floored: bool = False) -> DataFrame:
+    """series, side, lib_size, sample, tgt, pairs, the moments of predictions and observations over all rows.
+
+    A library is drawn from all rows of a side, and each block of rows is predicted from it by itself; only moments
+    leave a task. Short series are spread over tasks by library and sample, long ones by their blocks.
+    ``sizes(n)`` gives the library sizes of a series of n rows. ``per_size``: every size draws from a new generator.
     """
+    wide = max(len(s.x) for s in sides)
+    told = max(len(s.y) for s in sides)
+    wanted = list(dict.fromkeys(x for s in sides for x in (*s.x, *s.y)))
+    name = {x: f"z{i}" for i, x in enumerate(wanted)}
+    rows = beside(base, {name[c, s]: (alias[c], s) for c, s in wanted})
+    nan = F.lit(float("nan"))
+
+    def one_side(i: int, s: Side) -> Column:
+        keep = F.lit(True)
+        for x in s.x:
+            keep = keep & F.col(name[x]).isNotNull()
+        if ok is not None:
+            keep = keep & ok(i, lambda x: F.col(name[x]))
+        cols = [F.col(name[x]).alias(f"x{j}") for j, x in enumerate(s.x)] + [F.lit(0.0).alias(f"x{j}") for j in range(len(s.x), wide)]
+        cols += [F.coalesce(F.col(name[y]), nan).alias(f"y{j}") for j, y in enumerate(s.y)] + [nan.alias(f"y{j}") for j in range(len(s.y), told)]
+        return F.struct(F.lit(i).alias("side"), keep.alias("keep"), *cols)
+
+    block, piece = BLOCK, PIECE
+    most = 4 * base.sparkSession.sparkContext.defaultParallelism
+    blocks = F.floor((F.col("n") - 1) / block).cast("int") + 1
+    groups = F.greatest(F.lit(1), F.least(F.lit(sample * 8), F.ceil(F.lit(most) / blocks).cast("int")))
+    rows = rows.select("series", "row", "n", (teach if teach is not None else F.lit(True)).alias("teach"), F.explode(F.array(*(one_side(i, s) for i, s in enumerate(sides)))).alias("s"))
+    rows = rows.where("s.keep").select("series", "s.side", "row", "n", "teach", *(f"s.x{j}" for j in range(wide)), *(f"s.y{j}" for j in range(told)))
+    rows = rows.withColumn("of", groups).withColumn("blk", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    keys = ["series", "side", "blk", "grp"]
+    parts = max(1, min(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), most))
+    rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "row")
+    schema = "series string, side int, lib_size int, sample int, tgt int, pairs bigint, sa double, sb double, saa double, sbb double, sab double, cae double, sq double, mae double"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def unit(key: tuple, row, n: int, teaches, x, y, of: int) -> list[tuple]:
+        series, side, blk, grp = key
+        s = sides[side]
+        x, y = x[:, : len(s.x)], y[:, : len(s.y)]
+        lib_rows = np.flatnonzero(teaches)
+        own = np.flatnonzero((row >= blk * block) & (row < (blk + 1) * block))
+        seen = y[own]
+        # a value of the column itself: sums of squares about it lose no places, and a flat column has none
+        some = np.isfinite(y)
+        centre = np.where(some.any(axis=0), y[some.argmax(axis=0), np.arange(y.shape[1])], 0.0)
+        out = []
+        rng = np.random.default_rng(np.random.SeedSequence(seed))
+        of_series = sizes(n)
+        if one and of_series and max(of_series) > n:
+            raise ValueError(f"libSizes reach {max(of_series)} in a series of {n} rows")
+        for a, size in enumerate(of_series):
+            if per_size:
+                rng = np.random.default_rng(np.random.SeedSequence(seed))
+            m = min(size, len(lib_rows))
+            k = s.k if floored else min(s.k, m - 1)
+            for j in range(sample):
+                mine = (a * sample + j) % of == grp
+                usable = k >= 1 and (floored or len(lib_rows) >= s.k + 1) and m > 0
+                lib = lib_rows[drawn(len(lib_rows), m, j, sampler, seed, rng)] if usable and (mine or sampler == "numpy") else None
+                if not mine:
+                    continue
+                made = cross_mapped(x[own], row[own], x[lib], row[lib], y[lib], k, radius, floored) if usable and len(own) else np.full(seen.shape, np.nan)
+                for g in range(y.shape[1]):
+                    if g == s.skip:
+                        continue
+                    both = np.isfinite(made[:, g]) & np.isfinite(seen[:, g])
+                    p, o = made[both, g] - centre[g], seen[both, g] - centre[g]
+                    e = o - p
+                    out.append((series, side, size, j, g, len(e), p.sum(), o.sum(), p @ p, o @ o, p @ o, np.abs(e).sum(), e @ e, e.max() if len(e) else None))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        at = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                row, n, teaches, x, y, of = (np.concatenate(z) for z in zip(*held))
+                got = unit(at, row, int(n[0]), teaches, x, y, int(of[0]))
+                if got:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, g)) for g in got], schema=arrow)
+            held.clear()
+
+        arrow = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in schema.split(", ")])
+        for _, t, start in by_group(batches, keys, piece):
+            cols = [t["row"].to_numpy(), t["n"].to_numpy(), t["teach"].to_numpy(), numbers(t, [f"x{j}" for j in range(wide)]), numbers(t, [f"y{j}" for j in range(told)]), t["of"].to_numpy()]
+            first = np.flatnonzero(start)
+            labels = [t[c].take(pa.array(first)).to_pylist() for c in keys]
+            for i, (a, b) in enumerate(zip(first, np.append(first[1:], t.num_rows))):
+                key = tuple(v[i] for v in labels)
+                if key != at:
+                    yield from close()
+                    at = key
+                held.append([c[a:b] for c in cols])
+        yield from close()
+
+    made = rows.mapInArrow(run, schema)
+    return made.groupBy("series", "side", "lib_size", "sample", "tgt").agg(F.sum("pairs").alias("pairs"), *(F.sum(c).alias(c) for c in SUMS), F.max("mae").alias("mae"))
+
+
+def _correlation(flat: Column | None = None) -> Column:
+    """Correlation from the moments; ``flat`` where either side does not vary."""
+    n = F.col("pairs")
+    va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
+    still = (va <= F.col("saa") * 1e-14) | (vb <= F.col("sbb") * 1e-14)
+    return F.when(still, flat if flat is not None else F.lit(None).cast("double")).otherwise((F.col("sab") - F.col("sa") * F.col("sb") / n) / F.sqrt(va * vb))
+
+
+def _rho() -> Column:
+    """Correlation of the complete pairs: null below three, 0 without variation."""
+    return F.when(F.col("pairs") >= LEAST_PEARSON, _correlation(F.lit(0.0)))
+
+
+def _label(at: Column, names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), at + 1)
+
+
+def _checked(columns, target, lib_sizes, sample: int, E: int, tau: int, embedded: bool) -> tuple[list[str], list[str], list[int], int]:
     columns, target = name_list(columns), name_list(target)
     sizes = library_sizes(lib_sizes)
     if embedded:
@@ -103,48 +230,35 @@ def ccm(df: DataFrame, columns, target, lib_sizes, sample: int = 30, E: int = 1,
         raise ValueError("libSizes and a positive number of samples are needed")
     if min(sizes) < E + 2:
         raise ValueError(f"libSizes must be at least {E + 2}")
-    base, alias = numbered(df, [*columns, *target], time, series, order, {"v": F.expr(valid)} if valid else {})
-    shifts = [0] if embedded else [d * tau for d in range(E)]
+    return columns, target, sizes, E
+
 
-    def side(own: list[str], other: list[str], label: str, k: int) -> DataFrame:
-        x = [shifted(alias[c], s) for c in own for s in shifts]
-        rows = base.select("series", "row", F.array(*x).alias("x"), shifted(alias[other[0]], Tp).alias("y"), F.col(alias[own[0]]).alias("o"), *(["v"] if valid else []))
-        ok = ~F.exists("x", lambda e: e.isNull()) & F.col("y").isNotNull() & F.col("o").isNotNull()
-        if valid:
-            ok = ok & F.coalesce("v", F.lit(False))
-        rows = rows.where(ok).groupBy("series").agg(F.sort_array(F.collect_list(F.struct("row", "x", "y"))).alias("l"))
-        return rows.select("series", F.lit(label).alias("direction"), F.lit(k).alias("k"), F.col("l.row").alias("t"), F.flatten("l.x").alias("x"), F.col("l.y").alias("y"))
+def ccm(df: DataFrame, columns, target, lib_sizes, sample: int = 30, E: int = 1, Tp: int = 0, knn: int = 0, tau: int = -1, radius: int = 0, seed=None, embedded: bool = False, valid: str | None = None, time=None, series=None, order=(), sampler: str = "numpy", strict: bool = False) -> DataFrame:
+    """series, direction, lib_size, sample, rho: skill of either side's embedding in telling the other side.
+
+    Directions are 'columns[0]:target[0]' (columns' embedding predicts the target) and the reverse. Rows count whose
+    embedding is complete, that are ``valid``, whose own first variable is there and whose target Tp rows on is there. A
+    library is a random draw of the valid rows; each valid row is predicted from its nearest library rows, itself and
+    those within the exclusion radius left out; a row with fewer than k is not predicted.
 
+    ``sampler`` 'numpy' draws with numpy's generator, every library size and direction beginning with the same stream;
+    'hash' draws by the order of md5(seed:sample:place), which any engine can repeat. A series with fewer than k+1 valid
+    rows has null rho. A series with fewer rows than a library size uses what it has; with ``strict`` the task that
+    meets one raises ValueError.
+    """
+    columns, target, sizes, E = _checked(columns, target, lib_sizes, sample, E, tau, embedded)
+    base, alias = numbered(df, [*columns, *target], time, series, order, {"v": F.coalesce(F.expr(valid).cast("boolean"), F.lit(False))} if valid else {})
+    shifts = [0] if embedded else [d * tau for d in range(E)]
     k = knn or E + 1
-    both = side(columns, target, f"{columns[0]}:{target[0]}", k).unionByName(side(target, columns, f"{target[0]}:{columns[0]}", k))
-    grid = both.withColumn("lib_size", F.explode(F.array(*map(F.lit, sizes))))
-    if sampler == "hash":  # samples are independent of each other, so they may run apart
-        grid = grid.withColumn("only", F.explode(F.sequence(F.lit(0), F.lit(sample - 1))))
-    else:
-        grid = grid.withColumn("only", F.lit(-1))
-    parts = max(1, min(len(sizes) * 2 * (sample if sampler == "hash" else 1), 8 * df.sparkSession.sparkContext.defaultParallelism))
-    grid = grid.repartition(parts, "series", "direction", "lib_size", "only")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                t, y = np.asarray(r.t), np.asarray(r.y, float)
-                x = np.asarray(r.x, float).reshape(len(t), -1)
-                size = min(int(r.lib_size), len(t))
-                k_ = min(int(r.k), size - 1)
-                rng = np.random.default_rng(np.random.SeedSequence(seed)) if sampler == "numpy" else None
-                which = range(sample) if r.only < 0 else [int(r.only)]
-                rho = []
-                for s in which:
-                    if k_ < 1 or len(t) < r.k + 1:
-                        rho.append(np.nan)
-                        continue
-                    lib = drawn(len(t), size, s, sampler, seed, rng)
-                    rho.append(correlations(cross_mapped(x, t, y[:, None], lib, k_, radius), y[:, None])[0])
-                yield pd.DataFrame({"series": r.series, "direction": r.direction, "lib_size": np.int32(r.lib_size), "sample": np.array(list(which), np.int32), "rho": rho})
+    pairs = [(columns, target), (target, columns)]
+    sides = [Side(tuple((c, s) for c in own for s in shifts), ((other[0], Tp), (own[0], 0)), k, 1) for own, other in pairs]
+
+    def ok(i: int, at) -> Column:
+        there = at((pairs[i][1][0], Tp)).isNotNull() & at((pairs[i][0][0], 0)).isNotNull()
+        return there & F.col("v") if valid else there
 
-    out = grid.mapInPandas(run, "series string, direction string, lib_size int, sample int, rho double")
-    return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+    made = _crossed(base, alias, sides, lambda n: sizes, True, sample, radius, seed, sampler, strict, ok=ok)
+    return made.select("series", _label(F.col("side"), [f"{a[0]}:{b[0]}" for a, b in pairs]).alias("direction"), "lib_size", "sample", _rho().alias("rho"))
 
 
 def lib_means(rows: DataFrame, columns, target, variances: bool = False, keys: Sequence[str] = ()) -> DataFrame:
@@ -168,107 +282,35 @@ def ccm_matrix(df: DataFrame, columns, E, lib_sizes=None, p_lib_sizes=(10, 20, 8
     if len(es) != len(columns) or min(es, default=0) < 1 or tau == 0:
         raise ValueError("a positive E for each column and a tau other than 0 are needed")
     base, alias = numbered(df, columns, time, series, order)
-    ahead = F.array(*(shifted(alias[c], Tp) for c in columns))
-    each = base.select("series", "row", "n", ahead.alias("y"), F.array(*(F.struct(F.lit(i).alias("source"), F.array(*(shifted(alias[c], d * tau) for d in range(e))).alias("x")) for i, (c, e) in enumerate(zip(columns, es)))).alias("s"))
-    each = each.select("series", "row", "n", "y", F.explode("s").alias("s")).where(~F.exists("s.x", lambda v: v.isNull()))
-    packed = each.groupBy("series", "s.source").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("row", F.col("s.x").alias("x"), "y"))).alias("l"))
-    nan = lambda v: F.coalesce(v, F.lit(float("nan")))
-    packed = packed.select("series", "source", "n", F.col("l.row").alias("t"), F.flatten("l.x").alias("x"), F.transform(F.flatten("l.y"), nan).alias("y"))
-    packed = packed.repartition(max(1, min(len(columns), 8 * df.sparkSession.sparkContext.defaultParallelism)), "series", "source")
     fixed, percent = number_list(lib_sizes), list(p_lib_sizes)
+    sides = [Side(tuple((c, d * tau) for d in range(e)), tuple((y, Tp) for y in columns), e + 1) for c, e in zip(columns, es)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                t = np.asarray(r.t)
-                e = es[r.source]
-                x, y = np.asarray(r.x, float).reshape(len(t), -1), np.asarray(r.y, float).reshape(len(t), -1)
-                sizes = sorted({min(max(2, s), int(r.n)) for s in (fixed or [int(q / 100 * r.n) for q in percent])})
-                rng = np.random.default_rng(np.random.SeedSequence(seed))
-                rows = []
-                for size in sizes:
-                    n, k = min(size, len(t)), min(e + 1, min(size, len(t)) - 1)
-                    total, count = np.zeros(len(columns)), np.zeros(len(columns))
-                    if len(t) >= e + 2 and k >= 1:
-                        for s in range(sample):
-                            rho = correlations(cross_mapped(x, t, y, drawn(len(t), n, s, sampler, seed, rng), k, radius), y)
-                            total += np.nan_to_num(rho)
-                            count += np.isfinite(rho)
-                    with np.errstate(all="ignore"):
-                        mean = total / count
-                    mean[r.source] = np.nan
-                    rows += [(r.series, columns[r.source], c, size, m) for c, m in zip(columns, mean)]
-                yield pd.DataFrame(rows, columns=["series", "source", "target", "lib_size", "rho"]).astype({"lib_size": "int32"})
-
-    out = packed.mapInPandas(run, "series string, source string, target string, lib_size int, rho double")
-    return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
-
-
-def ccm_projected(df: DataFrame, columns, target, lib_sizes, sample: int = 30, E: int = 1, Tp: int = 0, knn: int = 0, tau: int = -1, radius: int = 0, seed=None, embedded: bool = False, time=None, series=None, order=()) -> DataFrame:
+    def sizes(n: int) -> list[int]:
+        return sorted({min(max(2, s), n) for s in (fixed or [int(q / 100 * n) for q in percent])})
+
+    made = _crossed(base, alias, sides, sizes, False, sample, radius, seed, sampler, False)
+    rho = made.withColumn("rho", _rho()).groupBy("series", "side", "lib_size", "tgt").agg(F.avg("rho").alias("rho"))
+    return rho.select("series", _label(F.col("side"), columns).alias("source"), _label(F.col("tgt"), columns).alias("target"), "lib_size", F.when(F.col("side") != F.col("tgt"), F.col("rho")).alias("rho"))
+
+
+def ccm_projected(df: DataFrame, columns, target, lib_sizes, sample: int = 30, E: int = 1, Tp: int = 0, knn: int = 0, tau: int = -1, radius: int = 0, seed=None, embedded: bool = False, time=None, series=None, order=(), strict: bool = False) -> DataFrame:
     """series, direction, lib_size, sample, rho, MAE, CAE, RMSE: cross mapping by simplex projection of all rows.
 
     The older form: the library is a random draw of the library rows, every row is predicted by projection with the
     least distance floored, the forecasts are moved Tp rows on and compared with what was observed there (skill
     rounded to five places). Both directions draw from the same stream, one library size after the other.
     """
-    from tidelag.functions.skill import LEAST_ERROR
-    from tidelag.operators.simplex import FLOOR
-
-    columns, target, sizes = name_list(columns), name_list(target), library_sizes(lib_sizes)
-    if embedded:
-        E = max(len(columns), len(target))
+    columns, target, sizes, E = _checked(columns, target, lib_sizes, sample, E, tau, embedded)
     base, alias = numbered(df, [*columns, *target], time, series, order)
     shifts = [0] if embedded else [d * tau for d in range(E)]
-
-    def side(own: list[str], other: list[str]) -> DataFrame:
-        x = F.array(*(shifted(alias[c], s) for s in shifts for c in own))
-        rows = base.select("series", "row", "n", x.alias("x"), F.coalesce(alias[other[0]], F.lit(float("nan"))).alias("y"))
-        rows = rows.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("row", "x", "y"))).alias("l"))
-        nan = lambda v: F.coalesce(v, F.lit(float("nan")))
-        return rows.select("series", F.lit(f"{own[0]}:{other[0]}").alias("direction"), F.lit(len(own)).alias("m"), F.transform(F.flatten("l.x"), nan).alias("x"), F.col("l.y").alias("y"))
-
-    both = side(columns, target).unionByName(side(target, columns)).repartition(2, "series", "direction")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                y = np.asarray(r.y, float)
-                n = len(y)
-                x = np.asarray(r.x, float).reshape(n, -1)
-                whole = np.isfinite(x).all(axis=1)
-                lo = 0 if embedded or tau > 0 else abs(tau) * (E - 1)
-                hi = n if embedded or tau < 0 else n - abs(tau) * (E - 1)
-                rows = np.arange(n)
-                lib = rows[whole & (rows >= lo + (max(0, -Tp - 1) if not embedded else 0)) & (rows < hi - max(0, Tp)) & (rows + Tp >= 0) & (rows + Tp < n)]
-                k = knn or x.shape[1] + 1
-                rng = np.random.default_rng(seed)
-                for size in sizes:
-                    out = []
-                    for s in range(sample):
-                        some = np.sort(rng.choice(lib, size=min(size, len(lib)), replace=False)) if len(lib) else lib
-                        made = np.full(n, np.nan)
-                        q = rows[whole]
-                        if len(some):
-                            d = np.sqrt(((x[q, None, :] - x[None, some, :]) ** 2).sum(axis=2))
-                            d[np.abs(q[:, None] - some[None, :]) <= radius] = np.inf
-                            o = np.argsort(d, axis=1, kind="stable")[:, :k]
-                            d = np.take_along_axis(d, o, 1)
-                            with np.errstate(all="ignore"):
-                                w = np.where(np.isfinite(d), np.exp(-d / np.maximum(d[:, :1], FLOOR)), 0.0)
-                                made[q] = (w * np.where(w > 0, y[some[o] + Tp], 0.0)).sum(axis=1) / w.sum(axis=1)
-                        moved = np.full(n, np.nan)
-                        if Tp >= 0:
-                            moved[Tp:] = made[: n - Tp]
-                        else:
-                            moved[:Tp] = made[-Tp:]
-                        ok = np.isfinite(moved) & np.isfinite(y)
-                        e = y[ok] - moved[ok]
-                        stats = [np.nan] * 4
-                        if ok.sum() >= LEAST_ERROR:
-                            with np.errstate(all="ignore"):
-                                stats = [np.round(v, 5) for v in (np.corrcoef(y[ok], moved[ok])[0, 1], e.max(), np.abs(e).sum(), np.sqrt((e * e).mean()))]
-                        out.append([r.series, r.direction, size, s, *stats])
-                    yield pd.DataFrame(out, columns=["series", "direction", "lib_size", "sample", "rho", "MAE", "CAE", "RMSE"]).astype({"lib_size": "int32", "sample": "int32"})
-
-    made = both.mapInPandas(run, "series string, direction string, lib_size int, sample int, rho double, MAE double, CAE double, RMSE double")
-    return made.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if k == "double" else F.col(c) for c, k in made.dtypes))
+    shift = 0 if embedded else abs(tau) * (E - 1)
+    row, n = F.col("row"), F.col("n")
+    teach = (row >= (0 if tau > 0 else shift) + (0 if embedded else max(0, -Tp - 1))) & (row < n - (0 if tau < 0 else shift) - max(0, Tp)) & (row + Tp >= 0) & (row + Tp < n)
+    pairs = [(columns, target), (target, columns)]
+    sides = [Side(tuple((c, s) for s in shifts for c in own), ((other[0], Tp),), knn or len(own) * len(shifts) + 1) for own, other in pairs]
+    made = _crossed(base, alias, sides, lambda n_: sizes, False, sample, radius, seed, "numpy", strict, teach, floored=True)
+    some = lambda c: F.when(F.col("pairs") >= LEAST_ERROR, F.bround(c, 5))
+    return made.select(
+        "series", _label(F.col("side"), [f"{a[0]}:{b[0]}" for a, b in pairs]).alias("direction"), "lib_size", "sample",
+        some(_correlation()).alias("rho"), some(F.col("mae")).alias("MAE"), some(F.col("cae")).alias("CAE"), some(F.sqrt(F.col("sq") / F.col("pairs"))).alias("RMSE"),
+    )

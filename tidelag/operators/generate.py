@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.operators.series import Task, numbered
-from tidelag.operators.simplex import FLOOR
+from tidelag.operators.neighbors import FLOOR
 from tidelag.operators.smap import ranked, solve_block
 from tidelag.operators.solvers import solver as as_solver
 
@@ -61,16 +61,17 @@ def generated(df: DataFrame, t: Task, steps: int, theta: float | None = None, so
             coef = sing = np.full(len(shifts) + 1, np.nan)
             px = x[p + shifts] if p + shifts.min() >= 0 else np.full(len(shifts), np.nan)
             if np.isfinite(px).all() and len(lib):
-                o, d, usable = ranked(lx, lib, px[None, :], np.array([p]), t.radius)
+                k = t.knn or max(1, len(lib) - 1)
+                o, d, usable = ranked(lx, lib, px[None, :], np.array([p]), t.radius, min(k, len(lib)))
                 if theta is None:
                     m = min(t.knn, int(usable[0]))
                     if m:
                         d, y = d[0, :m], ly[o[0, :m]]
-                        w = np.exp(-d / max(d[0], FLOOR))
+                        w = np.exp(-d / max(d.min(), FLOOR))
                         value = float((w * y).sum() / w.sum())
                         variance = float((w * (y - value) ** 2).sum() / w.sum())
                 else:
-                    v, s2, c, s = solve_block(o, d, usable, lx, ly, px[None, :], t.knn or max(1, len(lib) - 1), theta, solve)
+                    v, s2, c, s = solve_block(o, d, usable, lx, ly, px[None, :], k, theta, solve)
                     value, variance, coef, sing = float(v[0]), float(s2[0]), c[0], s[0]
             at = p + t.tp
             now = when[at] if at < len(when) and np.isfinite(when[at]) else when[n - 1] + (at - n + 1) * delta

@@ -1,35 +1,322 @@
-"""k nearest library vectors of every predicted vector: a joined, ranked and exact search."""
+"""k nearest library vectors of every predicted vector: blocks of predicted rows meet the library in pieces.
+
+Predicted rows of a series are cut into blocks; a block's task gets the block and streams the library past it, keeping
+the k best so far. No pair leaves the task and no series is held by one. All tasks of a plan (a sweep's values, a
+multiview's combinations) are worked on where the rows lie: squared differences are shared by tasks whose
+embeddings begin alike, and the whole distance by those that differ only in horizon, radius, k or rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.operators.series import Prepared
+from tidelag.operators.series import Prepared, Task, lib_mask, lib_rows, obs_mask, pred_mask
 
-#: Predicted rows that one join key takes; a library is repeated for each such block of its series.
-BLOCK = 512
+#: Predicted rows of a block, library rows of a piece, and distances that are held at once.
+BLOCK, PIECE, CELLS = 1024, 1 << 16, 1 << 19
+#: Fixed value: least distance that weights are scaled by.
+FLOOR = 1e-6
+#: Places that distances are compared to.
+PLACES = 12
 
 
-def pairs(p: Prepared) -> DataFrame:
-    """Candidate pairs: series, task, blk, p, l, dist, y, obs, k; library rows within the exclusion radius are left out.
+def streamed(p: Prepared) -> DataFrame:
+    """Rows of use, by (series, blk): first the rows of the block itself (own), then the library of the whole series.
 
-    Both sides meet on (series, task, block), which spreads one long series over many tasks and lets the ranking run
-    where the join left the rows.
+    Rows of the library stand in every block that a task predicts rows of, others only in their own.
     """
-    spark = p.vectors.sparkSession
-    x = [f"x{i}" for i in range(p.width)]
+    spark = p.wide.sparkSession
+    rule = lambda t: (t.lib, t.tp, t.tau, t.e, t.embedded)
+    teach = F.lit(False)
+    for t in {rule(t): t for t in p.tasks}.values():
+        teach = teach | lib_rows(t)
+    n = F.col("n")
+
+    def predicted(b):
+        ok = F.lit(False)
+        for spans in {t.pred for t in p.tasks}:
+            for lo, hi in spans or ((1, n),):
+                ok = ok | ((b * BLOCK <= hi - 1) & (b * BLOCK + (BLOCK - 1) >= lo - 1))
+        return ok
+
+    own = F.floor(F.col("row") / BLOCK).cast("int")
+    blocks = F.when(teach, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array(own))
+    rows = p.wide.withColumn("blk", F.explode(F.filter(blocks, predicted)))
+    rows = rows.withColumn("own", F.col("blk") == own)
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
-    pred = p.vectors.where("is_pred").select("series", "task", F.floor(F.col("row") / BLOCK).cast("int").alias("blk"), F.col("row").alias("p"), *(F.col(a).alias(f"p{a}") for a in x), "obs", "r", "k")
-    pred = pred.repartition(parts, "series", "task", "blk")
-    lib = p.vectors.where("is_lib").select("series", "task", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))).alias("blk"), F.col("row").alias("l"), *x, "y")
-    d = sum(((F.col(f"p{a}") - F.col(a)) * (F.col(f"p{a}") - F.col(a)) for a in x), F.lit(0.0))
-    joined = pred.join(lib, ["series", "task", "blk"]).where(F.abs(F.col("p") - F.col("l")) > F.col("r"))
-    return joined.select("series", "task", "blk", "p", "l", F.sqrt(d).alias("dist"), "y", "obs", "k")
+    return rows.repartition(parts, "series", "blk").sortWithinPartitions("series", "blk", F.col("own").desc(), "row")
+
+
+@dataclass
+class Piece:
+    """Rows of one (series, blk)."""
+
+    series: str | None
+    row: np.ndarray
+    n: int
+    own: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    valid: np.ndarray
+    teaches: np.ndarray
+    predicted: np.ndarray
+    only: set[int] | None
+
+    def part(self, a: int, b: int) -> Piece:
+        s = slice(a, b)
+        return Piece(self.series, self.row[s], self.n, self.own[s], self.x[s], self.y[s], self.valid[s], self.teaches[s], self.predicted[s], self.only)
+
+
+def changes(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Marks rows whose key differs from that of the row before, the first row always."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in keys:
+        col = t[c].combine_chunks()
+        v = col.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) if pa.types.is_string(col.type) or col.null_count else col.to_numpy(zero_copy_only=False)
+        new[1:] |= v[1:] != v[:-1]
+    return new
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: Sequence[str], piece: int) -> Iterator[tuple[tuple, pa.Table, np.ndarray]]:
+    """Tables of whole groups and, at each one's end, of the beginning of the next; with the marks of :func:`changes`.
+
+    Yields (key of the first row, table, starts). A group longer than a piece comes in several tables.
+    """
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def whole() -> pa.Table:
+        return pa.Table.from_batches(held).combine_chunks()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= piece:
+            t = whole()
+            start = changes(t, keys)
+            cut = int(np.flatnonzero(start)[-1])
+            if cut == 0:
+                yield tuple(t[c][0].as_py() for c in keys), t, start
+                held, rows = [], 0
+            else:
+                yield tuple(t[c][0].as_py() for c in keys), t.slice(0, cut), start[:cut]
+                left = t.slice(cut)
+                held, rows = left.to_batches(), left.num_rows
+    if rows:
+        t = whole()
+        yield tuple(t[c][0].as_py() for c in keys), t, changes(t, keys)
+
+
+def numbers(t: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Columns as a matrix of doubles, a row a row; null is NaN."""
+    out = np.empty((t.num_rows, len(names)))
+    for i, c in enumerate(names):
+        out[:, i] = t[c].to_numpy()
+    return out
+
+
+def pieces(batches: Iterator[pa.RecordBatch], dims: int, ys: int, valid: int, piece: int) -> Iterator[tuple[bool, Piece]]:
+    """(whether a new group begins, piece); the first piece of a group holds all of its own rows."""
+    last = None
+    for key, t, start in by_group(batches, ["series", "blk"], piece):
+        at = np.flatnonzero(start)
+        names = t["series"].take(pa.array(at)).to_pylist()
+        row, n, own = t["row"].to_numpy(), t["n"].to_numpy(), t["own"].to_numpy()
+        x, y = numbers(t, [f"d{i}" for i in range(dims)]), numbers(t, [f"y{i}" for i in range(ys)])
+        v = np.stack([t[f"v{i}"].to_numpy() for i in range(valid)], axis=1).astype(bool) if valid else np.zeros((len(row), 0), bool)
+        yes = np.ones(len(row), bool)
+        teaches = t["lok"].to_numpy() if "lok" in t.column_names else yes
+        predicted = t["pok"].to_numpy() if "pok" in t.column_names else yes
+        for a, b, s in zip(at, np.append(at[1:], len(row)), names):
+            only = set(t["only"][int(a)].as_py() or ()) if "only" in t.column_names else None
+            first = not (a == 0 and key == last)
+            yield first, Piece(s, row[a:b], int(n[a]), own[a:b], x[a:b], y[a:b], v[a:b], teaches[a:b], predicted[a:b], only)
+        last = (names[-1], t["blk"][int(at[-1])].as_py())
+
+
+def chosen(p: Piece, t: Task, slots: list[int], v: int | None, lib: bool) -> np.ndarray:
+    """Places of the rows of a piece that a task learns from, or predicts."""
+    ok = lib_mask(t, p.row, p.n) & p.teaches if lib else pred_mask(t, p.row, p.n) & p.predicted & p.own
+    if lib and v is not None:
+        ok = ok & p.valid[:, v]
+    for s in slots:
+        ok = ok & ~np.isnan(p.x[:, s])
+    return np.flatnonzero(ok)
+
+
+def near_band(prow: np.ndarray, lrow: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (predicted row, library row) of the pairs within the radius; library rows ascend."""
+    lo, hi = np.searchsorted(lrow, prow - radius, "left"), np.searchsorted(lrow, prow + radius, "right")
+    c = hi - lo
+    return np.repeat(np.arange(len(prow)), c), np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)
+
+
+def view(at: np.ndarray, n: int) -> slice | np.ndarray:
+    """Places as a slice where they are one stretch, which copies nothing."""
+    return slice(int(at[0]), int(at[-1]) + 1) if len(at) and int(at[-1]) - int(at[0]) + 1 == len(at) else at
+
+
+def trimmed(q, l, d, gap, y, k: int):
+    """The k best of each predicted row by (rounded distance, nearness in time, row), in that order, and their place."""
+    o = np.lexsort((l, gap, np.round(d, PLACES), q))
+    q = q[o]
+    new = np.ones(len(q), bool)
+    new[1:] = q[1:] != q[:-1]
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+    keep = place < k
+    o = o[keep]
+    return q[keep], l[o], d[o], gap[o], y[o], place[keep]
+
+
+def best(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k least of each row, and of all that equal the k-th to within rounding; inf never counts."""
+    if k < d2.shape[1]:
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        most = np.where(np.isfinite(kth), (np.sqrt(kth) + 2 * 10.0**-PLACES) ** 2 * (1 + 1e-15), np.finfo(float).max)
+        return np.nonzero(d2 <= most[:, None])
+    return np.nonzero(d2 < np.inf)
+
+
+def searched(p: Prepared, targets: list[list[int]], finish: Callable, schema: str) -> DataFrame:
+    """Runs the search; ``finish(task, own rows, q, l, d, y, place)`` makes the columns put out for one task of a block.
+
+    ``targets`` are, for each task, the places in ``p.ys`` of what is taken from its neighbours.
+    """
+    tasks = p.tasks
+    slots = [p.slots(t) for t in tasks]
+    valid = [p.valid.index(t.valid) if t.valid else None for t in tasks]
+    order = sorted(range(len(tasks)), key=lambda i: (slots[i], i))
+    sizes = len(p.dims), len(p.ys), len(p.valid), PIECE
+    cells, part = CELLS, max(1, CELLS // 64)
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = {c.split()[0]: {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")}
+
+    def search(block: Piece, mine: dict, piece: Piece, kept: dict) -> None:
+        """Adds the neighbours in a piece of the library to those kept."""
+        libs: dict = {}
+        for i in mine:
+            key = (tasks[i].lib, tasks[i].valid, tasks[i].tp, tasks[i].tau, tasks[i].e, tasks[i].embedded, tuple(slots[i]))
+            libs[i] = libs.get(key) if key in libs else chosen(piece, tasks[i], slots[i], valid[i], True)
+            libs[key] = libs[i]
+        step = max(1, cells // max(1, len(piece.row)))
+        for a in range(0, len(block.row), step):
+            x = block.x[a : a + step]
+            stack: list[tuple[int, np.ndarray]] = []
+            for i in order:
+                if i not in mine or not len(libs[i]):
+                    continue
+                q = mine[i]
+                q = q[np.searchsorted(q, a) : np.searchsorted(q, a + step)] - a
+                if not len(q):
+                    continue
+                depth = 0
+                while depth < len(stack) and depth < len(slots[i]) and stack[depth][0] == slots[i][depth]:
+                    depth += 1
+                del stack[depth:]
+                for s in slots[i][depth:]:
+                    off = x[:, s, None] - piece.x[None, :, s]
+                    off *= off
+                    stack.append((s, stack[-1][1] + off if stack else off))
+                d2 = stack[len(slots[i]) - 1][1]
+                l = libs[i]
+                d2 = d2[view(q, len(x))][:, view(l, len(piece.row))]
+                prow, lrow = block.row[a + q], piece.row[l]
+                bi, bj = near_band(prow, lrow, tasks[i].radius)
+                if len(bi):
+                    d2 = d2.copy()
+                    d2[bi, bj] = np.inf
+                r, c = best(d2, tasks[i].knn)
+                d = np.sqrt(d2[r, c])
+                new = (a + q[r], lrow[c], d, np.abs(prow[r] - lrow[c]), piece.y[l[c]][:, targets[i]])
+                kept.setdefault(i, []).append(trimmed(*new, tasks[i].knn)[:5])
+                if len(kept[i]) > 1 and sum(len(z[0]) for z in kept[i]) > cells:
+                    kept[i] = [trimmed(*(np.concatenate(z) for z in zip(*kept[i])), tasks[i].knn)[:5]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        rows = 0
+        block = mine = kept = None
+
+        def close() -> None:
+            nonlocal rows
+            for i, found in (kept or {}).items():
+                t = found[0] if len(found) == 1 else tuple(np.concatenate(z) for z in zip(*found))
+                got = finish(i, block, *trimmed(*t, tasks[i].knn))
+                m = len(got["p"])
+                if m:
+                    out.append({"series": pa.array([block.series] * m, pa.string()), "task": pa.array(np.full(m, i, np.int32)), **{c: pa.array(v, types[c], from_pandas=True) for c, v in got.items()}})
+                    rows += m
+
+        def put() -> Iterator[pa.RecordBatch]:
+            nonlocal rows
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([o[c] for o in out]) for c in names], names=names)
+            out.clear()
+            rows = 0
+
+        for first, piece in pieces(batches, *sizes):
+            if first:
+                close()
+                if rows > 1 << 14:
+                    yield from put()
+                block = piece.part(0, int(piece.own.sum()))
+                mine = {i: q for i, t in enumerate(tasks) if piece.only is None or i in piece.only for q in [chosen(block, t, slots[i], valid[i], False)] if len(q)}
+                kept = {}
+            if mine:
+                at = np.argsort(piece.row, kind="stable")  # own rows stand before the others
+                piece = Piece(piece.series, piece.row[at], piece.n, piece.own[at], piece.x[at], piece.y[at], piece.valid[at], piece.teaches[at], piece.predicted[at], piece.only)
+                for lo in range(0, len(piece.row), part):
+                    search(block, mine, piece.part(lo, lo + part), kept)
+        close()
+        yield from put()
+
+    return streamed(p).mapInArrow(run, schema)
 
 
 def nearest(p: Prepared) -> DataFrame:
-    """The k nearest of each predicted row with their rank; equal distances go to the nearer row in time, then the earlier."""
-    most = max(t.knn for t in p.tasks)
-    w = Window.partitionBy("series", "task", "blk", "p").orderBy(F.round("dist", 12), F.abs(F.col("p") - F.col("l")), "l")
-    return pairs(p).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).where(F.col("rank") <= F.col("k"))
+    """The k nearest of each predicted row: series, task, p, rank, l, dist, y; equal distances go to the nearer row in time, then the earlier."""
+
+    def finish(i, block, q, l, d, gap, y, place):
+        return {"p": block.row[q], "rank": place + 1, "l": l, "dist": d, "y": y[:, 0]}
+
+    targets = [[p.ys.index((t.target, t.tp))] for t in p.tasks]
+    return searched(p, targets, finish, "series string, task int, p bigint, rank int, l bigint, dist double, y double")
+
+
+def weighted(p: Prepared, targets: list[list[tuple[str, int]]] | None = None) -> DataFrame:
+    """series, task, tgt, p, n_near, obs, predicted and variance: exponentially weighted mean of the neighbours' targets.
+
+    ``tgt`` is the place of the target in the task's list (of its own target alone if None). A row without a
+    neighbour has no row here; a neighbour without a target makes the prediction null.
+    """
+    tasks = p.tasks
+    at = [[p.ys.index(y) for y in (targets[i] if targets else [(t.target, t.tp)])] for i, t in enumerate(tasks)]
+
+    def finish(i, block, q, l, d, gap, y, place):
+        start = np.flatnonzero(place == 0)
+        if not len(start):
+            return {"p": start}
+        size = np.diff(np.append(start, len(q)))
+        w = np.exp(-d / np.repeat(np.maximum(np.minimum.reduceat(d, start), FLOOR), size))
+        total = np.add.reduceat(w, start)
+        own = q[start]
+        seen = obs_mask(tasks[i], block.row[own], block.n)
+        cols: dict[str, list] = {c: [] for c in ("tgt", "p", "n_near", "obs", "predicted", "variance")}
+        for j, place_ in enumerate(at[i]):
+            m = np.add.reduceat(w * y[:, j], start) / total
+            off = y[:, j] - np.repeat(m, size)
+            obs = np.where(seen, block.y[own, place_], np.nan)
+            for c, v in zip(cols, (np.full(len(own), j), block.row[own], size, obs, m, np.add.reduceat(w * off * off, start) / total)):
+                cols[c].append(v)
+        return {c: np.concatenate(v) for c, v in cols.items()}
+
+    return searched(p, at, finish, "series string, task int, tgt int, p bigint, n_near bigint, obs double, predicted double, variance double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,10 +83,17 @@ def task(columns, target, lib=None, pred=None, E=0, Tp=1, knn=0, tau=-1, radius=
     return Task(dims, targets[0], span_list(lib, "lib"), span_list(pred, "pred"), Tp, knn or E + 1, radius, E, tau, embedded, valid, ignore_nan, label or {})
 
 
+#: Estimated bytes of a table, and then its rows, from which rows are numbered in parallel; rows of a part in which
+#: shifts are taken; ranges of the first order column.
+BIG_BYTES, BIG_ROWS, SPAN, RANGES = 1 << 28, 1 << 20, 1 << 16, 64
+
+
 def numbered(df: DataFrame, columns: Iterable[str], time: str | None = None, series: str | None = None, order: Sequence[str] = (), extra: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """series, row (from 0), n, time and the columns as doubles, and the internal name of each column.
 
-    Rows are ordered by ``order`` if given, else by ``time``; a table has no other order. NaN becomes null.
+    Rows are ordered by ``order`` if given, else by ``time``; a table has no other order. NaN becomes null. A large table
+    is cut into ranges of the first order column: rows are numbered within a range, and each range's offset comes
+    from the counts of those before, so that no series is ordered by one task.
     """
     ship(df.sparkSession)
     columns = list(dict.fromkeys(columns))
@@ -103,16 +111,66 @@ def numbered(df: DataFrame, columns: Iterable[str], time: str | None = None, ser
         *((v.alias(k)) for k, v in (extra or {}).items()),
     )
     by = [f"_o{i}" for i in range(len(order))] or ["time"]
-    w = Window.partitionBy("series")
-    rows = rows.withColumn("row", F.row_number().over(w.orderBy(*by)).cast("bigint") - 1).withColumn("n", F.count("*").over(w).cast("bigint"))
+    cuts = _cuts(rows, by[0])
+    if cuts is None:
+        w = Window.partitionBy("series")
+        rows = rows.withColumn("row", F.row_number().over(w.orderBy(*by)).cast("bigint") - 1).withColumn("n", F.count("*").over(w).cast("bigint"))
+    else:
+        at = _ordinal(F.col(by[0]), rows.schema[by[0]].dataType.typeName())
+        rows = rows.withColumn("_k", F.coalesce(sum(((at > c).cast("int") for c in cuts), F.lit(0)), F.lit(0)))
+        w = Window.partitionBy("series")
+        held = rows.groupBy("series", "_k").agg(F.count("*").alias("_c"))
+        held = held.select(F.col("series").alias("_s"), F.col("_k").alias("_h"), F.coalesce(F.sum("_c").over(w.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"), F.sum("_c").over(w).cast("bigint").alias("n"))
+        rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("series", "_k").orderBy(*by)).cast("bigint") - 1)
+        rows = rows.join(held, F.col("series").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_h"))).withColumn("row", F.col("row") + F.col("_off"))
     if not time:
         rows = rows.withColumn("time", F.col("row") + 1)
     return rows.select("series", "row", "n", "time", *alias.values(), *(extra or {})), alias
 
 
-def shifted(c: str, by: int) -> Column:
+def _ordinal(c: Column, kind: str) -> Column | None:
+    """A number in the order of the column, if its type has one."""
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    return None if kind in ("string", "boolean", "binary", "struct", "array", "map") else c.cast("double")
+
+
+def _cuts(rows: DataFrame, first: str) -> list[float] | None:
+    """Values at which a large table is cut; None if it is small, or its order column can't be cut."""
+    at = _ordinal(F.col(first), rows.schema[first].dataType.typeName())
+    if at is None or estimated_bytes(rows) <= BIG_BYTES:
+        return None
+    n, q = rows.agg(F.count("*"), F.percentile_approx(at, [i / RANGES for i in range(1, RANGES)], 1000)).first()
+    return None if n <= BIG_ROWS or not q else sorted(set(q))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a table by the optimizer's estimate, which runs nothing; 0 if there is none."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # sessions without a JVM at hand
+        return 0
+
+
+def beside(base: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds columns by name: the value of a column so many rows later (earlier if negative).
+
+    The rows of a large table are worked on in parts of SPAN rows, to which those that the shifts reach are added.
+    """
+    moves = [s for _, s in wanted.values()]
+    if not any(moves) or estimated_bytes(base) <= BIG_BYTES:
+        return base.select("*", *(shifted(c, s).alias(a) for a, (c, s) in wanted.items()))
+    lo, hi = min(0, *moves), max(0, *moves)
+    part = base.withColumn("_b", F.explode(F.sequence(F.floor((F.col("row") - hi) / SPAN), F.floor((F.col("row") - lo) / SPAN))))
+    w = Window.partitionBy("series", "_b").orderBy("row")
+    return part.select("*", *(shifted(c, s, w).alias(a) for a, (c, s) in wanted.items())).where(F.col("_b") == F.floor(F.col("row") / SPAN)).drop("_b")
+
+
+def shifted(c: str, by: int, w=None) -> Column:
     """Value of a column ``by`` rows later (earlier if negative)."""
-    w = Window.partitionBy("series").orderBy("row")
+    w = w or Window.partitionBy("series").orderBy("row")
     return F.lead(c, by).over(w) if by > 0 else F.lag(c, -by).over(w) if by < 0 else F.col(c)
 
 
@@ -157,54 +215,95 @@ def obs_rows(t: Task) -> Column:
     return out
 
 
+def lib_mask(t: Task, row: np.ndarray, n: int) -> np.ndarray:
+    """:func:`lib_rows` of the rows of a series of n."""
+    out = np.zeros(len(row), bool)
+    pairs = t.lib or ((1, n),)
+    for i, (start, stop) in enumerate(pairs):
+        if not t.embedded:
+            start, stop = (start + t.shift, stop) if t.tau < 0 else (start, stop - t.shift)
+            start += max(0, abs(t.tp) - 1) if t.tp < 0 else 0
+        stop -= t.tp if t.tp >= 0 and i == len(pairs) - 1 else 0
+        out |= (row >= start - 1) & (row <= stop - 1)
+    return out & (row + t.tp >= 0) & (row + t.tp < n)
+
+
+def pred_mask(t: Task, row: np.ndarray, n: int) -> np.ndarray:
+    """:func:`pred_rows` of the rows of a series of n."""
+    out = np.zeros(len(row), bool)
+    for start, stop in t.pred or ((1, n),):
+        out |= (row >= start - 1) & (row <= stop - 1)
+    return out
+
+
+def obs_mask(t: Task, row: np.ndarray, n: int) -> np.ndarray:
+    """:func:`obs_rows` of the rows of a series of n."""
+    out = np.zeros(len(row), bool)
+    for start, stop in t.pred or ((1, n),):
+        a, b = start - 1, stop - 1
+        if not t.embedded:
+            a, b = (max(a, t.shift), b) if t.tau < 0 else (a, min(b, n - 1 - t.shift))
+        seen = (row + t.tp <= b) | (b + t.tp < n) if t.tp > 0 else (row + t.tp >= a) | (a + t.tp >= 0)
+        out |= (row >= a) & (row <= b) & seen
+    return out
+
+
 @dataclass
 class Prepared:
-    """A numbered series table with everything a set of tasks needs beside each row."""
+    """A numbered series table and, beside each row, the distinct values that a set of tasks needs.
+
+    ``wide`` has series, row, n, the shifted values d0, d1, ..., the targets y0, y1, ... and the validity v0, v1, ... of
+    each row. Columns ``lok``, ``pok`` (whether a row may be learnt from or predicted) and ``only`` (tasks to run) may be added to it.
+    """
 
     base: DataFrame
+    wide: DataFrame
     tasks: list[Task]
     observed: dict[str, str]
-    width: int
-    vectors: DataFrame
+    dims: list[tuple[str, int]]
+    ys: list[tuple[str, int]]
+    valid: list[str]
 
+    def slots(self, t: Task) -> list[int]:
+        return [self.dims.index(x) for x in t.dims]
 
-def prepared(df: DataFrame, tasks: list[Task], time: str | None = None, series: str | None = None, order: Sequence[str] = (), also: Iterable[str] = ()) -> Prepared:
-    """Base rows, and ``vectors``: series, row, n, task, is_lib, is_pred, x0..., y, obs, r, k for every task and row of use."""
-    valid = {v: f"v{i}" for i, v in enumerate(dict.fromkeys(t.valid for t in tasks if t.valid))}
-    columns = [c for t in tasks for c, _ in t.dims] + [t.target for t in tasks] + list(also)
-    base, alias = numbered(df, columns, time, series, order, {a: F.expr(v) for v, a in valid.items()})
+
+def prepared(df: DataFrame, tasks: list[Task], time: str | None = None, series: str | None = None, order: Sequence[str] = (), targets: Iterable[tuple[str, int]] = ()) -> Prepared:
+    """The table of a set of tasks; ``targets`` (column and rows ahead) are put beside each row along with those of the tasks.
+
+    With one series, spans must lie within it: ValueError. With many, a span ends where its series does.
+    """
+    valid = list(dict.fromkeys(t.valid for t in tasks if t.valid))
+    columns = [c for t in tasks for c, _ in t.dims] + [t.target for t in tasks] + [c for c, _ in targets]
+    base, alias = numbered(df, columns, time, series, order, {f"v{i}": F.coalesce(F.expr(v).cast("boolean"), F.lit(False)) for i, v in enumerate(valid)})
     dims = list(dict.fromkeys(x for t in tasks for x in t.dims))
-    ys = list(dict.fromkeys((t.target, t.tp) for t in tasks))
-    d_name = {x: f"d{i}" for i, x in enumerate(dims)}
-    y_name = {x: f"y{i}" for i, x in enumerate(ys)}
-    base = base.select("*", *(shifted(alias[c], s).alias(d_name[c, s]) for c, s in dims), *(shifted(alias[c], s).alias(y_name[c, s]) for c, s in ys))
-    width = max(len(t.dims) for t in tasks)
-    # the tasks differ in a few distinct parts only: each part is worked out once a row and looked up by task
-
-    def parts(keys: list, make) -> tuple[Column, Column]:
-        """An array of the distinct parts, and the task's place in it."""
-        distinct = list(dict.fromkeys(keys))
-        first = {k: keys.index(k) for k in distinct}
-        return F.array(*(make(tasks[first[k]]) for k in distinct)), chosen([distinct.index(k) for k in keys])
-
-    def chosen(values: list) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), F.col("task") + 1)
-
-    rule = lambda t: (t.tp, t.tau, t.e, t.embedded)
-    ok = lambda t: F.coalesce(F.col(valid[t.valid]).cast("boolean"), F.lit(False)) if t.valid else F.lit(True)
-    kinds = {
-        "is_lib": parts([(t.lib, t.valid, rule(t)) for t in tasks], lambda t: lib_rows(t) & ok(t)),
-        "is_pred": parts([t.pred for t in tasks], pred_rows),
-        "seen": parts([(t.pred, rule(t)) for t in tasks], obs_rows),
-        "y": parts([(t.target, t.tp) for t in tasks], lambda t: F.col(y_name[t.target, t.tp])),
-    }
-    every = F.array(*(F.col(d_name[x]) for x in dims), F.lit(0.0))
-    slots = [[dims.index(t.dims[j]) if j < len(t.dims) else len(dims) for t in tasks] for j in range(width)]
-    v = base.select("series", "row", "n", every.alias("d"), *(a.alias(k) for k, (a, _) in kinds.items()), F.explode(F.array(*map(F.lit, range(len(tasks))))).alias("task"))
-    v = v.select("series", "row", "n", "task", *(F.get("d", chosen(slot)).alias(f"x{j}") for j, slot in enumerate(slots)), *(F.get(k, at).alias(k) for k, (_, at) in kinds.items()), chosen([t.radius for t in tasks]).alias("r"), chosen([t.knn for t in tasks]).alias("k"))
-    v = v.where("is_lib OR is_pred").where(" AND ".join(f"x{j} IS NOT NULL" for j in range(width)))
-    v = v.withColumn("obs", F.when(F.col("seen"), F.col("y"))).drop("seen")
-    return Prepared(base, tasks, alias, width, v)
+    ys = list(dict.fromkeys([*((t.target, t.tp) for t in tasks), *targets]))
+    wanted = {f"d{i}": (alias[c], s) for i, (c, s) in enumerate(dims)} | {f"y{i}": (alias[c], s) for i, (c, s) in enumerate(ys)}
+    wide = beside(base, wanted).select("series", "row", "n", *wanted, *(f"v{i}" for i in range(len(valid))))
+    if series is None:
+        last = max((b for t in tasks for spans in (t.lib, t.pred) for _, b in spans or ()), default=0)
+        if last:
+            # raised by the task that meets it, so that nothing runs before the table is asked for
+            short = F.raise_error(F.concat(F.lit(f"lib or pred reach row {last} of a series of "), F.col("n"), F.lit(" rows")))
+            wide = wide.withColumn("n", F.when(F.col("n") < last, short.cast("bigint")).otherwise(F.col("n")))
+    return Prepared(base, wide, list(tasks), alias, dims, ys, valid)
+
+
+def meet(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; the keys of ``a`` stay."""
+    other = b.withColumnsRenamed({k: f"_{k}_" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}_")) if k == "series" else F.col(k) == F.col(f"_{k}_") for k in keys]
+    return a.join(other, on, how).drop(*(f"_{k}_" for k in keys))
+
+
+def used_rows(p: Prepared, t: Task, lib: bool) -> DataFrame:
+    """series and row of the rows that a task learns from, or predicts."""
+    ok = lib_rows(t) if lib else pred_rows(t)
+    if lib and t.valid:
+        ok = ok & F.col(f"v{p.valid.index(t.valid)}")
+    for i in p.slots(t):
+        ok = ok & F.col(f"d{i}").isNotNull()
+    return p.wide.where(ok).select("series", "row")
 
 
 def embed(df: DataFrame, E: int, tau: int = -1, columns=None, time: str | None = None, series: str | None = None, order: Sequence[str] = (), include_time: bool = False, plusminus: bool = False, keep_row: bool = False) -> DataFrame:

@@ -4,38 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.operators.neighbors import nearest
-from tidelag.operators.series import Prepared, Task, prepared
-
-#: Fixed value: least distance that weights are scaled by.
-FLOOR = 1e-6
-
-
-def weighted(near: DataFrame, keys: Sequence[str] = ("series", "task", "blk", "p"), y: str = "y") -> DataFrame:
-    """series, task, p, n_near, obs, predicted and variance of every row with a neighbour.
-
-    A neighbour without a target makes the prediction null.
-    """
-    w = Window.partitionBy(*keys)
-    rows = near.withColumn("w", F.exp(-F.col("dist") / F.greatest(F.min("dist").over(w), F.lit(FLOOR))))
-    rows = rows.withColumn("m", F.sum(F.col("w") * F.col(y)).over(w) / F.sum("w").over(w))
-    g = rows.groupBy(*keys).agg(
-        F.count("*").alias("n_near"),
-        F.count(y).alias("n_y"),
-        F.max("m").alias("m"),
-        F.max("obs").alias("obs"),
-        (F.sum(F.col("w") * (F.col(y) - F.col("m")) * (F.col(y) - F.col("m"))) / F.sum("w")).alias("v"),
-    )
-    whole = F.col("n_y") == F.col("n_near")
-    return g.select(*keys, "n_near", "obs", F.when(whole, F.col("m")).alias("predicted"), F.when(whole, F.col("v")).alias("variance"))
-
+from tidelag.operators.neighbors import weighted
+from tidelag.operators.series import Prepared, Task, meet, prepared
 
 def forecasts(p: Prepared) -> DataFrame:
-    """series, task, p (the row predicted from), predicted, variance."""
-    return weighted(nearest(p)).select("series", "task", "p", "n_near", "obs", "predicted", "variance")
+    """series, task, p (the row predicted from), n_near, obs, predicted, variance."""
+    return weighted(p).select("series", "task", "p", "n_near", "obs", "predicted", "variance")
 
 
 def segments(t: Task):
@@ -73,7 +50,7 @@ def projection(p: Prepared, found: DataFrame, extra: Sequence[str] = ()) -> Data
     targets = F.create_map(*(x for i, t in enumerate(p.tasks) for x in (F.lit(i), F.col(p.observed[t.target])))) if len({t.target for t in p.tasks}) > 1 else None
     one = F.col(p.observed[p.tasks[0].target])
     seen = p.base.select("series", "row", "time", *( [targets.alias("obs")] if targets is not None else [one.alias("obs")]))
-    out = rows.join(seen, ["series", "row"], "left")
+    out = meet(rows, seen, ["series", "row"], "left")
     obs = F.col("obs")[F.col("task")] if targets is not None else F.col("obs")
     kind = p.base.schema["time"].dataType.typeName()
     beyond = F.when(F.col("row") >= F.col("n"), F.col("row") - F.col("n") + 1).otherwise(F.col("row"))
@@ -90,7 +67,7 @@ def projection(p: Prepared, found: DataFrame, extra: Sequence[str] = ()) -> Data
         carried = (origin + beyond * (F.col("t1") - F.col("t0"))).cast(p.base.schema["time"].dataType)
     made = found.select("series", "task", F.col("p"), "predicted", "variance", *extra)
     out = out.withColumn("p", F.col("row") - F.col("tp"))
-    out = out.join(made, ["series", "task", "p"], "left")
+    out = meet(out, made, ["series", "task", "p"], "left")
     own = F.col("p").between(F.col("a"), F.col("b"))
     return out.select(
         "series", "task", "seg", "row",

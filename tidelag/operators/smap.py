@@ -1,42 +1,41 @@
-"""Locally weighted linear maps (S-Map): Arrow-batched solves over packed libraries."""
+"""Locally weighted linear maps (S-Map): blocks of predicted rows are solved against the streamed library."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.operators.series import Prepared, Task
+from tidelag.operators.neighbors import CELLS, PIECE, PLACES, Piece, chosen, near_band, pieces, streamed
+from tidelag.operators.series import Prepared, Task, obs_mask
 from tidelag.operators.solvers import lstsq, solver as as_solver
 
-#: Predicted rows solved in one packed row; the series' library goes along with each.
-BLOCK = 64
 
+def ranked(lx: np.ndarray, lrow: np.ndarray, px: np.ndarray, prow: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest library rows of each predicted row, their distances, and how many may be used.
 
-def packed(p: Prepared, block: int = BLOCK) -> DataFrame:
-    """series, task, blk, lrow, lx, ly (library of the series and task) and prow, px (a block of predicted rows)."""
-    x = F.array(*(f"x{i}" for i in range(p.width)))
-    lib = p.vectors.where("is_lib").groupBy("series", "task").agg(F.sort_array(F.collect_list(F.struct("row", x.alias("x"), "y"))).alias("l"))
-    lib = lib.select("series", "task", F.col("l.row").alias("lrow"), F.flatten("l.x").alias("lx"), F.transform("l.y", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("ly"))
-    pred = p.vectors.where("is_pred").groupBy("series", "task", F.floor(F.col("row") / block).alias("blk")).agg(F.sort_array(F.collect_list(F.struct("row", x.alias("x")))).alias("q"))
-    pred = pred.select("series", "task", "blk", F.col("q.row").alias("prow"), F.flatten("q.x").alias("px"))
-    return pred.join(lib, ["series", "task"])
-
-
-def ranked(lx: np.ndarray, lrow: np.ndarray, px: np.ndarray, prow: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the library for each predicted row, its distances in that order, and how many may be used."""
+    Usable ones stand first. They are in order of distance only where not all of the library is asked for.
+    """
     d2 = np.zeros((len(px), len(lx)))
     for j in range(lx.shape[1]):
         off = px[:, j, None] - lx[None, :, j]
-        d2 += off * off
-    d = np.sqrt(d2)
-    gap = np.abs(prow[:, None] - lrow[None, :])
-    d[gap <= radius] = np.inf
-    order = np.lexsort((np.broadcast_to(lrow, d.shape), gap, np.round(d, 12)), axis=-1)
-    return order, np.take_along_axis(d, order, 1), np.isfinite(d).sum(axis=1)
+        off *= off
+        d2 += off
+    d = np.sqrt(d2, out=d2)
+    bi, bj = near_band(prow, lrow, radius)
+    d[bi, bj] = np.inf
+    usable = np.full(len(px), len(lx)) - np.bincount(bi, minlength=len(px))
+    if k >= len(lx):
+        order = np.argsort(np.isinf(d), axis=1, kind="stable") if len(bi) else np.broadcast_to(np.arange(len(lx)), d.shape)
+    elif (usable <= k).all():  # all that may be used are asked for
+        order = np.argsort(np.isinf(d), axis=1, kind="stable")[:, :k]
+    else:
+        gap = np.abs(prow[:, None] - lrow[None, :])
+        order = np.lexsort((np.broadcast_to(lrow, d.shape), gap, np.round(d, PLACES)), axis=-1)[:, :k]
+    return order, np.take_along_axis(d, order, 1), usable
 
 
 def solve_block(order, dist, usable, lx, ly, px, k: int, theta: float, solve) -> tuple[np.ndarray, ...]:
@@ -82,31 +81,59 @@ def solve_block(order, dist, usable, lx, ly, px, k: int, theta: float, solve) ->
 
 
 def forecasts(p: Prepared, thetas: Sequence[float], solver=None) -> DataFrame:
-    """series, task, theta, p, predicted, variance, coef, sing of every predicted row, task and theta.
+    """series, task, theta, p, obs, predicted, variance, coef, sing of every predicted row, task and theta.
 
     A task with knn 0 uses one neighbour less than its library has. Neighbours without a target are left out of the
-    solve but count for the mean distance. Distances are ranked once for all thetas.
+    solve but count for the mean distance. Distances are taken once for all thetas. As every row's fit is over the
+    whole library, a task holds the library's numbers of its series (never its rows' pairs).
     """
     tasks: list[Task] = p.tasks
     solve = as_solver(solver)
     thetas = [float(t) for t in thetas]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                t = tasks[r.task]
-                e = len(t.dims)
-                lrow, prow = np.asarray(r.lrow), np.asarray(r.prow)
-                lx = np.asarray(r.lx, float).reshape(len(lrow), -1)[:, :e]
-                px = np.asarray(r.px, float).reshape(len(prow), -1)[:, :e]
-                ly = np.asarray(r.ly, float)
-                order, dist, usable = ranked(lx, lrow, px, prow, t.radius)
-                k = t.knn or max(1, len(lrow) - 1)
+    slots = [p.slots(t) for t in tasks]
+    valid = [p.valid.index(t.valid) if t.valid else None for t in tasks]
+    aims = [p.ys.index((t.target, t.tp)) for t in tasks]
+    sizes = len(p.dims), len(p.ys), len(p.valid), PIECE
+    schema = "series string, task int, theta double, p bigint, obs double, predicted double, variance double, coef array<double>, sing array<double>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def lists(v: np.ndarray) -> pa.Array:
+        n, w = v.shape
+        return pa.ListArray.from_arrays(np.arange(0, n * w + 1, w, dtype=np.int32), pa.array(v.ravel(), from_pandas=True))
+
+    def solved(parts: list[Piece]) -> Iterator[pa.RecordBatch]:
+        own = parts[0].part(0, int(parts[0].own.sum()))
+        at = np.argsort(np.concatenate([q.row for q in parts]), kind="stable")
+        each = lambda f: np.concatenate([getattr(q, f) for q in parts])[at]
+        lib = Piece(own.series, each("row"), own.n, each("own"), each("x"), each("y"), each("valid"), each("teaches"), each("predicted"), own.only)
+        for i, t in enumerate(tasks):
+            q, l = chosen(own, t, slots[i], valid[i], False), chosen(lib, t, slots[i], valid[i], True)
+            if not len(q) or not len(l):
+                continue
+            target = aims[i]
+            lx, ly, lrow = lib.x[l][:, slots[i]], lib.y[l, target], lib.row[l]
+            k = min(t.knn or max(1, len(l) - 1), len(l))
+            obs = np.where(obs_mask(t, own.row[q], own.n), own.y[q, target], np.nan)
+            step = max(1, CELLS // (len(l) * (len(slots[i]) + 1)))
+            for a in range(0, len(q), step):
+                part = q[a : a + step]
+                px, prow = own.x[part][:, slots[i]], own.row[part]
+                order, dist, usable = ranked(lx, lrow, px, prow, t.radius, k)
                 for theta in thetas:
                     value, variance, coef, sing = solve_block(order, dist, usable, lx, ly, px, k, theta, solve)
-                    yield pd.DataFrame({"series": r.series, "task": np.int32(r.task), "theta": theta, "p": prow, "predicted": value, "variance": variance, "coef": list(coef), "sing": list(sing)})
-
-    made = packed(p).mapInPandas(run, "series string, task int, theta double, p bigint, predicted double, variance double, coef array<double>, sing array<double>")
-    null = lambda c: F.when(~F.isnan(c), F.col(c))
-    each = lambda c: F.transform(c, lambda v: F.when(~F.isnan(v), v))
-    return made.select("series", "task", "theta", "p", null("predicted").alias("predicted"), null("variance").alias("variance"), each("coef").alias("coef"), each("sing").alias("sing"))
+                    m = len(part)
+                    cols = [pa.array([own.series] * m, pa.string()), pa.array(np.full(m, i, np.int32)), pa.array(np.full(m, theta)), pa.array(prow)]
+                    cols += [pa.array(v, from_pandas=True) for v in (obs[a : a + step], value, variance)]
+                    yield pa.RecordBatch.from_arrays([*cols, lists(coef), lists(sing)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[Piece] = []
+        for first, piece in pieces(batches, *sizes):
+            if first and parts:
+                yield from solved(parts)
+                parts = []
+            parts.append(piece)
+        if parts:
+            yield from solved(parts)
+
+    return streamed(p).mapInArrow(run, schema)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidelag.functions.skill import errors, pearson
 from tidelag.operators import simplex, smap
-from tidelag.operators.neighbors import nearest
-from tidelag.operators.series import Task, name_list, number_list, numbered, prepared, shifted, span_list, task, with_task
+from tidelag.operators.neighbors import weighted
+from tidelag.operators.series import Task, meet, name_list, number_list, prepared, span_list, task, with_task
 
 #: Tasks of one plan; more are put together by union.
 PLAN_TASKS = 512
@@ -36,7 +36,7 @@ def skills(df: DataFrame, tasks: list[Task], names: Sequence[str], kinds: Sequen
         p = prepared(df, part, time, series, order)
         every = p.base.select("series").distinct().withColumn("task", F.explode(F.array(*map(F.lit, range(len(part))))))
         got = errors(simplex.forecasts(p), ["series", "task"], "obs", "predicted")
-        one = labelled(every.join(got, ["series", "task"], "left"), part, names, kinds).select("series", *names, "rho", "MAE", "CAE", "RMSE")
+        one = labelled(meet(every, got, ["series", "task"], "left"), part, names, kinds).select("series", *names, "rho", "MAE", "CAE", "RMSE")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -62,8 +62,7 @@ def predict_exclusion_radius(df, columns, target, lib=None, pred=None, radii: It
 def smap_sweep(df, tasks: list[Task], thetas, names, kinds, solver=None, time=None, series=None, order=()) -> DataFrame:
     """series, the label columns, theta and skill of locally weighted maps."""
     p = prepared(df, tasks, time, series, order)
-    obs = p.vectors.where("is_pred").select("series", "task", F.col("row").alias("p"), "obs")
-    made = smap.forecasts(p, thetas, solver).join(obs, ["series", "task", "p"])
+    made = smap.forecasts(p, thetas, solver)
     return labelled(errors(made, ["series", "task", "theta"], "obs", "predicted"), tasks, names, kinds).select("series", *names, "theta", "rho", "MAE", "CAE", "RMSE")
 
 
@@ -110,25 +109,9 @@ def cross_map_matrix(df, columns, E: int | Sequence[int] = 1, Tp=1, tau=-1, radi
     columns = name_list(columns)
     es = [int(E)] * len(columns) if isinstance(E, int) else [int(e) for e in E]
     tasks = [task([c], [c], lib, pred, E=e, Tp=Tp, tau=tau, radius=radius) for c, e in zip(columns, es)]
-    p = prepared(df, tasks, time, series, order, also=columns)
-    near = nearest(p)
-    w = Window.partitionBy("series", "task", "blk", "p")
-    near = near.withColumn("w", F.exp(-F.col("dist") / F.greatest(F.min("dist").over(w), F.lit(simplex.FLOOR)))).select("series", "task", "p", "l", "w")
-    # the targets Tp rows on from every row, in one array
-    ahead = p.base.select("series", F.col("row").alias("l"), F.array(*(shifted(p.observed[c], Tp) for c in columns)).alias("ys"))
-    each = near.join(ahead, ["series", "l"]).select("series", "task", "p", "w", F.posexplode("ys").alias("tgt", "y"))
-    made = each.groupBy("series", "task", "p", "tgt").agg(F.when(F.count("y") == F.count("*"), F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("predicted"))
-    seen = p.vectors.where("is_pred").select("series", "task", F.col("row").alias("p"), F.col("obs").isNotNull().alias("o"))
-    where = p.base.select("series", F.col("row").alias("p"), "n", F.array(*(shifted(p.observed[c], Tp) for c in columns)).alias("ys"))
-    spans = span_list(pred, "pred")
-    if spans is None:
-        ok = (F.col("p") + Tp).between(0, F.col("n") - 1) if Tp <= 0 else F.col("p") + Tp < F.col("n")
-    else:
-        ok = F.lit(False)
-        for a, b in spans:
-            ok = ok | (F.col("p").between(a - 1, b - 1) & ((F.col("p") + Tp <= b - 1) | (F.lit(b - 1 + Tp) < F.col("n")) if Tp > 0 else (F.col("p") + Tp >= 0)))
-    del seen
-    both = made.join(where, ["series", "p"]).select("series", "task", "tgt", "predicted", F.when(ok, F.element_at("ys", F.col("tgt") + 1)).alias("obs"))
+    every = [(c, Tp) for c in columns]
+    p = prepared(df, tasks, time, series, order, every)
+    both = weighted(p, [every] * len(tasks))
     rho = errors(both, ["series", "task", "tgt"], "obs", "predicted").select("series", "task", "tgt", "rho")
     name = lambda i: F.element_at(F.array(*map(F.lit, columns)), F.col(i) + 1)
     out = rho.select("series", name("task").alias("source"), name("tgt").alias("target"), "rho")
@@ -157,7 +140,7 @@ def embed_dim_columns(df, columns, target=None, max_e=15, min_e=1, lib=None, pre
     else:
         best = s.where("rho IS NOT NULL").groupBy(*keys).agg(F.max(F.struct("rho", (-F.col("E")).alias("smaller"), "E")).alias("b"))
     every = s.select(*keys).distinct()
-    return every.join(best, keys, "left").select(*keys, F.coalesce("b.E", F.lit(0)).alias("E"), F.bround("b.rho", 4).cast("float").alias("rho"))
+    return meet(every, best, keys, "left").select(*keys, F.coalesce("b.E", F.lit(0)).alias("E"), F.bround("b.rho", 4).cast("float").alias("rho"))
 
 
 def multiview(df, columns, target, lib=None, pred=None, D=0, E=1, Tp=1, tau=-1, views=0, radius=0, train_lib=True, exclude_target=False, rows: int | None = None, time=None, series=None, order=()) -> tuple[DataFrame, DataFrame]:
@@ -190,8 +173,9 @@ def multiview(df, columns, target, lib=None, pred=None, D=0, E=1, Tp=1, tau=-1,
     w = Window.partitionBy("series").orderBy(F.col("rho").desc_nulls_last(), "task")
     top = ranking.select("series", "task", F.row_number().over(w).alias("rank"), "rho").where(F.col("rank") <= k).select("series", "task", "rank")
     if train_lib:
-        final.vectors = final.vectors.join(top, ["series", "task"], "left_semi")
-    made = simplex.forecasts(final).join(top, ["series", "task"])
+        some = top.groupBy(F.col("series").alias("_s")).agg(F.collect_list("task").alias("only"))  # at most the views' number
+        final.wide = final.wide.join(some, F.col("series").eqNullSafe(F.col("_s"))).drop("_s")
+    made = meet(simplex.forecasts(final), top, ["series", "task"])
     view = errors(made, ["series", "task", "rank"], "obs", "predicted").select("series", "rank", F.element_at(names, F.col("task") + 1).alias("Columns"), "rho", "MAE", "CAE", "RMSE")
     mean = made.groupBy("series", "p").agg(F.avg("predicted").alias("predicted")).withColumn("task", F.lit(0)).withColumn("variance", F.lit(None).cast("double"))
     one = prepared(df, [make(combos[0], pred)], time, series, order)

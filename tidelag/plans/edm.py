@@ -156,7 +156,7 @@ def embed_plusminus(spark, d):
 
 def _lib(spark, d, df, **kw):
     p = series.prepared(df, [series.task(**kw)], "time")
-    return p.vectors.where("is_lib").select("row")
+    return series.used_rows(p, p.tasks[0], True).select("row")
 
 
 def _lib_sql(base, **kw):
@@ -180,8 +180,8 @@ def disjoint_lib(spark, d):
 
 @query(f"WITH {HG}, {ROWS}, {near_sql('s', **_NAN)} SELECT 'lib' AS part, row FROM l UNION ALL SELECT 'pred', row FROM q")
 def remove_nan(spark, d):
-    v = series.prepared(gappy(spark, d), [series.task(**_NAN)], "time").vectors
-    return v.where("is_lib").select(F.lit("lib").alias("part"), "row").unionAll(v.where("is_pred").select(F.lit("pred"), "row"))
+    p = series.prepared(gappy(spark, d), [series.task(**_NAN)], "time")
+    return series.used_rows(p, p.tasks[0], True).select(F.lit("lib").alias("part"), "row").unionAll(series.used_rows(p, p.tasks[0], False).select(F.lit("pred"), "row"))
 
 
 @query(_lib_sql(H, **_NAN, valid="(v > 1000)"))
@@ -445,9 +445,10 @@ f{tag} AS (SELECT p, sm, lib_size, any_value(obs) AS obs, sum(w * y) / sum(w) AS
 r{tag} AS (SELECT lib_size, sm AS sample, corr(obs, predicted) AS rho FROM f{tag} GROUP BY 1, 2)"""
 
 
-@query(f"WITH {HM}, {ROWS}, {ccm_sql('click', 'view', 3, [100000], 1, 1, 'a')}, {ccm_sql('view', 'click', 3, [100000], 1, 1, 'b')} SELECT 'click:view' AS direction, round(rho, 6) AS rho FROM ra UNION ALL SELECT 'view:click', round(rho, 6) FROM rb")
+@query(f"WITH {HM}, {ROWS}, {ccm_sql('click', 'view', 3, ['(SELECT count(*) FROM s)'], 1, 1, 'a')}, {ccm_sql('view', 'click', 3, ['(SELECT count(*) FROM s)'], 1, 1, 'b')} SELECT 'click:view' AS direction, round(rho, 6) AS rho FROM ra UNION ALL SELECT 'view:click', round(rho, 6) FROM rb")
 def ccm_full_library(spark, d):
-    return ccm.ccm(hourly_kinds(spark, d), "click", "view", [100000], 1, 3, time="time", sampler="hash").select("direction", F.round("rho", 6).alias("rho"))
+    h = hourly_kinds(spark, d)
+    return ccm.ccm(h, "click", "view", [h.count()], 1, 3, time="time", sampler="hash").select("direction", F.round("rho", 6).alias("rho"))
 
 
 @query(f"WITH {HM}, {ROWS}, {ccm_sql('click', 'view', 2, [20, 100, 300], 3, 7, 'a')}, {ccm_sql('view', 'click', 2, [20, 100, 300], 3, 7, 'b')} "
