@@ -162,3 +162,36 @@ def test_span_of_one_record_meets_the_others_of_its_key(spark, ids):
         assert share == {k: len(want[k]) for k in ids} == {ids[0]: 3 * len(p), ids[1]: len(p)}
         got = {r.doc_id: (r.start, r.stop) for r in spans.shared_spans(df, least=least).collect()}
         assert got == {ids[0]: (0, 3 * len(p)), ids[1]: (0, len(p))}
+
+
+def test_thue_morse_records_are_told_apart(spark):
+    """Polynomials modulo a power of two can't tell such texts from each other."""
+    def morse(bits, swap):
+        t = [0]
+        for _ in range(bits):
+            t += [1 - x for x in t]
+        return "".join("ab"[x ^ swap] for x in t)
+
+    rows = []
+    for bits in (10, 11, 12):
+        rows += [(bits * 10 + swap, "<" * 200 + str(bits) * 3 + morse(bits, swap) + ">") for swap in (0, 1)]
+    texts = dict(rows)
+    df = spark.createDataFrame([(k, v) for k, v in rows], "doc_id long, text string")
+    for least in (1024, 140):
+        got = {}
+        for r in spans.shared_spans(df, least=least).collect():
+            got.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+        for k, t in texts.items():
+            want = set()
+            for x in range(len(t) - least + 1):
+                if any(t[x : x + least] in o for j, o in texts.items() if j != k):
+                    want |= set(range(x, x + least))
+            assert got.get(k, set()) == want
+
+
+def test_digests_are_of_the_texts_themselves():
+    texts = ["abc😀def", "é" * 40, "abc😀def"]
+    code, _, begin = spans._codes(texts)
+    h = spans.digests(code.tobytes(), begin[:-1], begin[1:])
+    assert (h[0] == h[2]).all() and not (h[0] == h[1]).all()
+    assert (spans.digests(code.tobytes(), begin[:1] + 1, begin[:1] + 4) == spans.digests(code.tobytes(), begin[2:3] + 1, begin[2:3] + 4)).all()

@@ -11,6 +11,8 @@ thus has a key, the symbols whose context lies inside it, that equal windows sha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,11 @@ from tidelag.shared import quoted, ship, written
 U = np.uint64
 ROUNDS = 9
 #: Code points of the texts that are parsed at once.
-TOGETHER = 1 << 19
-#: Odd multipliers of the polynomial hashes modulo 2**64, and seeds.
-BASES = (U(0x9E3779B97F4A7C15 | 1), U(0xC2B2AE3D27D4EB4F | 1))
-SEEDS = (U(0x165667B19E3779F9), U(0x27D4EB2F165667C5))
+TOGETHER = 1 << 16
+#: Multipliers that spread pairs and runs before they are mixed.
+SPREAD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), 0x632BE59BD9B4E019)
+#: Bytes of the digests by which texts are compared.
+DIGEST = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,9 +42,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Name of every code point."""
+    return mixed(np.arange(1, 0x110001, dtype=U))
+
+
 def named(a: np.ndarray, b: np.ndarray, what: int) -> np.ndarray:
     """Name of a pair (what even) or a run (what odd) in the round what // 2."""
-    return mixed(mixed(a + U(0x632BE59BD9B4E019 * (what + 1) & (1 << 64) - 1)) * U(3) + b)
+    return mixed(a * SPREAD[0] + b * SPREAD[1] + U(SPREAD[2] * (what + 1) & (1 << 64) - 1))
 
 
 def parse(code: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
@@ -51,82 +60,82 @@ def parse(code: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.n
     of the text reaches beyond it by one: no window holds it.
     """
     n = len(code)
-    name = mixed(code.astype(U) + U(1))
-    s = np.arange(n, dtype=np.int64)
-    e = s.copy()
-    cs, ce = s.copy(), s.copy()
-    doc = doc.astype(np.int64)
+    name = letters()[code]
+    e = np.arange(n, dtype=np.int32)
+    cs, ce = e.copy(), e.copy()
+    # symbols tile the texts: one begins where the one before ends
+    edge = np.ones(n, bool)  # first of its text
+    edge[1:] = doc[1:] != doc[:-1]
+
+    def begins(e: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(min(1, len(e)), np.int32), e[:-1] + np.int32(1)])
+
     for r in range(rounds):
         for runs in (True, False):
             m = len(name)
             if m < 2:
-                return name, s, e, cs, ce, doc
-            same_doc = doc[1:] == doc[:-1]
+                break
+            inner = ~edge[1:]
+            s = begins(e)
             if runs:
-                join = same_doc & (name[1:] == name[:-1])
-                # a symbol's fate depends on the neighbours on both sides
-                sees_left, sees_right = np.ones(m, bool), np.ones(m, bool)
+                # a symbol's fate depends on the neighbours on both sides: on one code point of a neighbour that is seen to
+                # differ by its own first or last, else on all that decides the neighbour's name
+                np.minimum(cs, s - np.int32(1), out=cs)
+                np.maximum(ce, e + np.int32(1), out=ce)
+                last, first = code[e], code[s]
+                alike = np.flatnonzero(inner & (last[1:] == last[:-1]))
+                back = np.flatnonzero(inner & (first[1:] == first[:-1]))
+                lo, hi = cs[alike].copy(), ce[alike].copy()
+                lo_, hi_ = cs[back + 1].copy(), ce[back + 1].copy()
+                cs[alike + 1] = np.minimum(cs[alike + 1], lo)
+                ce[alike + 1] = np.maximum(ce[alike + 1], hi)
+                cs[back] = np.minimum(cs[back], lo_)
+                ce[back] = np.maximum(ce[back], hi_)
+                join = inner & (name[1:] == name[:-1])
+                if not join.any():
+                    continue
             else:
-                left = (mixed(name + U(0xD6E8FEB86659FD93 * (r + 1) & (1 << 64) - 1)) >> U(63)) == 0
-                join = same_doc & left[:-1] & ~left[1:]
-                # a left one may only join the next, a right one only the one before
-                sees_left, sees_right = ~left, left
-            # context for this step: of a neighbour that counts, all that decides its name; of one that is
-            # seen to differ by the symbol's own first or last code point, that one alone
-            a, b = cs.copy(), ce.copy()
-            a[0] = min(a[0], s[0] - 1) if sees_left[0] else a[0]
-            b[-1] = max(b[-1], e[-1] + 1) if sees_right[-1] else b[-1]
-            differs_left = code[e[1:]] != code[e[:-1]] if runs else np.zeros(m - 1, bool)
-            differs_right = code[s[:-1]] != code[s[1:]] if runs else np.zeros(m - 1, bool)
-            near = s[1:] - 1
-            lo = np.where(same_doc & ~differs_left, cs[:-1], near)
-            hi = np.where(same_doc & ~differs_left, ce[:-1], near)
-            a[1:] = np.where(sees_left[1:], np.minimum(cs[1:], lo), cs[1:])
-            b[1:] = np.where(sees_left[1:], np.maximum(b[1:], hi), b[1:])
-            near = e[:-1] + 1
-            lo = np.where(same_doc & ~differs_right, cs[1:], near)
-            hi = np.where(same_doc & ~differs_right, ce[1:], near)
-            a[:-1] = np.where(sees_right[:-1], np.minimum(a[:-1], lo), a[:-1])
-            b[:-1] = np.where(sees_right[:-1], np.maximum(b[:-1], hi), b[:-1])
-            first = np.ones(m, bool)
-            first[1:] = ~join
-            at = np.flatnonzero(first)
+                # names are spread evenly, so each round takes another of their bits
+                left = (name >> U(r + 7)) & U(1) == 0
+                join = inner & left[:-1] & ~left[1:]
+                # a left one may only join the next, a right one only the one before, and depends on all that decides it
+                a = np.flatnonzero(inner & left[:-1])
+                b = np.flatnonzero(inner & ~left[1:])
+                lo, hi, lo_, hi_ = cs[a + 1], ce[a + 1], cs[b], ce[b]
+                out_left, out_right = s - np.int32(1), e + np.int32(1)
+                lonely = np.flatnonzero(left & np.append(edge[1:], True))
+                ce[lonely] = np.maximum(ce[lonely], out_right[lonely])
+                lonely = np.flatnonzero(~left & edge)
+                cs[lonely] = np.minimum(cs[lonely], out_left[lonely])
+                cs[a] = np.minimum(cs[a], lo)
+                ce[a] = np.maximum(ce[a], hi)
+                cs[b + 1] = np.minimum(cs[b + 1], lo_)
+                ce[b + 1] = np.maximum(ce[b + 1], hi_)
+            head = np.append(True, ~join)
+            at = np.flatnonzero(head)
             size = np.diff(np.append(at, m))
-            new = name[at].copy()
-            big = size > 1
+            big = np.flatnonzero(size > 1)
+            tail = at + size - 1
+            new, ncs, nce = name[at], cs[at], ce[at]
             if runs:
                 new[big] = named(name[at[big]], size[big].astype(U), 2 * r + 1)
+                member = np.flatnonzero(np.repeat(size > 1, size))
+                cut = np.cumsum(size[big]) - size[big]
+                ncs[big], nce[big] = np.minimum.reduceat(cs[member], cut), np.maximum.reduceat(ce[member], cut)
             else:
-                new[big] = named(name[at[big]], name[at[big] + 1], 2 * r)
-            last = at + size - 1
-            name, doc = new, doc[at]
-            s, e = s[at], e[last]
-            cs, ce = np.minimum.reduceat(a, at), np.maximum.reduceat(b, at)
-    return name, s, e, cs, ce, doc
-
-
-class Rolling:
-    """Hashes of substrings in constant time: two polynomials modulo 2**64."""
-
-    def __init__(self, x: np.ndarray):
-        n = len(x)
-        self.sums, self.back = [], []
-        for base, seed in zip(BASES, SEEDS):
-            inverse = U(pow(int(base), -1, 1 << 64))
-            up = np.ones(n + 1, U)
-            up[1:] = base
-            np.multiply.accumulate(up, out=up)
-            down = np.ones(n + 1, U)
-            down[1:] = inverse
-            np.multiply.accumulate(down, out=down)
-            p = np.zeros(n + 1, U)
-            np.cumsum(mixed(x.astype(U) + seed) * up[:n], dtype=U, out=p[1:])
-            self.sums.append(p)
-            self.back.append(down)
-
-    def of(self, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
-        """Two hashes of x[lo:hi], each mixed with the length."""
-        return [mixed((p[hi] - p[lo]) * d[lo] + (hi - lo).astype(U)).view(np.int64) for p, d in zip(self.sums, self.back)]
+                x = at[big]
+                new[big] = named(name[x], name[x + 1], 2 * r)
+                ncs[big], nce[big] = np.minimum(cs[x], cs[x + 1]), np.maximum(ce[x], ce[x + 1])
+            name, e, edge, cs, ce = new, e[tail], edge[at], ncs, nce
+    s = begins(e)
+    return name, s, e, cs, ce, doc[s] if len(s) else np.zeros(0, np.int64)
+
+
+def digests(text: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2b digests, as two numbers each, of the code points lo to hi of a text of four bytes a code point."""
+    whole = memoryview(text)
+    got = b"".join([blake2b(whole[a:b], digest_size=DIGEST).digest() for a, b in zip((4 * lo).tolist(), (4 * hi).tolist())])
+    return np.frombuffer(got, np.int64).reshape(-1, 2)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +165,7 @@ def ranges(texts: list[str], least: int, rounds: int = ROUNDS) -> tuple[np.ndarr
     at = np.concatenate([lo_w, hi_w + 1, begin[has], (begin[has] + windows[has])])
     add = np.concatenate([value, U(0) - value, np.zeros(2 * len(has), U)])
     of = np.concatenate([d, d, has, has])
-    order = np.lexsort((at, of))
+    order = np.argsort(at + of, kind="stable")  # texts lie one after the other
     at, add, of = at[order], np.cumsum(add[order], dtype=U), of[order]
     lead = np.append((at[1:] != at[:-1]) | (of[1:] != of[:-1]), True) if len(at) else np.zeros(0, bool)
     at, add, of = at[lead], add[lead], of[lead]
@@ -185,7 +194,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         repeat inside one record does not count. Rows that repeat a key (and its text) are one record. An empty table gives no rows; a row without a key can't
         be told and is left out.
 
-    No pair of records is formed and no group is gathered: windows meet by their keys and hashes, which are
+    No pair of records is formed and no group is gathered: windows meet by their keys and digests, which are
     counted before the shuffle. Keys of one record only are dropped first. A stretch of windows with one key is settled at once where the whole span stands in
     two records; only where a key stands in several records with different spans are single windows compared.
     """
@@ -212,20 +221,20 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         return docs.join(rows.groupBy("k").agg(F.collect_list(F.struct("w", "x0", "x1")).alias("r")), "k")
 
     def stretches(b: pa.RecordBatch, rows: np.ndarray, texts: list[str]):
-        """Hashes of the texts, where each begins, and text, key, first and last start of its stretches."""
+        """The texts' code points, where each text begins, and text, key, first and last start of its stretches."""
         code, _, begin = _codes(texts)
         lists = b.column("r").take(pa.array(rows))
         flat = lists.flatten()
         of = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
         w, x0, x1 = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
-        return Rolling(code), begin, of, w, x0, x1
+        return code.tobytes(), begin, of, w, x0, x1
 
     def whole_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, texts in _batched(b, "x"):
-                roll, begin, of, w, x0, x1 = stretches(b, rows, texts)
-                h = roll.of(x0 + begin[of], x1 + begin[of] + least)
-                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows[of])), pa.array(w), *map(pa.array, h), pa.array(x0.astype(np.int32)), pa.array(x1.astype(np.int32))], names=["k", "w", "h0", "h1", "x0", "x1"])
+                code, begin, of, w, x0, x1 = stretches(b, rows, texts)
+                h = digests(code, x0 + begin[of], x1 + begin[of] + least).T
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows[of])), pa.array(w), *(pa.array(np.ascontiguousarray(z)) for z in h), pa.array(x0.astype(np.int32)), pa.array(x1.astype(np.int32))], names=["k", "w", "h0", "h1", "x0", "x1"])
 
     # what all windows of a stretch cover, its span, is compared first
     parts = written(per_record(chosen).mapInArrow(whole_spans, f"k {kind}, w bigint, h0 bigint, h1 bigint, x0 int, x1 int"))
@@ -242,7 +251,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, texts in _batched(b, "x"):
-                roll, begin, of, w, x0, x1 = stretches(b, rows, texts)
+                code, begin, of, w, x0, x1 = stretches(b, rows, texts)
                 n = x1 - x0 + 1
                 for lo in range(0, len(n), 1 << 14):
                     part = slice(lo, lo + (1 << 14))
@@ -250,8 +259,8 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
                     total = int(m.sum())
                     x = np.arange(total) - np.repeat(np.cumsum(m) - m, m) + np.repeat(x0[part], m)
                     d = np.repeat(of[part], m)
-                    h = roll.of(x + begin[d], x + begin[d] + least)
-                    yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows[d])), *map(pa.array, h), pa.array(x.astype(np.int32))], names=["k", "h0", "h1", "x"])
+                    h = digests(code, x + begin[d], x + begin[d] + least).T
+                    yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows[d])), *(pa.array(np.ascontiguousarray(z)) for z in h), pa.array(x.astype(np.int32))], names=["k", "h0", "h1", "x"])
 
     single = written(per_record(asked).mapInArrow(windows, f"k {kind}, h0 bigint, h1 bigint, x int"))
     twice = single.groupBy("h0", "h1").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("h0", "h1")
