@@ -110,7 +110,7 @@ def test_net_flow_edge_cases(spark):
         outrank.net_flow(df, ["run"], "id", scores, indifference=0.5, full=0.2)
 
 
-def test_majority_winners(spark):
+def test_majority_winners(spark, monkeypatch):
     rng = np.random.default_rng(3)
     scores = {"a": 1, "b": -1, "c": -1}
     rows, want = [], set()
@@ -121,9 +121,17 @@ def test_majority_winners(spark):
             if all(sum(np.array(x) * sign > np.array(y) * sign) >= 2 for j, y in enumerate(items) if j != i):
                 want.add((run, i))
         rows += [(run, i, *x) for i, x in enumerate(items)]
-    f = outrank.net_flow(spark.createDataFrame(rows, "run long, id long, a double, b double, c double").repartition(5), ["run"], "id", scores)
+    f = spark.createDataFrame(rows, "run long, id long, a double, b double, c double").repartition(5)
     assert {tuple(r) for r in outrank.majority_winners(f, "run", "id", scores).collect()} == want
     assert 10 < len(want) < 60
+    monkeypatch.setattr(outrank, "BIN_ROWS", 4)  # larger groups are split
+    monkeypatch.setattr(outrank, "PARTS", 3)
+    assert {tuple(r) for r in outrank.majority_winners(f, "run", "id", scores).collect()} == want
+    clash = f.selectExpr("CAST(NULL AS LONG) AS run", "id", "a", "b", "c", "1 AS k0", "2 AS item", "3 AS v0").where("id < 3").unionByName(f.selectExpr("run", "id", "a", "b", "c", "1 AS k0", "2 AS item", "3 AS v0"))
+    assert want <= {tuple(r)[:2] for r in outrank.majority_winners(clash, "run", "id", scores).collect()}
+    assert outrank.majority_winners(f.limit(0), "run", "id", scores).count() == 0
+    with pytest.raises(ValueError):
+        outrank.majority_winners(f, "run", "id", {"a": 1})
 
 
 # ---- nearest vectors ----

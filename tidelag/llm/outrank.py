@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.shared import quoted, ship, written
+from tidelag.shared import quoted, written
 
 #: Distinct values of one score in one group that a single ordered task takes; larger groups are cut into bins.
 BIN_ROWS = 1 << 20
 #: Quantiles at which such a group is cut; the cuts only spread the work, the ranks stay exact.
 BINS = 256
+#: Parts that the items of a larger group are spread over.
+PARTS = 256
 
 
-def _percentiles(long: DataFrame, keys: list[str]) -> DataFrame:
+def _percentiles(long: DataFrame, keys: list[str], large: bool = True) -> DataFrame:
     """Distinct values of every (group, score) with how many rows lie below (lt), at (eq) and in all (n), and p.
 
-    Equal values are counted before the shuffle; a group with more than BIN_ROWS distinct values of
+    Equal values are counted before the shuffle; with ``large``, a group with more than BIN_ROWS distinct values of
     a score is cut at approximate quantiles, so that no task orders all of it, and the counts of
     the bins before are added to the place inside the bin.
     """
     values = long.groupBy(*keys, "j", "v").agg(F.count("*").alias("eq"))
-    sizes = values.groupBy(*keys, "j").agg(F.sum("eq").alias("n"), F.count("*").alias("d"), F.percentile_approx("v", [i / BINS for i in range(1, BINS)], 4 * BINS).alias("q"))
-    sizes = sizes.withColumn("q", F.when(F.col("d") > BIN_ROWS, F.array_distinct("q"))).drop("d")
-    binned = values.join(sizes, [*keys, "j"]).withColumn("bin", F.coalesce(F.size(F.filter("q", lambda x: x < F.col("v"))), F.lit(0))).drop("q")
+    sizes = values.groupBy(*keys, "j").agg(F.sum("eq").alias("n"), F.count("*").alias("d"))
+    if not large:
+        # every group fits a task: its values are ordered where they lie
+        w = Window.partitionBy(*keys, "j")
+        ranked = values.withColumn("lt", F.sum("eq").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("eq")).withColumn("n", F.sum("eq").over(w))
+        return ranked.select(*keys, "j", "v", "eq", "lt", "n", F.round(_share(), 12).alias("p"))
+    many = [r["_k"] for r in sizes.where(F.col("d") > BIN_ROWS).select(F.concat_ws("\x1f", *keys, "j").alias("_k")).collect()]  # at most rows / BIN_ROWS
+    name = F.concat_ws("\x1f", *keys, "j")
+    quantiles = values.where(name.isin(many)).groupBy(*keys, "j").agg(F.array_distinct(F.percentile_approx("v", [i / BINS for i in range(1, BINS)], 4 * BINS)).alias("q"))
+    binned = values.join(sizes.drop("d"), [*keys, "j"]).join(F.broadcast(quantiles), [*keys, "j"], "left").withColumn("bin", F.coalesce(F.size(F.filter("q", lambda x: x < F.col("v"))), F.lit(0))).drop("q")
     inside = Window.partitionBy(*keys, "j", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     below = Window.partitionBy(*keys, "j").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = binned.groupBy(*keys, "j", "bin").agg(F.sum("eq").alias("c")).select(*keys, "j", "bin", F.coalesce(F.sum("c").over(below), F.lit(0)).alias("off"))
     ranked = binned.withColumn("lt", F.sum("eq").over(inside) - F.col("eq")).join(offsets, [*keys, "j", "bin"]).withColumn("lt", F.col("lt") + F.col("off"))
-    share = F.when(F.col("n") > 1, (F.col("lt") + (F.col("eq") - 1) / 2) / (F.col("n") - 1)).otherwise(F.lit(0.5))
-    return ranked.select(*keys, "j", "v", "eq", "lt", "n", F.round(share, 12).alias("p"))
+    return ranked.select(*keys, "j", "v", "eq", "lt", "n", F.round(_share(), 12).alias("p"))
+
+
+def _share() -> Column:
+    return F.when(F.col("n") > 1, (F.col("lt") + (F.col("eq") - 1) / 2) / (F.col("n") - 1)).otherwise(F.lit(0.5))
 
 
 def _linear_flow(p: DataFrame, keys: list[str], q: float, full: float) -> DataFrame:
@@ -87,91 +98,116 @@ def net_flow(
         Rows repeated under the same group and item count once (the least of each score). A group of
         one item has flow 0. Null groups and items are values like others. An empty table gives no rows.
     """
+    plain, large, *_ = _flows(df, group, item, scores, weights, indifference, full, valid)
+    back = [F.col(f"k{i}").alias(c) for i, c in enumerate(group)] + [F.col("item").alias(item)]
+    back += [(F.col(f"v{i}") * (1.0 if scores[c] > 0 else -1.0) + 0.0).alias(c) for i, c in enumerate(scores)]
+    both = [x.select(*back, *(F.col(f"f{i}").alias(f"flow_{i}") for i in range(len(scores))), "net_flow") for x in (plain, large) if x is not None]
+    return both[0] if len(both) == 1 else both[0].unionAll(both[1])
+
+
+def _large(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys of the groups of more than BIN_ROWS rows, of which there are at most rows / BIN_ROWS; None if there are none."""
+    big = rows.groupBy(*keys).count().where(F.col("count") > BIN_ROWS).select(*(F.col(k).alias(f"_{k}") for k in keys)).collect()
+    return rows.sparkSession.createDataFrame(big, rows.select(*(F.col(k).alias(f"_{k}") for k in keys)).schema) if big else None
+
+
+def _same(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return on
+
+
+def _flows(df, group, item, scores, weights, indifference, full, valid) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """Flows of the groups that fit a task, and of the others (None if there are none): k0, ..., item, v0, ..., f0, ..., net_flow."""
     group, names = list(group), list(scores)
     keys = [f"k{i}" for i in range(len(group))]
+    m = len(names)
     w = {c: (weights or {}).get(c, 1.0 if weights is None else 0.0) for c in names}
     total = sum(w.values())
     if total <= 0 or not 0 <= indifference <= full or (full and indifference == full):
         raise ValueError("weights must have a positive sum, and 0 <= indifference < full (or both 0)")
     rows = df.where(valid) if valid else df
     rows = rows.select(*(quoted(c).alias(a) for a, c in zip(keys, group)), quoted(item).alias("item"), *(quoted(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)))
-    for i in range(len(names)):
+    for i in range(m):
         rows = rows.where(F.col(f"v{i}").isNotNull() & ~F.isnan(f"v{i}") & (F.abs(f"v{i}") < float("inf")))
-    # nulls in keys become equal under a join through a key that holds them as a struct's text
-    rows = rows.groupBy(*keys, "item").agg(*(F.min(F.col(f"v{i}") * (1.0 if scores[c] > 0 else -1.0) + 0.0).alias(f"v{i}") for i, c in enumerate(names)))
-    rows = rows.withColumn("g", F.to_json(F.struct(*keys)) if len(keys) > 1 else F.coalesce(F.concat(F.lit("="), F.col(keys[0]).cast("string")), F.lit("")))
-    rows = written(rows)
-    long = rows.select("g", F.posexplode(F.array(*(f"v{i}" for i in range(len(names))))).alias("j", "v"))
-    p = _percentiles(long, ["g"])
+    once = [F.min(F.col(f"v{i}") * (1.0 if scores[c] > 0 else -1.0) + 0.0).alias(f"v{i}") for i, c in enumerate(names)]
+    net = sum((F.col(f"f{i}") * (w[c] / total) for i, c in enumerate(names)), F.lit(0.0)).alias("net_flow")
+    out = lambda x: x.select(*keys, "item", *(f"v{i}" for i in range(m)), *(f"f{i}" for i in range(m)), net)
+
+    def by_values(rows: DataFrame, large: bool) -> DataFrame:
+        """Through the distinct values of each group and score."""
+        # nulls in keys become equal under a join through a key that holds them as a struct's text
+        rows = rows.withColumn("g", F.to_json(F.struct(*keys)) if len(keys) > 1 else F.coalesce(F.concat(F.lit("="), F.col(keys[0]).cast("string")), F.lit("")))
+        rows = written(rows.groupBy("g", *keys, "item").agg(*once))
+        apart = F.posexplode(F.array(*(f"v{i}" for i in range(m)))).alias("j", "v")
+        p = _percentiles(rows.select("g", apart), ["g"], large)
+        if full == 0.0:
+            flows = p.select("g", "j", "v", F.when(F.col("n") > 1, (2 * F.col("lt") + F.col("eq") - F.col("n")) / (F.col("n") - 1)).otherwise(0.0).alias("f"))
+        else:
+            flows = _linear_flow(p, ["g"], indifference, full).select("g", "j", "v", F.when(F.col("n") > 1, (F.col("plus") - F.col("minus")) / (F.col("n") - 1)).otherwise(0.0).alias("f"))
+        each = rows.select("g", *keys, "item", apart).join(flows, ["g", "j", "v"])
+        cols = [F.max(F.when(F.col("j") == i, F.col(c))).alias(f"{c}{i}") for c in "vf" for i in range(m)]
+        return out(each.groupBy("g", *keys, "item").agg(*cols))
+
+    hot = _large(rows, keys)
+    plain = rows if hot is None else rows.join(F.broadcast(hot), _same(keys), "left_anti")
+    large = None if hot is None else by_values(rows.join(F.broadcast(hot), _same(keys), "left_semi"), True)
     if full == 0.0:
-        flows = p.select("g", "j", "v", F.when(F.col("n") > 1, (2 * F.col("lt") + F.col("eq") - F.col("n")) / (F.col("n") - 1)).otherwise(0.0).alias("f"))
+        # one exchange: a group's rows are made distinct, and each score's ranks read off its order, where they lie
+        plain = plain.repartition(*keys).groupBy(*keys, "item").agg(*once)
+        n = F.count("*").over(Window.partitionBy(*keys))
+        plain = plain.withColumn("n", n)
+        for i in range(m):
+            order = Window.partitionBy(*keys).orderBy(f"v{i}")
+            upto = F.count("*").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            plain = plain.withColumn(f"f{i}", (F.rank().over(order) - 1) - (F.col("n") - upto)).withColumn(f"f{i}", F.when(F.col("n") > 1, F.col(f"f{i}") / (F.col("n") - 1)).otherwise(0.0))
+        plain = out(plain)
     else:
-        flows = _linear_flow(p, ["g"], indifference, full).select("g", "j", "v", F.when(F.col("n") > 1, (F.col("plus") - F.col("minus")) / (F.col("n") - 1)).otherwise(0.0).alias("f"))
-    each = rows.select("g", *keys, "item", F.posexplode(F.array(*(f"v{i}" for i in range(len(names))))).alias("j", "v")).join(flows, ["g", "j", "v"])
-    back = [F.max(F.when(F.col("j") == i, F.col("v"))).alias(f"v{i}") for i in range(len(names))]
-    flow = [F.max(F.when(F.col("j") == i, F.col("f"))).alias(f"f{i}") for i in range(len(names))]
-    out = each.groupBy("g", *keys, "item").agg(*back, *flow)
-    return out.select(
-        *(F.col(a).alias(c) for a, c in zip(keys, group)),
-        F.col("item").alias(item),
-        *((F.col(f"v{i}") * (1.0 if scores[c] > 0 else -1.0) + 0.0).alias(c) for i, c in enumerate(names)),
-        *(F.col(f"f{i}").alias(f"flow_{i}") for i in range(len(names))),
-        sum((F.col(f"f{i}") * (w[c] / total) for i, c in enumerate(names)), F.lit(0.0)).alias("net_flow"),
-    )
+        plain = by_values(plain, False)
+    return plain, large, keys
 
 
-def majority_winners(flows: DataFrame, group: str, item: str, scores: Mapping[str, int]) -> DataFrame:
-    """``group`` and ``item`` of the item that is strictly better than every other of its group in most of three scores.
+def _unbeaten(rows: DataFrame, keys: list[str]) -> Column:
+    """Whether no other row of the same keys is at least as good in two of the scores v0, v1, v2.
 
-    ``flows`` is the result of :func:`net_flow` with equal weights and any lead counting 1. Such an item leads
-    every rival in at least two of three scores, so its net flow is at least 1/3 (0 if it is alone): only those
-    stand for election. One pass keeps the survivor of each group (an item that beats all others survives in any
-    order, so the survivors of parts merge), and a second compares it with all items of its group.
+    In the order of one score, then another, a row is beaten in these two if one before it has as much of the other.
+    """
+    ok = F.lit(True)
+    for i, j in ((0, 1), (1, 2), (2, 0)):
+        order = Window.partitionBy(*keys).orderBy(F.col(f"v{i}").desc(), F.col(f"v{j}").desc())
+        before = F.max(f"v{j}").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        twin = F.coalesce((F.lead(f"v{i}").over(order) == F.col(f"v{i}")) & (F.lead(f"v{j}").over(order) == F.col(f"v{j}")), F.lit(False))
+        ok = ok & (before.isNull() | (before < F.col(f"v{j}"))) & ~twin
+    return ok
+
+
+def majority_winners(df: DataFrame, group: str, item: str, scores: Mapping[str, int], valid: str | None = None) -> DataFrame:
+    """``group`` and ``item`` of the item that is strictly better than every other of its group in at least two of three scores.
+
+    The net flow of equal weights, any lead counting 1, nominates: such an item leads every rival in two of three scores, so
+    its flow is at least 1/3 (0 if it is alone). An exact check follows: it is no winner if another item is at least as
+    good in two of the scores, which the running maximum of one score in the order of another tells. A group too large for
+    a task is split by the items' hash; as no two items can both win, each part leaves at most one, and the one
+    that is left of those is compared with its whole group.
     """
-    ship(flows.sparkSession)
-    names = list(scores)
-    sign = [1.0 if scores[c] > 0 else -1.0 for c in names]
-    rows = flows.select(quoted(group).alias("g"), quoted(item).alias("i"), *((quoted(c) * s).alias(f"v{k}") for k, (c, s) in enumerate(zip(names, sign))), quoted("net_flow").alias("f"))
-    rows = written(rows.withColumn("h", F.coalesce(F.concat(F.lit("="), F.col("g").cast("string")), F.lit(""))))
-    alone = rows.groupBy("h").agg(F.count("*").alias("n"))
-    v = [f"v{k}" for k in range(len(names))]
-    need = len(names) // 2 + 1
-
-    def survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
-        for b in batches:
-            for r in b.itertuples(index=False, name=None):
-                h, x = r[0], r[3:]
-                y = best.get(h)
-                if y is None or sum(p > q for p, q in zip(x, y[3:])) >= need:
-                    best[h] = r
-            if len(best) > 200_000:
-                yield pd.DataFrame(list(best.values()), columns=b.columns)
-                best = {}
-        if best:
-            yield pd.DataFrame(list(best.values()), columns=["h", "g", "i", *v])
-
-    stand = rows.where(F.col("f") >= F.lit(1 / 3 - 1e-9)).unionByName(rows.join(alone.where("n = 1"), "h", "left_semi")).select("h", "g", "i", *v)
-    parts = stand.mapInPandas(survivors, stand.schema)
-    one = parts.repartition("h").sortWithinPartitions("h")
-
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for b in batches:
-            done = []
-            for r in b.itertuples(index=False, name=None):
-                if last is None or r[0] != last[0]:
-                    if last is not None:
-                        done.append(last)
-                    last = r
-                elif sum(p > q for p, q in zip(r[3:], last[3:])) >= need:
-                    last = r
-            if done:
-                yield pd.DataFrame(done, columns=b.columns)
-        if last is not None:
-            yield pd.DataFrame([last], columns=["h", "g", "i", *v])
-
-    final = one.mapInPandas(merged, stand.schema).select("h", F.col("i").alias("wi"), *(F.col(x).alias(f"w{x}") for x in v))
-    better = sum(((F.col(f"w{x}") > F.col(x)).cast("int") for x in v), F.lit(0))
-    held = rows.join(final, "h").groupBy("h", "wi").agg(F.min("g").alias("g"), F.sum(F.when((F.col("i") == F.col("wi")) | (better >= need), 0).otherwise(1)).alias("lost"))
-    return held.where("lost = 0").select(F.col("g").alias(group), F.col("wi").alias(item))
+    if len(scores) != 3:
+        raise ValueError("three scores are needed")
+    plain, large, keys = _flows(df, [group], item, scores, None, 0.0, 0.0, valid)
+    v = ["v0", "v1", "v2"]
+    nominated = F.col("net_flow") >= F.lit(1 / 3 - 1e-9)
+    alone = F.count("*").over(Window.partitionBy(*keys)) == 1
+
+    def settled(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.withColumn("ok", _unbeaten(rows, by)).where("ok")
+
+    found = settled(plain.withColumn("nominated", nominated | alone), keys).where("nominated").select(*keys, "item")
+    if large is not None:
+        large = written(large.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS))))
+        left = settled(large.where(nominated), [*keys, "part"]).select(*keys, "item", *v)
+        left = settled(left, keys).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("item").alias("_item"), *(F.col(x).alias(f"_{x}") for x in v))
+        # one row of a large group, of which there are few
+        better = sum(((F.col(f"_{x}") > F.col(x)).cast("int") for x in v), F.lit(0))
+        held = large.join(F.broadcast(left), _same(keys)).groupBy(*(f"_{k}" for k in keys), "_item").agg(F.sum(F.when((better >= 2) | F.col("item").eqNullSafe(F.col("_item")), 0).otherwise(1)).alias("lost"))
+        found = found.unionAll(held.where("lost = 0").select(*(f"_{k}" for k in keys), "_item"))
+    return found.select(F.col(keys[0]).alias(group), F.col("item").alias(item))

@@ -23,8 +23,7 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The combo of each run that leads every other in two of the three scores."""
-    f = outrank.net_flow(table(spark, d, "multiview_combos"), ["run_id"], "combo_id", COMBO_SCORES, valid=ELIGIBLE)
-    return outrank.majority_winners(f, "run_id", "combo_id", COMBO_SCORES)
+    return outrank.majority_winners(table(spark, d, "multiview_combos"), "run_id", "combo_id", COMBO_SCORES, ELIGIBLE)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
