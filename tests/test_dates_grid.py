@@ -61,3 +61,18 @@ def test_held_out_cells_are_filled_better_than_by_the_mean(spark):
     m = np.array([mean[k[0]] - np.log1p(truth[k]) for k in truth])
     assert np.sqrt((e**2).mean()) < 0.35 * np.sqrt((m**2).mean())
     assert {(r[0], r[3] % 1000): r[2] for r in rows} == {(r.g, r.step - first): r.value for r in seen.itertuples()}
+
+
+def test_many_blocks_are_joined_to_the_rows(spark, monkeypatch):
+    """Factors that go along with the tasks, and factors that are joined, fill alike."""
+    rng = np.random.default_rng(2)
+    x = ("x", "x", "x")
+    t0 = dt.datetime(1900, 1, 1)
+    rows = [(g, t0 + dt.timedelta(weeks=int(w)), float(10 + k + np.sin(w / 8)), int(1000000 * k + w), *x) for k, g in enumerate("abcd") for w in np.unique(rng.integers(0, 9000, 500))]
+    rows += [(None, t0, 1.0, -1, *x), (None, t0 + dt.timedelta(weeks=9000), 1.0, -2, *x)]
+    got = []
+    for few in (64, 1):
+        monkeypatch.setattr(grid, "FEW_BLOCKS", few)
+        got.append({(r.g, r.step): (r.status, r.value) for r in grid.regular(weeks(spark, rows), "g", "at", "v", "id").collect()})
+    assert got[0].keys() == got[1].keys() and len(got[0]) > 40_000
+    assert all(a[0] == got[1][k][0] and (a[1] == got[1][k][1] or abs(a[1] - got[1][k][1]) < 1e-9) for k, a in got[0].items())

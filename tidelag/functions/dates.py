@@ -49,4 +49,9 @@ def parsed(c: Column) -> Column:
         .when(s.rlike(_NAMED_MDY), named(_NAMED_MDY, 3, 1, 2))
         .when(s.rlike(_NAMED_YMD), named(_NAMED_YMD, 1, 2, 3))
     )
-    return text.try_cast("timestamp")
+    # most are told by their length and two dashes; the cast itself rejects what is no date
+    at = lambda i, n=1: F.substring(u, i, n)
+    size = F.length(u)
+    rest = F.when(size == 10, "T00:00:00Z").when(size == 16, ":00Z").when(size == 19, "Z").when((size == 20) & u.endswith("Z"), "").when((size == 25) & at(20).isin("+", "-"), "")
+    plain = F.when((at(5) == "-") & (at(8) == "-") & at(1).between("0", "9"), F.concat(u, rest)).when((size == 8) & at(1).between("0", "9"), F.concat(at(1, 4), F.lit("-"), at(5, 2), F.lit("-"), at(7, 2), F.lit("T00:00:00Z")))
+    return F.coalesce(plain.try_cast("timestamp"), text.try_cast("timestamp"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from tidelag.shared import number, quoted, ship, written
 
 #: Grid steps of one block of the source-by-time matrix; a source's part of a block is one row of it.
 BLOCK = 4096
+#: Blocks up to which the step factors are sent along with the tasks; beyond, they are joined to the rows.
+FEW_BLOCKS = 64
+STATUS = ["observed", "filled", "unsupported"]
+OBSERVED, FILLED, UNSUPPORTED = range(3)
 DAY = 86_400
 #: Fixed value: the Monday from which weeks are counted, in days from 1970-01-01.
 MONDAY = -3
@@ -23,12 +28,14 @@ def _solve(a: np.ndarray, b: np.ndarray, ridge: np.ndarray) -> np.ndarray:
     return np.linalg.solve(a + np.diag(ridge)[None], b[..., None])[..., 0]
 
 
-def _rows_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def _cells(b: pa.RecordBatch, values: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, step within the block and value of every observed cell."""
-    size = pdf["steps"].map(len).to_numpy()
-    if not size.sum():
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.repeat(np.arange(len(pdf)), size), np.concatenate(pdf["steps"].to_list()).astype(int), np.concatenate(pdf["values"].to_list())
+    size = np.diff(b.column("steps").offsets.to_numpy())
+    return np.repeat(np.arange(b.num_rows), size), _flat(b, "steps").astype(np.int64), _flat(b, values)
 
 
 def _source_factors(row: np.ndarray, step: np.ndarray, val: np.ndarray, n: int, w: np.ndarray, ridge: np.ndarray) -> np.ndarray:
@@ -91,35 +98,53 @@ def regular(
     cells = cells.select("src", "step", F.col("last.v").alias("v"), F.col("n"), F.floor(F.col("step") / BLOCK).cast("int").alias("block"))
     y = F.signum("v") * F.log1p(F.abs("v"))
     # a source's part of a block: at most BLOCK cells
-    matrix = cells.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct((F.col("step") - F.col("block") * BLOCK).cast("int").alias("s"), y.alias("y"), F.col("v").alias("v"), F.col("n").alias("n")))).alias("c"))
-    ends = cells.groupBy("src").agg(F.min("step").alias("lo"), F.max("step").alias("hi"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("sd"))
+    cell = F.struct((F.col("step") - F.col("block") * BLOCK).cast("int").alias("s"), y.alias("y"), F.col("v").alias("v"), F.col("n").alias("n"))
+    matrix = written(cells.groupBy("src", "block").agg(F.min("step").alias("lo"), F.max("step").alias("hi"), F.count("*").alias("cells"), F.sum(y).alias("sum"), F.sum(y * y).alias("sq"), F.sort_array(F.collect_list(cell)).alias("c")))
+    mean = F.sum("sum") / F.sum("cells")
+    var = F.sum("sq") / F.sum("cells") - mean * mean
+    ends = matrix.groupBy("src").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), mean.alias("mean"), F.when(var > 1e-12, F.sqrt(var)).otherwise(F.lit(1.0)).alias("sd"))
     # the blocks between the first and the last reading that hold none are rows too
-    spans = ends.select("src", "lo", "hi", "mean", "sd", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK).cast("int"), F.floor(F.col("hi") / BLOCK).cast("int"))).alias("block"))
-    m = spans.join(matrix, spans["src"].eqNullSafe(matrix["src"]) & (spans["block"] == matrix["block"]), "left").select(
-        spans["src"], spans["block"], "lo", "hi", "mean", F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)).alias("sd"), F.coalesce(F.col("c"), F.expr("array()").cast(matrix.schema["c"].dataType)).alias("c")
-    )
+    spans = ends.select(F.col("src").alias("_src"), "lo", "hi", "mean", "sd", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK).cast("int"), F.floor(F.col("hi") / BLOCK).cast("int"))).alias("_block"))
+    m = spans.join(matrix.select("src", "block", "c"), F.col("_src").eqNullSafe(F.col("src")) & (F.col("_block") == F.col("block")), "left")
+    c = F.coalesce(F.col("c"), F.expr("array()").cast(matrix.schema["c"].dataType))
+    m = m.select(F.col("_src").alias("src"), F.col("_block").alias("block"), "lo", "hi", "mean", "sd", c.alias("c"))
     m = written(m.select("src", "block", "lo", "hi", "mean", "sd", F.col("c.s").alias("steps"), F.transform(F.col("c.y"), lambda x: (x - F.col("mean")) / F.col("sd")).alias("values"), F.col("c.v").alias("exact"), F.col("c.n").alias("ns")))
+    few = len(m.select("block").distinct().limit(FEW_BLOCKS + 1).collect()) <= FEW_BLOCKS
     keep = np.full(rank, ridge)
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Normal equations of the step factors, summed over the sources of a task."""
-        total: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for pdf in batches:
-            for block, part in pdf.groupby("block", sort=False):
-                row, step_, val = _rows_of(part)
-                if not len(row):
-                    continue
-                w = np.asarray(part["w"].iloc[0]).reshape(BLOCK, rank) if "w" in part else _first_factors(int(block), rank, period)
-                u = _source_factors(row, step_, val, len(part), w, keep)[row]
-                a, b, n = total.setdefault(int(block), (np.zeros((BLOCK, rank, rank)), np.zeros((BLOCK, rank)), np.zeros(BLOCK)))
-                n += np.bincount(step_, minlength=BLOCK)
-                for i in range(rank):
-                    b[:, i] += np.bincount(step_, u[:, i] * val, BLOCK)
-                    for j in range(rank):
-                        a[:, i, j] += np.bincount(step_, u[:, i] * u[:, j], BLOCK)
-        for block, (a, b, n) in total.items():
-            s = np.flatnonzero(n)
-            yield pd.DataFrame({"block": np.int32(block), "s": s.astype(np.int32), **{f"a{i}{j}": a[s, i, j] for i in range(rank) for j in range(rank)}, **{f"b{i}": b[s, i] for i in range(rank)}, "n": n[s].astype(np.int64)})
+    def by_block(b: pa.RecordBatch, known) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray | None]]:
+        """The rows of each block, and its step factors: shipped with the task, beside the rows, or none yet."""
+        of = b.column("block").to_numpy()
+        for block in np.unique(of).tolist():
+            part = b.filter(pa.array(of == block))
+            w = known.value.get(block) if known is not None else None
+            if "w" in b.schema.names and part.column("w")[0].is_valid:
+                w = part.column("w")[0].values.to_numpy(zero_copy_only=False)
+            yield block, part, None if w is None else np.asarray(w, float).reshape(BLOCK, rank)
+
+    def sums(known, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Normal equations of the step factors, summed over the sources of a task."""
+            total: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                for block, part, w in by_block(batch, known):
+                    row, step_, val = _cells(part, "values")
+                    if not len(row):
+                        continue
+                    w = _first_factors(block, rank, period) if first else w
+                    u = _source_factors(row, step_, val, part.num_rows, w, keep)[row]
+                    a, b, n = total.setdefault(block, (np.zeros((BLOCK, rank, rank)), np.zeros((BLOCK, rank)), np.zeros(BLOCK)))
+                    n += np.bincount(step_, minlength=BLOCK)
+                    for i in range(rank):
+                        b[:, i] += np.bincount(step_, u[:, i] * val, BLOCK)
+                        for j in range(rank):
+                            a[:, i, j] += np.bincount(step_, u[:, i] * u[:, j], BLOCK)
+            for block, (a, b, n) in total.items():
+                s = np.flatnonzero(n)
+                cols = [np.full(len(s), block, np.int32), s.astype(np.int32), *(a[s, i, j] for i in range(rank) for j in range(rank)), *(b[s, i] for i in range(rank)), n[s].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["block", "s", *names, "n"])
+
+        return run
 
     names = [f"a{i}{j}" for i in range(rank) for j in range(rank)] + [f"b{i}" for i in range(rank)]
     sum_schema = "block int, s int, " + ", ".join(f"{c} double" for c in names) + ", n bigint"
@@ -135,36 +160,43 @@ def regular(
         w[pdf["s"].to_numpy()] = _solve(a, b, keep)
         return pd.DataFrame({"block": [np.int32(block)], "w": [w.ravel()]})
 
-    w = None
-    for _ in range(rounds):
+    w = known = None
+    sc = df.sparkSession.sparkContext
+    for i in range(rounds):
         source_rows = m.select("block", "steps", "values")
         if w is not None:
             source_rows = source_rows.join(w, "block")
-        added = source_rows.mapInPandas(sums, sum_schema).groupBy("block", "s").agg(*(F.sum(c).alias(c) for c in names), F.sum("n").alias("n"))
-        w = written(added.groupBy("block").applyInPandas(factors, "block int, w array<double>"))
-
-    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for block, part in pdf.groupby("block", sort=False):
-                block = int(block)
-                given = part["w"].iloc[0]
-                w_ = np.full((BLOCK, rank), np.nan) if given is None else np.asarray(given).reshape(BLOCK, rank)
-                row, step_, val = _rows_of(part)
-                u = _source_factors(row, step_, val, len(part), np.nan_to_num(w_), keep) if len(row) else np.zeros((len(part), rank))
-                for k, (src, lo, hi, mean, sd, steps, exact, ns) in enumerate(zip(*(part[c] for c in ("src", "lo", "hi", "mean", "sd", "steps", "exact", "ns")))):
-                    first, last = max(lo, block * BLOCK) - block * BLOCK, min(hi, block * BLOCK + BLOCK - 1) - block * BLOCK
-                    at_ = np.arange(first, last + 1)
-                    est = (w_[at_] @ u[k]) * sd + mean
-                    est = np.sign(est) * np.expm1(np.minimum(np.abs(est), 700.0))
-                    status = np.where(np.isnan(est) | (len(steps) < support), "unsupported", "filled").astype(object)
-                    est[status == "unsupported"] = np.nan
-                    n = np.zeros(len(at_), np.int64)
-                    seen = np.asarray(steps, int) - first
-                    est[seen], status[seen], n[seen] = exact, "observed", ns
-                    yield pd.DataFrame({"src": pd.Series([src] * len(at_), dtype=object), "step": at_ + block * BLOCK, "value": est, "status": status, "n_readings": n})
+        added = source_rows.mapInArrow(sums(known, i == 0), sum_schema).groupBy("block", "s").agg(*(F.sum(c).alias(c) for c in names), F.sum("n").alias("n"))
+        made = added.groupBy("block").applyInPandas(factors, "block int, w array<double>")
+        if few:  # at most FEW_BLOCKS factor tables of BLOCK x rank numbers: they go to each task once
+            known = sc.broadcast({r["block"]: np.array(r["w"], float) for r in made.collect()})
+        else:
+            w = written(made)
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, part, w_ in by_block(batch, known):
+                w_ = np.full((BLOCK, rank), np.nan) if w_ is None else w_
+                row, step_, exact = _cells(part, "exact")
+                u = _source_factors(row, step_, _flat(part, "values"), part.num_rows, np.nan_to_num(w_), keep) if len(row) else np.zeros((part.num_rows, rank))
+                lo, hi, mean, sd = (part.column(c).to_numpy() for c in ("lo", "hi", "mean", "sd"))
+                first, last = np.maximum(lo, block * BLOCK) - block * BLOCK, np.minimum(hi, block * BLOCK + BLOCK - 1) - block * BLOCK
+                size = last - first + 1
+                begin = np.cumsum(size) - size
+                of = np.repeat(np.arange(part.num_rows), size)
+                at = np.arange(int(size.sum())) - begin[of] + first[of]
+                est = np.einsum("nr,nr->n", w_[at], u[of]) * sd[of] + mean[of]
+                est = np.sign(est) * np.expm1(np.minimum(np.abs(est), 700.0))
+                status = np.where(np.isnan(est) | (np.bincount(row, minlength=part.num_rows) < support)[of], UNSUPPORTED, FILLED)
+                est[status == UNSUPPORTED] = np.nan
+                n = np.zeros(len(at), np.int64)
+                seen = begin[row] + step_ - first[row]
+                est[seen], status[seen], n[seen] = exact, OBSERVED, _flat(part, "ns")
+                yield pa.RecordBatch.from_arrays([part.column("src").take(pa.array(of)), pa.array(at + block * BLOCK), pa.array(est), pa.array(status.astype(np.int32)), pa.array(n)], names=["src", "step", "value", "status", "n_readings"])
 
     kind = m.schema["src"].dataType.simpleString()
-    full = m.join(w, "block", "left") if w is not None else m.withColumn("w", F.lit(None).cast("array<double>"))
-    out = full.mapInPandas(filled, f"src {kind}, step bigint, value double, status string, n_readings bigint")
+    full = m.join(w, "block", "left") if w is not None else m
+    out = full.mapInArrow(filled, f"src {kind}, step bigint, value double, status int, n_readings bigint")
+    out = out.withColumn("status", F.element_at(F.array(*map(F.lit, STATUS)), F.col("status") + 1))
     start = F.timestamp_seconds(F.col("step") * step + origin)
     return out.select(F.col("src").alias(source), "step", start.alias("start"), F.when(~F.isnan("value"), F.col("value")).alias("value"), "status", "n_readings")
