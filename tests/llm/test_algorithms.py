@@ -188,3 +188,41 @@ def test_fewer_collisions_still_find_nine_tenths(spark):
     hit = sum(len(got.get(i, set()) & set(np.argsort(d[i])[:5].tolist())) for i in range(1200))
     assert hit / 6000 >= 0.9
     assert len(list(itertools.islice(got, 5))) == 5
+
+
+@pytest.mark.parametrize("latent", [6, 64])
+def test_recall_over_many_blocks_in_64_dimensions(spark, latent):
+    """Narrower windows, also for the blocks they touch: recall against brute force."""
+    rng = np.random.default_rng(latent)
+    n, dims = 2500, 64
+    x = rng.normal(size=(n, latent)) @ rng.normal(size=(latent, dims)) + rng.normal(0, 0.1, (n, dims))
+    cols = [f"c{i}" for i in range(dims)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(id=np.arange(n)))
+    lists = knn.nearest(df, "id", cols, 5, width=0.3, threshold=56, block=256)
+    got = {}
+    for r in knn.neighbour_rows(lists, 5).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    d = (x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    hit = sum(len(got.get(i, set()) & set(np.argsort(d[i])[:5].tolist())) for i in range(n))
+    assert hit / (5 * n) >= 0.9
+
+
+def test_a_count_against_the_threshold_loses_nothing():
+    """Vectors within the reach fall into enough windows, in every number of dimensions."""
+    rng = np.random.default_rng(1)
+    for dims in (1, 2, 3, 5, 8, 9, 20):
+        m, width, threshold = knn.counting(dims)
+        x = rng.normal(size=(400, dims))
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x[: 2 * dims] = np.vstack([np.eye(dims), knn.directions(dims, m, 3)[-dims:]])[: 2 * dims]
+        hits = (np.abs(knn.projected(x, knn.directions(dims, m, 3))) <= width * (1 + 1e-9)).sum(axis=1)
+        assert hits.min() >= threshold and (dims == 1 or threshold < m)
+
+
+def test_many_visitors_of_a_block_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(600), "a": rng.normal(size=600), "b": rng.normal(size=600)}))
+    want = {tuple(r) for r in knn.neighbour_rows(knn.nearest(df, "id", ["a", "b"], 3, block=2048), 3).collect()}
+    monkeypatch.setattr(knn, "VISITORS", 10)
+    assert {tuple(r) for r in knn.neighbour_rows(knn.nearest(df, "id", ["a", "b"], 3, block=40), 3).collect()} == want

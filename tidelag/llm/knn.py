@@ -1,11 +1,14 @@
 """Most similar vectors of every vector by collision counting on single-projection sorted arrays.
 
-Vectors are projected on several directions; along each direction a block of the collection is a sorted
-array. A query opens a window around its own projection in every array and counts in how many windows another
-vector falls; those that reach the threshold are verified by their true distance. If fewer than k verified ones
-lie within the windows' reach, the windows grow (virtual rehashing) and the count is taken again. As
-projections on unit directions never lengthen a difference, a vector within the reach falls into every window:
-with the threshold at all directions nothing within the reach is lost and the answer is exact.
+Vectors are projected on several directions; along the first a block of the collection is a sorted array. A query
+opens a window around its own projection in every direction and counts in how many windows another vector falls;
+those that reach the threshold are verified by their true distance. If fewer than k verified ones lie within the
+windows' reach, the windows grow (virtual rehashing) and the count is taken again.
+
+The directions come in frames at right angles. Of the d differences along a frame the squares sum to the squared
+distance, so at most t of them exceed reach / sqrt(t + 1): a vector within the reach falls into at least d - t windows
+of that half-width in every frame. Counted against that threshold nothing within the reach is lost: the
+answer is exact. Narrower windows or another threshold are an option for many dimensions.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,19 +25,26 @@ from tidelag.shared import quoted, ship, written
 
 #: Vectors the block boundaries are fitted on, at most; every vector is put into a block.
 FIT_ROWS = 200_000
-#: Vectors a block is meant to hold, and most blocks.
-BLOCK, MOST_BLOCKS = 2048, 1 << 14
-#: Pairs that are counted at once.
-PAIRS = 1 << 20
-GROWTH = 1.6
+#: Vectors a block is meant to hold, most blocks, and visitors of a block that a task takes.
+BLOCK, MOST_BLOCKS, VISITORS = 2048, 1 << 14, 1 << 14
+#: Queries whose windows are counted at once, and cells of such a count.
+QUERIES, CELLS = 64, 1 << 18
+#: Growth of the reach; share of a block's vectors that its first reach is meant to suffice for.
+GROWTH, ENOUGH = 1.4, 0.8
 
 
 def directions(dims: int, count: int, seed: int) -> np.ndarray:
-    """Unit directions, the first ones at right angles to each other."""
+    """Unit directions: frames at right angles to each other, one after the other."""
     rng = np.random.default_rng(seed)
-    q, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
-    more = rng.standard_normal((max(0, count - dims), dims))
-    return np.vstack([q.T, more / np.linalg.norm(more, axis=1, keepdims=True)])[: max(count, 1)]
+    frames = [np.linalg.qr(rng.standard_normal((dims, dims)))[0].T for _ in range(-(-max(count, 1) // dims))]
+    return np.vstack(frames)[: max(count, 1)]
+
+
+def counting(dims: int) -> tuple[int, float, int]:
+    """Projections, half-width of a window relative to the reach, and threshold of an exact search."""
+    spare = min(1, dims - 1)
+    frames = 2 if 1 < dims <= 8 else 1
+    return frames * dims, (spare + 1) ** -0.5, frames * (dims - spare)
 
 
 def projected(x: np.ndarray, dirs: np.ndarray) -> np.ndarray:
@@ -97,90 +108,101 @@ def search(x: np.ndarray, p: np.ndarray, ids: np.ndarray, qx: np.ndarray, qp: np
     or the block is exhausted, else one count is taken.
     """
     n, m = p.shape
-    order = [np.argsort(p[:, j], kind="stable") for j in range(m)]
-    arrays = [p[o, j] for j, o in enumerate(order)]
+    sorted_ = np.argsort(p[:, 0], kind="stable")
+    arrays = [np.ascontiguousarray(p[sorted_, j]) for j in range(m)]
+    xs = x[sorted_]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    active = np.arange(len(qx))
+    active = np.argsort(qp[:, 0], kind="stable")
     reach = reach.astype(float).copy()
     while len(active):
-        half = width * reach[active] * (1 + 1e-9) + 1e-12
-        lo = np.stack([np.searchsorted(arrays[j], qp[active, j] - half, "left") for j in range(m)])
-        hi = np.stack([np.searchsorted(arrays[j], qp[active, j] + half, "right") for j in range(m)])
-        size = hi - lo
-        least = np.argmin(size, axis=0)
-        at = np.arange(len(active))
-        lo, size = lo[least, at], size[least, at]
-        total = np.cumsum(size)
-        done = np.zeros(len(active), bool)
+        half = (width * reach * (1 + 1e-9) + 1e-12)[:, None]
+        full = reach * (1 + 1e-9) + 1e-12
+        again = []
         first = 0
         while first < len(active):
-            stop = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS, "right")))
-            part = np.arange(first, stop)
-            c = size[part]
-            q = np.repeat(part, c)
-            place = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[part], c)
-            which = np.repeat(least[part], c)
-            cand = np.empty(len(q), np.int64)
+            q = active[first : first + QUERIES]
+            lo = int(np.searchsorted(arrays[0], (qp[q, 0] - full[q]).min(), "left"))
+            hi = int(np.searchsorted(arrays[0], (qp[q, 0] + full[q]).max(), "right"))
+            q = q[: max(1, CELLS // max(1, hi - lo))]
+            first += len(q)
+            hits = np.zeros((len(q), hi - lo), np.int16)
             for j in range(m):
-                of = which == j
-                cand[of] = order[j][place[of]]
-            if threshold >= m:
-                for j in range(m):
-                    ok = np.abs(p[cand, j] - qp[active[q], j]) <= half[q]
-                    q, cand = q[ok], cand[ok]
-            else:
-                hits = np.zeros(len(q), np.int64)
-                for j in range(m):
-                    hits += np.abs(p[cand, j] - qp[active[q], j]) <= half[q]
-                q, cand = q[hits >= threshold], cand[hits >= threshold]
-            d2 = np.zeros(len(q))
+                off = arrays[j][None, lo:hi] - qp[q, j, None]
+                hits += np.abs(off, out=off) <= half[q]
+            r, c = np.nonzero(hits >= threshold)
+            c += lo
+            d2 = np.zeros(len(r))
             for i in range(x.shape[1]):
-                off = qx[active[q], i] - x[cand, i]
+                off = qx[q[r], i] - xs[c, i]
                 d2 += off * off
-            q, cand, d2, place = _best(q, cand, d2, ids, k)
+            near = d2 <= full[q[r]] ** 2
+            r, c, d2 = r[near], c[near], d2[near]
             if grow:
-                end = q[place == k - 1]
-                done[end[d2[place == k - 1] <= reach[active[end]] ** 2]] = True
-                done[part[c >= n]] = True  # every vector of the block was counted
-                ok = done[q]
-            else:
-                ok = d2 <= (reach[active[q]] * (1 + 1e-9) + 1e-12) ** 2
-                done[part] = True
-            found.append((active[q[ok]], cand[ok], d2[ok]))
-            first = stop
-        active = active[~done]
+                short = np.bincount(r, minlength=len(q)) < min(k, n)
+                again.append(q[short])
+                keep = ~short[r]
+                r, c, d2 = r[keep], c[keep], d2[keep]
+            r, c, d2, _ = _best(r, sorted_[c], d2, ids, k)
+            found.append((q[r], c, d2))
+        active = np.concatenate(again) if again else active[:0]
         reach[active] *= GROWTH
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     q, cand, d2 = (np.concatenate(z) for z in zip(*found))
-    return _best(q, cand, d2, ids, k)[:3]
+    o = np.argsort(q, kind="stable")
+    return q[o], cand[o], d2[o]
+
+
+def first_reach(x: np.ndarray, k: int) -> float:
+    """Distance within which most of a block's vectors have k others, by a few of them."""
+    if len(x) < 2:
+        return 1e-12
+    some = x[:: max(1, len(x) // 32)][:32]
+    d2 = np.zeros((len(some), len(x)))
+    for i in range(x.shape[1]):
+        off = some[:, i, None] - x[None, :, i]
+        d2 += off * off
+    at = min(k, len(x)) - 1
+    return max(float(np.sqrt(np.quantile(np.partition(d2, at, axis=1)[:, at], ENOUGH))), 1e-12)
 
 
-def _lists(q: np.ndarray, cand: np.ndarray, d2: np.ndarray, queries: int, members: list[np.ndarray], k: int) -> tuple[list, list]:
-    """For each query the k nearest row ids, every vector standing for its members, and their squared distances."""
-    size = np.array([len(a) for a in members], np.int64)
+def _lists(q: np.ndarray, cand: np.ndarray, d2: np.ndarray, queries: int, size: np.ndarray, flat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all queries in turn: how many, the squared distances and the ids of the k nearest rows; a vector stands for its members."""
     begin = np.cumsum(size) - size
-    flat = np.concatenate(members) if len(members) else np.zeros(0, np.int64)
     c = size[cand]
     at = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[cand], c)
     q, d2, ids = np.repeat(q, c), np.repeat(d2, c), flat[at]
     o = np.lexsort((ids, d2, q))
     q, d2, ids = q[o], d2[o], ids[o]
     start = np.searchsorted(q, np.arange(queries + 1))
-    stop = np.minimum(start[1:], start[:-1] + k)
-    return [d2[a:b] for a, b in zip(start[:-1], stop)], [ids[a:b] for a, b in zip(start[:-1], stop)]
+    keep = np.arange(len(q)) - start[q] < k
+    return np.minimum(np.diff(start), k), d2[keep], ids[keep]
+
+
+def _array(size: np.ndarray, flat: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat, kind))
+
+
+def _columns(t: pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.stack([t[c].to_numpy() for c in names], axis=1) if t.num_rows else np.zeros((0, len(names)))
+
+
+def _members(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """How many members each vector of a table has, and all of them."""
+    m = t["members"].combine_chunks()
+    return np.diff(m.offsets.to_numpy()), m.flatten().to_numpy()
 
 
 def nearest(
-    df: DataFrame, key: str, columns: Sequence[str], k: int = 5, below: float = np.inf, projections: int | None = None, width: float = 1.0, threshold: int | None = None, seed: int = 1, block: int = BLOCK
+    df: DataFrame, key: str, columns: Sequence[str], k: int = 5, below: float = np.inf, projections: int | None = None, width: float | None = None, threshold: int | None = None, seed: int = 1, block: int = BLOCK
 ) -> DataFrame:
     """For every distinct vector its rows and the k+1 nearest rows, its own among them.
 
     :param columns: numeric columns of the vector; rows with a null, NaN or infinite one, one whose size is
         ``below`` or more, or a null key are left out. Rows that repeat a key and its vector count once.
-    :param width, threshold: a window reaches ``width`` times as far as the verified distances must; a vector is
-        verified if it falls into ``threshold`` windows (all if None). With 1 and None the result is exact; less
-        of either is faster in many dimensions and may lose some.
+    :param projections, width, threshold: a window's half-width is ``width`` times the reach, and a vector is verified if
+        it falls into ``threshold`` of the windows. Left to None they make the result exact (:func:`counting`); narrower windows
+        are faster in many dimensions, also in the blocks that they touch, and may lose some.
     :returns: ``x0``, ``x1``, ... (the vector), ``members`` (the least k+1 keys with this vector), ``d2`` and ``ids``: squared distances and keys of the
         k+1 nearest rows in order of distance, then key. A member's own neighbours are this list without itself. A
         row beyond the least k+1 of its vector has the first k members as neighbours (:func:`neighbours_of`). Empty tables
@@ -192,10 +214,13 @@ def nearest(
     """
     ship(df.sparkSession)
     dims, top = len(columns), k + 1
-    m = projections or min(2 * dims, dims + 3)
-    threshold = m if threshold is None else threshold
+    exact = counting(dims)
+    m = projections or exact[0]
+    threshold = threshold or (exact[2] if m == exact[0] else m)
+    narrow = width is not None
+    width = width if narrow else exact[1] if (m, threshold) == (exact[0], exact[2]) else 1.0
     dirs = directions(dims, m, seed)
-    axes = min(3, m, dims)
+    axes = min(m, dims)
     xs = [f"x{i}" for i in range(dims)]
     rows = df.select(quoted(key).cast("bigint").alias("id"), *(quoted(c).cast("double").alias(a) for a, c in zip(xs, columns))).where("id IS NOT NULL")
     for a in xs:
@@ -218,41 +243,45 @@ def nearest(
     points = written(points.withColumn("b", placed(F.struct(*xs))))
     vectors = ", ".join(f"{a} double" for a in xs)
 
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        members = pdf["members"].to_list()
-        x = pdf[xs].to_numpy(float)
+    def own(t: pa.Table) -> pa.Table:
+        size, flat = _members(t)
+        x = _columns(t, xs)
         p = projected(x, dirs)
-        ids = np.array([a[0] for a in members], np.int64)
-        extent = np.maximum(np.subtract(*np.quantile(p, (0.9, 0.1), axis=0))[:axes], 1e-12)
-        guess = 0.6 * np.prod(extent) ** (1 / axes) * (top / max(len(x), 1)) ** (1 / axes)
-        q, cand, d2 = search(x, p, ids, x, p, top, np.full(len(x), guess), True, width, threshold)
-        dist, near = _lists(q, cand, d2, len(x), members, top)
-        reach = np.array([np.sqrt(a[-1]) if len(a) >= top else np.inf for a in dist])
-        row, other = blocks_within(p, reach * (1 + 1e-9) + 1e-12, axis, at)
-        away = other != pdf["b"].to_numpy()[row]
+        ids = flat[np.cumsum(size) - size]
+        q, cand, d2 = search(x, p, ids, x, p, top, np.full(len(x), first_reach(x, top)), True, width, threshold)
+        held, dist, near = _lists(q, cand, d2, len(x), size, flat, top)
+        last = np.cumsum(held) - 1
+        reach = np.where(held >= top, np.sqrt(dist[last]), np.inf)
+        row, other = blocks_within(p, (width if narrow else 1.0) * reach * (1 + 1e-9) + 1e-12, axis, at)
+        away = other != t["b"].to_numpy()[row]
         row, other = row[away], other[away]
         o = np.argsort(row, kind="stable")
-        row, other = row[o], other[o].astype(np.int32)
-        begin = np.searchsorted(row, np.arange(len(x) + 1))
-        return pdf[xs].assign(id=ids, members=members, reach=reach, d2=dist, ids=near, others=[other[a:b] for a, b in zip(begin[:-1], begin[1:])])
+        cols = [*(t[a].combine_chunks() for a in xs), pa.array(ids), t["members"].combine_chunks(), pa.array(reach), _array(held, dist, pa.float64()), _array(held, near, pa.int64()), _array(np.bincount(row, minlength=len(x)), other[o], pa.int32())]
+        return pa.Table.from_arrays(cols, names=[*xs, "id", "members", "reach", "d2", "ids", "others"])
 
-    first = written(points.groupBy("b").applyInPandas(own, f"{vectors}, id bigint, members array<bigint>, reach double, d2 array<double>, ids array<bigint>, others array<int>"))
+    first = written(points.groupBy("b").applyInArrow(own, f"{vectors}, id bigint, members array<bigint>, reach double, d2 array<double>, ids array<bigint>, others array<int>"))
     visits = first.select("id", *xs, "reach", F.explode("others").alias("b"))
-
-    def away(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "d2": pd.Series(dtype=object), "ids": pd.Series(dtype=object)})
-        members = left["members"].to_list()
-        x, qx = left[xs].to_numpy(float), right[xs].to_numpy(float)
-        ids = np.array([a[0] for a in members], np.int64)
-        p = projected(x, dirs)
-        reach = np.minimum(right["reach"].to_numpy(), 1e300)
-        q, cand, d2 = search(x, p, ids, qx, projected(qx, dirs), top, reach, False, width, threshold)
-        dist, near = _lists(q, cand, d2, len(qx), members, top)
-        out = pd.DataFrame({"id": right["id"].to_numpy(), "d2": dist, "ids": near})
-        return out[[len(a) > 0 for a in near]]
-
-    met = points.groupBy("b").cogroup(visits.groupBy("b")).applyInPandas(away, "id bigint, d2 array<double>, ids array<bigint>")
+    # a block with many visitors stands in several parts, each of which takes some; there are at most MOST_BLOCKS blocks
+    parts = F.broadcast(visits.groupBy("b").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts")))
+    visits = visits.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    hosts = points.join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hosts = hosts.select(*(F.col(c).alias(c) for c in [*xs, "members", "b", "part"]))
+    visits = visits.select(*(F.col(c).alias(c) for c in ["id", *xs, "reach", "b", "part"]))
+
+    def away(left: pa.Table, right: pa.Table) -> pa.Table:
+        size, flat = _members(left)
+        x, qx = _columns(left, xs), _columns(right, xs)
+        if len(x) and len(qx):
+            ids = flat[np.cumsum(size) - size]
+            reach = np.minimum(right["reach"].to_numpy(), 1e300)
+            q, cand, d2 = search(x, projected(x, dirs), ids, qx, projected(qx, dirs), top, reach, False, width, threshold)
+            held, dist, near = _lists(q, cand, d2, len(qx), size, flat, top)
+        else:
+            held, dist, near = np.zeros(len(qx), int), np.zeros(0), np.zeros(0, np.int64)
+        some = held > 0
+        return pa.Table.from_arrays([right["id"].combine_chunks().filter(pa.array(some)), _array(held[some], dist, pa.float64()), _array(held[some], near, pa.int64())], names=["id", "d2", "ids"])
+
+    met = hosts.groupBy("b", "part").cogroup(visits.groupBy("b", "part")).applyInArrow(away, "id bigint, d2 array<double>, ids array<bigint>")
     gathered = met.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("d2", "ids"))).alias("more"))
     all_ = first.join(gathered, "id", "left").select(*xs, "members", F.when(F.col("more").isNull(), F.arrays_zip("d2", "ids")).otherwise(F.slice(F.array_sort(F.concat(F.arrays_zip("d2", "ids"), "more")), 1, top)).alias("z"))
     return all_.select(*xs, "members", F.col("z.d2").alias("d2"), F.col("z.ids").alias("ids"))
