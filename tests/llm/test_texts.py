@@ -110,8 +110,9 @@ def windows(texts, least):
     return out
 
 
-@pytest.mark.parametrize("least", [12, 40])
-def test_shared_spans_equal_all_windows(spark, least):
+@pytest.mark.parametrize("least,few", [(12, 1 << 19), (40, 1 << 19), (40, 0)])
+def test_shared_spans_equal_all_windows(spark, monkeypatch, least, few):
+    monkeypatch.setattr(spans, "FEW_KEYS", few)
     rng = random.Random(least)
     texts = []
     for al in ("ab", "abcdef ", "the quick brown fox é\U0001f600中"):

@@ -1,7 +1,7 @@
 """Byte-level BPE over a whole corpus with a public vocabulary.
 
-The vocabulary file (base64 token and rank a line) is a parameter and must be readable at that
-path on every executor.
+The vocabulary file (base64 token and rank a line) is a parameter. It is sent to the executors where the driver can
+read it, else it must be readable at that path on each of them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,22 +102,35 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_sent: set[tuple[str, str]] = set()
 
 
 def encoder(path: str = BYTE_BPE_50K) -> Encoder:
     """The encoder of a file, read once in a process."""
     path = os.fspath(path)
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        near = SparkFiles.get(os.path.basename(path)) if SparkFiles._root_directory else ""
+        _encoders[path] = Encoder(near if os.path.exists(near) else path)
     return _encoders[path]
 
 
+def sent(df: DataFrame, path: str) -> str:
+    """Sends this package and the vocabulary file to the executors; returns the path."""
+    ship(df.sparkSession)
+    path = os.path.abspath(os.fspath(path))
+    sc = df.sparkSession.sparkContext
+    if (sc.applicationId, path) not in _sent and os.path.exists(path):
+        _sent.add((sc.applicationId, path))
+        sc.addFile(path)
+    return path
+
+
 def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
     """``key`` and ``ids`` (ARRAY<INT>) of every row; null and empty texts have an empty array.
 
     No shuffle; rows with a repeated or null key are kept as they are. Texts are encoded whole.
     """
-    ship(df.sparkSession)
+    path = sent(df, path)
     rows = df.select(quoted(key).alias("k"), quoted(text).cast("string").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +147,7 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` (BIGINT) of every row; null and empty texts have 0."""
-    ship(df.sparkSession)
+    path = sent(df, path)
     names = [f"k{i}" for i in range(len(keep))]
     rows = df.select(*(quoted(c).alias(a) for a, c in zip(names, keep)), quoted(text).cast("string").alias("x"))
 
@@ -149,7 +163,7 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str =
 
 def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = BYTE_BPE_50K) -> DataFrame:
     """``key`` and ``text`` of every row of ids; a null or empty array gives the empty text."""
-    ship(df.sparkSession)
+    path = sent(df, path)
     rows = df.select(quoted(key).alias("k"), quoted(ids).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

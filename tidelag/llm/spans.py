@@ -29,6 +29,10 @@ TOGETHER = 1 << 16
 SPREAD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), 0x632BE59BD9B4E019)
 #: Bytes of the digests by which texts are compared.
 DIGEST = 16
+#: Keys up to which those of several records are sent to every task; more of them are joined by a shuffle.
+FEW_KEYS = 1 << 19
+#: Stretches that a task puts out at once.
+ROWS_OUT = 1 << 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -206,15 +210,29 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            held: list[tuple[np.ndarray, ...]] = []
+            many = 0
+
+            def put() -> pa.RecordBatch:
+                at, w, x0, x1 = (np.concatenate(z) for z in zip(*held))
+                held.clear()
+                return pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), pa.array(w), pa.array(x0.astype(np.int32)), pa.array(x1.astype(np.int32))], names=["k", "w", "x0", "x1"])
+
             for rows, texts in _batched(b, "x"):
                 of, x0, x1, w = ranges(texts, least, rounds)
-                keys = b.column("k").take(pa.array(rows[of]))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(w), pa.array(x0.astype(np.int32)), pa.array(x1.astype(np.int32))], names=["k", "w", "x0", "x1"])
+                held.append((rows[of], w, x0, x1))
+                many += len(of)
+                if many >= ROWS_OUT:
+                    yield put()
+                    many = 0
+            if held:
+                yield put()
 
     # most keys stand in one record only and are gone after this
     parts = written(docs.mapInArrow(scan, f"k {kind}, w bigint, x0 int, x1 int"))
     met_keys = parts.groupBy("w").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("w")
-    chosen = parts.join(met_keys, "w", "left_semi")
+    met_keys = written(met_keys)
+    chosen = parts.join(F.broadcast(met_keys) if met_keys.count() <= FEW_KEYS else met_keys, "w", "left_semi")
 
     def per_record(rows: DataFrame) -> DataFrame:
         """Texts of the records of these stretches, with the stretches (as many as the text has at most)."""
