@@ -26,7 +26,19 @@ def parsed(c: Column) -> Column:
     blanks around are dropped. A zone offset is applied, no zone means UTC, a bare day means 00:00.
     A month without a day and a day that no calendar has give null. Independent of the session's zone.
     """
-    s = F.btrim(c, F.lit(" \t\r\n "))
+    s = F.btrim(c, F.lit(" \t\r\n\xa0"))
+    u = F.translate(s, "/", "-")
+    # most are told by their length and two dashes; the cast itself rejects what is no date
+    at = lambda i, n=1: F.substring(u, i, n)
+    size = F.length(u)
+    rest = F.when(size == 10, "T00:00:00Z").when(size == 16, ":00Z").when(size == 19, "Z").when((size == 20) & u.endswith("Z"), "").when((size == 25) & at(20).isin("+", "-"), "")
+    plain = F.when((at(5) == "-") & (at(8) == "-") & at(1).between("0", "9"), F.concat(u, rest)).when((size == 8) & at(1).between("0", "9"), F.concat(at(1, 4), F.lit("-"), at(5, 2), F.lit("-"), at(7, 2), F.lit("T00:00:00Z")))
+    # the long way stands in a function of its own: in one method with the short way the JVM would compile neither
+    return F.coalesce(plain.try_cast("timestamp"), F.get(F.transform(F.array(s), _any_notation), F.lit(0)))
+
+
+def _any_notation(s: Column) -> Column:
+    """The same by patterns, of a string without blanks around."""
     u = F.translate(s, "/", "-")
 
     def named(pattern: str, y: int, m: int, d: int) -> Column:
@@ -49,9 +61,4 @@ def parsed(c: Column) -> Column:
         .when(s.rlike(_NAMED_MDY), named(_NAMED_MDY, 3, 1, 2))
         .when(s.rlike(_NAMED_YMD), named(_NAMED_YMD, 1, 2, 3))
     )
-    # most are told by their length and two dashes; the cast itself rejects what is no date
-    at = lambda i, n=1: F.substring(u, i, n)
-    size = F.length(u)
-    rest = F.when(size == 10, "T00:00:00Z").when(size == 16, ":00Z").when(size == 19, "Z").when((size == 20) & u.endswith("Z"), "").when((size == 25) & at(20).isin("+", "-"), "")
-    plain = F.when((at(5) == "-") & (at(8) == "-") & at(1).between("0", "9"), F.concat(u, rest)).when((size == 8) & at(1).between("0", "9"), F.concat(at(1, 4), F.lit("-"), at(5, 2), F.lit("-"), at(7, 2), F.lit("T00:00:00Z")))
-    return F.coalesce(plain.try_cast("timestamp"), text.try_cast("timestamp"))
+    return text.try_cast("timestamp")

@@ -10,7 +10,7 @@ from tidelag.plans import edm, problems
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**edm.QUERIES, **{f.__name__: f for f in (problems.p2_found, problems.p3_found, problems.p3_observed)}}
+    return {**edm.QUERIES, **{f.__name__: f for f in (problems.p2_found, problems.p3_found, problems.p3_observed, problems.p3_series)}}
 
 
 def oracle_sql() -> dict[str, str]:

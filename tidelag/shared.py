@@ -55,17 +55,48 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_left: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared folder and read it back (cuts the lineage).
 
-    Survives the loss of executors, since no block of it lives on one of them.
+    Survives the loss of executors, since no block of it lives on one of them. The folder is deleted when the
+    driver ends, or by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelag-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _left.setdefault(spark.sparkContext.applicationId, []).append(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that the session's operators wrote and tells how many; results not yet read need them."""
+    paths = _left.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+    return len(paths)
+
+
+def once(c: Column) -> Column:
+    """The column, worked out once a row.
+
+    A filter on it is not pushed below it, where it would be worked out again: the optimizer leaves an expression that
+    calls for a random number where it is.
+    """
+    return F.when(F.rand(0) >= 0, c)
+
+
 def number(c: Column) -> Column:
     """Double with NaN turned into null and -0.0 into 0.0."""
     d = c.cast("double")
