@@ -125,6 +125,52 @@ def test_arguments_are_checked(spark, bad):
         api.Simplex(spark.createDataFrame(frame(60)), **kw)
 
 
+def test_spans_sizes_and_libraries_are_checked(spark):
+    df = spark.createDataFrame(frame(80))
+    gappy = spark.createDataFrame(frame(80, missing=(("x", (30,)),)))
+    bad = [
+        lambda: api.Simplex(df, "x", "x", [1, 60], [61, 5000], 2),
+        lambda: api.Simplex(df, "x", "x", [1, 81], [61, 70], 2),
+        lambda: api.SMap(df, "x", "x", [1, 60], [61, 81], 2)["predictions"],
+        lambda: api.EmbedDimension(df, "x", "x", 3, [1, 60], [61, 90]),
+        lambda: api.CCM(df, "x", "y", [10, 500], 2, 2, seed=1),
+        lambda: api.CCM(df, "x", "y", [10, 500], 2, 2, seed=1, legacy=True),
+        lambda: api.Simplex(df, "x", "x", [1, 60], [61, 70], 2, validLib="Time < 8"),
+        lambda: api.Simplex(df, "x", "x", [1, 60], [61, 70], 2, validLib="Time < 0"),
+        lambda: api.SMap(df, "x", "x", [1, 60], [61, 70], 2, knn=20, validLib="Time < 15")["predictions"],
+        lambda: api.Simplex(gappy, "x", "x", [1, 60], [61, 70], 2, ignoreNan=False),
+    ]
+    for f in bad:
+        with pytest.raises(Exception, match="rows|missing values"):
+            f().collect()
+    assert api.Simplex(df, "x", "x", [1, 60], [61, 70], 2, ignoreNan=False).count() == 11
+    o = api.Simplex(df, "x", "x", [1, 60], [61, 70], 2, returnObject=True)
+    assert o.Projection.count() == 11 and o.Neighbors.count() == 30
+    if not plots_at_hand():
+        with pytest.raises(RuntimeError):
+            api.Simplex(df, "x", "x", [1, 60], [61, 70], 2, showPlot=True)
+
+
+def plots_at_hand():
+    import importlib.util
+
+    return importlib.util.find_spec("matplotlib") is not None
+
+
+def test_more_solvers():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(80, 11))
+    c = np.array([2.0, 0, 0, 0, -1.5, 0, 0, 0, 0, 0])
+    b = 3 + a[:, 1:] @ c + rng.normal(0, 0.05, 80)
+    for name in solvers.SOLVERS:
+        got = solvers.solver(name)(a, b)[0]
+        assert len(got) == 11 and np.isfinite(got).all(), name
+    for name in ("ridge_cv", "lasso_cv", "elastic_net_cv", "lars", "lasso_lars_ic", "sgd"):
+        assert np.allclose(solvers.solver(name)(a, b)[0], np.append(3, c), atol=0.15), name
+    one = solvers.omp()(a, b)[0]
+    assert np.flatnonzero(one[1:]).tolist() == [0] and np.flatnonzero(solvers.omp(2)(a, b)[0][1:]).tolist() == [0, 4]
+
+
 def test_smap_equals_least_squares(spark):
     f = frame(90, missing=(("y", (20,)),))
     E, theta = 3, 2.5
@@ -221,8 +267,16 @@ def test_sweeps_and_maps(spark):
     mv = api.Multiview(df, "x y", "x", [1, 60], [61, 95], E=2, trainLib=False)
     v = mv["View"].orderBy("rank").toPandas()
     assert len(v) == 2 and v["rho"].is_monotonic_decreasing and mv["Predictions"].count() == 36
-    assert api.SMap_theta(df, [0, 2], "x", "x", 2, lib=[1, 60], pred=[61, 70]).count() == 20
-    assert api.SMap_Tp(df, [1, 2], "x", "x", 2, lib=[1, 60], pred=[61, 70]).count() == 20
+    # rows as of a single map: ten predicted ones and the Tp that they reach beyond
+    th = api.SMap_theta(df, [0, 2], "x", "x", 2, lib=[1, 60], pred=[61, 70]).orderBy("row").toPandas()
+    assert len(th) == 22 and set(th["theta"]) == {0.0, 2.0}
+    tp = api.SMap_Tp(df, [1, 2], "x", "x", 2, theta=2, lib=[1, 60], pred=[61, 70]).orderBy("row").toPandas()
+    assert len(tp) == 11 + 12
+    for theta, part in th.groupby("theta"):
+        one = api.SMap(df, "x", "x", [1, 60], [61, 70], 2, theta=theta)["predictions"].orderBy("row").toPandas()
+        for c in ("row", "Time", "Observations", "Predictions", "Pred_Variance"):
+            assert np.allclose(part[c].astype(float), one[c].astype(float), equal_nan=True)
+    assert np.allclose(tp[tp["Tp"] == 1]["Predictions"].astype(float), th[th["theta"] == 2]["Predictions"].astype(float), equal_nan=True)
 
 
 def test_generate_and_surrogates(spark):

@@ -48,6 +48,23 @@ def test_command_line(spark, tmp_path):
     assert tables.read(spark, f"{tmp_path}/c.parquet").count() == 3
 
 
+def test_command_line_takes_a_dimension_for_each_column(spark, tmp_path):
+    t = pd.DataFrame({"Time": range(1, 61), "x": np.round(np.sin(np.arange(60) * 0.7), 4), "y": np.round(np.cos(np.arange(60) * 0.9), 4)})
+    t.to_csv(f"{tmp_path}/in.csv", index=False)
+    pd.DataFrame({"column": ["y", "x"], "E": [3, 2]}).to_csv(f"{tmp_path}/e.csv", index=False)
+    for out, e in (("a", f"{tmp_path}/e.csv"), ("b", "2 3"), ("c", "2")):
+        cli.main(["ccm-matrix", "-i", f"{tmp_path}/in.csv", "-o", f"{tmp_path}/{out}.parquet", "--E", e, "--libSizes", "10 40", "--sample", "2", "--seed", "1"])
+    got = [tables.read(spark, f"{tmp_path}/{out}.parquet").orderBy("source", "target", "lib_size").toPandas()["rho"] for out in "abc"]
+    assert got[0].equals(got[1]) and not got[0].equals(got[2])
+
+
+def test_npz_holds_slopes_and_rates(spark, tmp_path):
+    t = pd.DataFrame({"Time": range(1, 61), "x": np.sin(np.arange(60) * 0.7), "y": np.cos(np.arange(60) * 0.9)})
+    r = api.CCM_Matrix(spark.createDataFrame(t), 2, [10, 25, 40], sample=2, seed=1, expConverge=True, outputFile=f"{tmp_path}/m.npz")
+    z = np.load(f"{tmp_path}/m.npz")
+    assert z["exp_a"].shape == z["slope"].shape == (2, 2) and z["tensor"].shape == (2, 2, 3) and r["exp_a"].count() == 2
+
+
 def test_streams_equal_tables(spark, tmp_path):
     e = spark.createDataFrame(pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=200, freq="7min"), "value": np.arange(200) * 1.0, "k": ["a", "b"] * 100}))
     e.repartition(4).write.parquet(f"{tmp_path}/in")

@@ -9,6 +9,7 @@ elsewhere (numProcess, kdWorkers, mpMethod, chunksize, parallel, sharedMB) are a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 from tidelag.functions import convergence, skill
 from tidelag.operators import ccm as _ccm
 from tidelag.operators import generate as _generate
+from tidelag.operators import neighbors as _neighbors
 from tidelag.operators import series as _series
 from tidelag.operators import simplex as _simplex
 from tidelag.operators import smap as _smap
 from tidelag.operators import surrogate as _surrogate
 from tidelag.operators import sweep as _sweep
+from tidelag.sources import plots
 from tidelag.sources import tables as _tables
 from tidelag.sources.plots import plot_coefficients as PlotCoeff  # noqa: F401, N812
 from tidelag.sources.plots import plot_matrix as PlotMatrix  # noqa: F401, N812
@@ -39,6 +42,13 @@ def _out(df: DataFrame, series: str | None) -> DataFrame:
     return df if series else df.drop("series")
 
 
+def _shown(df: DataFrame, show: bool, draw, *args) -> DataFrame:
+    """The table, drawn before if that is asked for (which collects it and needs matplotlib)."""
+    if show:
+        draw(df, *args)
+    return df
+
+
 def MakeBlock(*_, **__):  # noqa: N802
     """Gone; use Embed."""
     raise RuntimeError("MakeBlock is no longer there; use Embed")
@@ -65,16 +75,23 @@ def Embedding(data, columns=None, E=2, tau=-1, outputFile=None, plusminus=False,
 
 
 def Simplex(dataFrame, columns="", target="", lib="", pred="", E=0, Tp=1, knn=0, tau=-1, exclusionRadius=0, embedded=False, validLib=None, noTime=False, generateSteps=0, generateConcat=False, ignoreNan=True, order=(), series=None, showPlot=False, returnObject=False, verbose=False, kdWorkers=-1) -> DataFrame:  # noqa: N802, N803
-    """Simplex projection: Time, Observations, Predictions, Pred_Variance (and row, to sort by). validLib is a SQL condition."""
+    """Simplex projection: Time, Observations, Predictions, Pred_Variance (and row, to sort by). validLib is a SQL condition.
+
+    ``showPlot`` draws it. ``returnObject`` gives the projection with its neighbours and task instead.
+    """
     t = _series.task(columns, target, lib, pred, E, Tp, knn, tau, exclusionRadius, embedded, validLib or None, ignoreNan)
     place = _place(dataFrame, noTime, order, series)
     if generateSteps:
-        return _out(_generate.generated(dataFrame, t, generateSteps, concat=generateConcat, **place), series)
-    return _out(_simplex.run(dataFrame, [t], **place).drop("task"), series)
+        return _shown(_out(_generate.generated(dataFrame, t, generateSteps, concat=generateConcat, **place), series), showPlot, PlotObsPred)
+    p = _series.prepared(dataFrame, [t], **place)
+    out = _shown(_out(_simplex.projection(p, _simplex.forecasts(p)).drop("task"), series), showPlot, PlotObsPred)
+    if returnObject:
+        return SimpleNamespace(Projection=out, Neighbors=_out(_neighbors.nearest(p).drop("task"), series), task=t)
+    return out
 
 
 def SMap(dataFrame, columns="", target="", lib="", pred="", E=0, Tp=1, knn=0, tau=-1, theta=0, exclusionRadius=0, solver=None, embedded=False, validLib=None, noTime=False, generateSteps=0, generateConcat=False, ignoreNan=True, order=(), series=None, showPlot=False, returnObject=False, verbose=False, kdWorkers=-1) -> dict[str, DataFrame]:  # noqa: N802, N803
-    """Locally weighted map: tables predictions, coefficients and singularValues."""
+    """Locally weighted map: tables predictions, coefficients and singularValues (as attributes, with the task, by ``returnObject``)."""
     t = _series.task(columns, target, lib, pred, E, Tp, 1, tau, exclusionRadius, embedded, validLib or None, ignoreNan)
     if not embedded and len(_series.name_list(columns)) > 1:
         raise ValueError("several columns need embedded=True")
@@ -89,11 +106,14 @@ def SMap(dataFrame, columns="", target="", lib="", pred="", E=0, Tp=1, knn=0, ta
     sign = "-" if tau < 0 else "+"
     names = ["C0"] + [f"∂{t.target}/∂{c}" if embedded else f"∂{t.target}/∂{c}(t{sign}{abs(s)})" for c, s in t.dims]
     head = (["series"] if series else []) + [key, "Time"]
-    return {
+    out = {
         "predictions": rows.select(*head, "Observations", "Predictions", "Pred_Variance"),
         "coefficients": rows.select(*head, *(F.get("coef", F.lit(i)).alias(n) for i, n in enumerate(names))),
         "singularValues": rows.select(*head, *(F.get("sing", F.lit(i)).alias(f"C{i}") for i in range(len(names)))),
     }
+    _shown(out["predictions"], showPlot, PlotObsPred)
+    _shown(out["coefficients"].drop(key), showPlot and not series, PlotCoeff)
+    return SimpleNamespace(**out, task=t) if returnObject else out
 
 
 def CCM(dataFrame, columns="", target="", libSizes="", sample=30, E=0, Tp=0, knn=0, tau=-1, exclusionRadius=0, seed=None, embedded=False, validLib=None, includeData=False, noTime=False, legacy=False, sampler="numpy", order=(), series=None, mpMethod=None, parallel=True, sharedMB=0.01, verbose=False, showPlot=False, returnObject=False):  # noqa: N802, N803
@@ -107,6 +127,9 @@ def CCM(dataFrame, columns="", target="", libSizes="", sample=30, E=0, Tp=0, knn
     else:
         rows = _ccm.ccm(dataFrame, columns, target, libSizes, sample, E, Tp, knn, tau, exclusionRadius, seed, embedded, validLib or None, sampler=sampler, strict=series is None, **place)
     means = _ccm.lib_means(rows, columns, target, includeData, ["series"] if series else [])
+    _shown(means, showPlot, plots.plot_lines, "LibSize")
+    if returnObject:
+        return SimpleNamespace(libMeans=means, PredictStats=_out(rows, series))
     return {"libMeans": means, "PredictStats": _out(rows, series)} if includeData else means
 
 
@@ -115,36 +138,38 @@ def Multiview(dataFrame, columns="", target="", lib="", pred="", D=0, E=1, Tp=1,
     place = _place(dataFrame, False, order, series)
     a, b = _sweep.multiview(dataFrame, columns, target, lib, pred, D, E, Tp, tau, multiview, exclusionRadius, trainLib, excludeTarget, **place)
     a = a.withColumn("Time", F.col("row") + 1).drop("row")
-    return {"Predictions": _out(a, series), "View": _out(b, series)}
+    out = {"Predictions": _shown(_out(a, series), showPlot, PlotObsPred), "View": _out(b, series)}
+    return SimpleNamespace(**out) if returnObject else out
 
 
-def _sweep_args(dataFrame, E, Tp, tau, radius, embedded, validLib, noTime, order, series, knn=0, skip=()) -> dict:
-    kw = {"E": E, "Tp": Tp, "tau": tau, "radius": radius, "embedded": embedded, "valid": validLib or None, "knn": knn}
+def _sweep_args(dataFrame, E, Tp, tau, radius, embedded, validLib, noTime, order, series, ignoreNan=True, knn=0, skip=()) -> dict:
+    kw = {"E": E, "Tp": Tp, "tau": tau, "radius": radius, "embedded": embedded, "valid": validLib or None, "ignore_nan": ignoreNan, "knn": knn}
     return {k: v for k, v in kw.items() if k not in skip} | _place(dataFrame, noTime, order, series)
 
 
 def EmbedDimension(dataFrame, columns="", target="", maxE=10, lib="", pred="", Tp=1, tau=-1, exclusionRadius=0, embedded=False, validLib=None, noTime=False, ignoreNan=True, order=(), series=None, numProcess=4, mpMethod=None, chunksize=1, kdWorkers=-1, verbose=False, showPlot=False) -> DataFrame:  # noqa: N802, N803
     """rho for E from 1 to maxE."""
-    kw = _sweep_args(dataFrame, 0, Tp, tau, exclusionRadius, embedded, validLib, noTime, order, series, skip=("E",))
-    return _out(_sweep.embed_dimension(dataFrame, columns, target, lib, pred, maxE, **kw), series)
+    kw = _sweep_args(dataFrame, 0, Tp, tau, exclusionRadius, embedded, validLib, noTime, order, series, ignoreNan, skip=("E",))
+    return _shown(_out(_sweep.embed_dimension(dataFrame, columns, target, lib, pred, maxE, **kw), series), showPlot, plots.plot_line, "E", "rho")
 
 
 def PredictInterval(dataFrame, columns="", target="", lib="", pred="", maxTp=10, E=1, tau=-1, exclusionRadius=0, embedded=False, validLib=None, noTime=False, ignoreNan=True, order=(), series=None, numProcess=4, mpMethod=None, chunksize=1, kdWorkers=-1, verbose=False, showPlot=False) -> DataFrame:  # noqa: N802, N803
     """rho for Tp from 1 to maxTp."""
-    kw = _sweep_args(dataFrame, E, 0, tau, exclusionRadius, embedded, validLib, noTime, order, series, skip=("Tp",))
-    return _out(_sweep.predict_interval(dataFrame, columns, target, lib, pred, maxTp, **kw), series)
+    kw = _sweep_args(dataFrame, E, 0, tau, exclusionRadius, embedded, validLib, noTime, order, series, ignoreNan, skip=("Tp",))
+    return _shown(_out(_sweep.predict_interval(dataFrame, columns, target, lib, pred, maxTp, **kw), series), showPlot, plots.plot_line, "Tp", "rho")
 
 
 def PredictExclusionRadius(dataFrame, columns="", target="", lib="", pred="", Tp=1, E=1, tau=-1, exclusionRadius=None, embedded=False, validLib=None, noTime=False, ignoreNan=True, order=(), series=None, numProcess=4, mpMethod=None, chunksize=1, kdWorkers=-1, verbose=False, showPlot=False) -> DataFrame:  # noqa: N802, N803
     """rho for each exclusion radius."""
-    kw = _sweep_args(dataFrame, E, Tp, tau, 0, embedded, validLib, noTime, order, series, skip=("radius",))
-    return _out(_sweep.predict_exclusion_radius(dataFrame, columns, target, lib, pred, exclusionRadius, **kw).withColumnRenamed("radius", "Exclusion radius"), series)
+    kw = _sweep_args(dataFrame, E, Tp, tau, 0, embedded, validLib, noTime, order, series, ignoreNan, skip=("radius",))
+    out = _sweep.predict_exclusion_radius(dataFrame, columns, target, lib, pred, exclusionRadius, **kw).withColumnRenamed("radius", "Exclusion radius")
+    return _shown(_out(out, series), showPlot, plots.plot_line, "Exclusion radius", "rho")
 
 
 def PredictNonlinear(dataFrame, columns="", target="", theta=None, lib="", pred="", E=1, Tp=1, knn=0, tau=-1, exclusionRadius=0, solver=None, embedded=False, validLib=None, noTime=False, ignoreNan=True, order=(), series=None, numProcess=4, mpMethod=None, chunksize=1, kdWorkers=-1, verbose=False, showPlot=False) -> DataFrame:  # noqa: N802, N803
     """rho of the locally weighted map for each theta."""
-    kw = _sweep_args(dataFrame, E, Tp, tau, exclusionRadius, embedded, validLib, noTime, order, series, skip=("knn",))
-    return _out(_sweep.predict_nonlinear(dataFrame, columns, target, lib, pred, theta, knn, solver, **kw), series)
+    kw = _sweep_args(dataFrame, E, Tp, tau, exclusionRadius, embedded, validLib, noTime, order, series, ignoreNan, skip=("knn",))
+    return _shown(_out(_sweep.predict_nonlinear(dataFrame, columns, target, lib, pred, theta, knn, solver, **kw), series), showPlot, plots.plot_line, "theta", "rho")
 
 
 def ComputeError(df: DataFrame, obs="Observations", pred="Predictions", digits=6, keys=()) -> DataFrame:  # noqa: N802
@@ -219,22 +244,32 @@ def CCM_Matrix(dataFrame, E=1, libSizes=None, pLibSizes=(10, 20, 80, 90), Tp=0,
     if expConverge:
         out["exp_a"] = _out(convergence.rates(rho.where("source <> target"), keys, "lib_size", "rho", float(n)), series)
     if outputFile:
-        _tables.write_npz(out["rho"], outputFile, columns, out["slope"]) if outputFile.endswith(".npz") else _tables.write(out["rho"], outputFile)
+        _tables.write_npz(out["rho"], outputFile, columns, out["slope"], out.get("exp_a")) if outputFile.endswith(".npz") else _tables.write(out["rho"], outputFile)
     return out
 
 
 def SMap_theta(data, thetaList, target, column, E=1, tau=-1, Tp=1, exclusionRadius=0, lib=None, pred=None, knn=0, solver=None, embedded=False, noTime=False, order=(), series=None, **_ignored) -> DataFrame:  # noqa: N802, N803
-    """theta, row, predicted, variance, coef, sing: locally weighted maps for a list of thetas."""
+    """theta, row, Time, Observations, Predictions, Pred_Variance, coef, sing: locally weighted maps for a list of thetas."""
+    thetas = _series.number_list(thetaList, float)
+    if not thetas:
+        raise ValueError("thetaList is needed")
     t = _series.with_task(_series.task(column, target, lib, pred, E, Tp, 1, tau, exclusionRadius, embedded), knn=knn)
     p = _series.prepared(data, [t], **_place(data, noTime, order, series))
-    return _out(_smap.forecasts(p, _series.number_list(thetaList, float), solver).drop("task").withColumnRenamed("p", "row"), series)
+    made = _smap.forecasts(p, thetas, solver).withColumn("task", F.array_position(F.array(*map(F.lit, thetas)), F.col("theta")).cast("int") - 1)
+    ts = [_series.replace(t, label={"theta": x}) for x in thetas]
+    out = _sweep.labelled(_simplex.projection(_series.replace(p, tasks=ts), made, ["coef", "sing"]), ts, ["theta"], ["double"])
+    return _out(out.select("series", "theta", "seg", "row", "Time", "Observations", "Predictions", "Pred_Variance", "coef", "sing"), series)
 
 
 def SMap_Tp(data, TpList, target, column, E=1, tau=-1, theta=0, exclusionRadius=0, lib=None, pred=None, knn=0, solver=None, embedded=False, noTime=False, order=(), series=None, **_ignored) -> DataFrame:  # noqa: N802, N803
-    """Tp, row, predicted, variance, coef, sing: locally weighted maps for a list of horizons."""
-    ts = [_series.with_task(_series.task(column, target, lib, pred, E, tp, 1, tau, exclusionRadius, embedded, label={"Tp": tp}), knn=knn) for tp in _series.number_list(TpList)]
+    """Tp, row, Time, Observations, Predictions, Pred_Variance, coef, sing: locally weighted maps for a list of horizons."""
+    tps = _series.number_list(TpList)
+    if not tps:
+        raise ValueError("TpList is needed")
+    ts = [_series.with_task(_series.task(column, target, lib, pred, E, tp, 1, tau, exclusionRadius, embedded, label={"Tp": tp}), knn=knn) for tp in tps]
     p = _series.prepared(data, ts, **_place(data, noTime, order, series))
-    return _out(_sweep.labelled(_smap.forecasts(p, [theta], solver), ts, ["Tp"], ["int"]).drop("task").withColumnRenamed("p", "row"), series)
+    out = _sweep.labelled(_simplex.projection(p, _smap.forecasts(p, [theta], solver), ["coef", "sing"]), ts, ["Tp"], ["int"])
+    return _out(out.select("series", "Tp", "seg", "row", "Time", "Observations", "Predictions", "Pred_Variance", "coef", "sing"), series)
 
 
 def sampleData(spark: SparkSession, folder: str) -> _tables.SampleData:  # noqa: N802

@@ -18,6 +18,8 @@ COMMANDS = {
     "smap-theta": api.SMap_theta, "smap-tp": api.SMap_Tp,
 }
 #: Arguments that are lists whatever their default.
+#: Commands that take a dimension for each column: one number, several, or a table of (column, E).
+EACH_E = {"ccm-matrix", "crossmap-matrix", "crossmap-columns"}
 LISTS = {"lib", "pred", "libSizes", "pLibSizes", "theta_list", "thetaList", "TpList", "order", "Evec"}
 
 
@@ -33,6 +35,9 @@ def parser() -> argparse.ArgumentParser:
             if a.kind is a.VAR_KEYWORD or a.name in ("outputFile", "spark", "dataFile", "pathIn"):
                 continue
             default = None if a.default is a.empty else a.default
+            if a.name == "E" and name in EACH_E:
+                p.add_argument("--E", type=str, default=str(default), help="a number, one for each column, or a table with the columns column and E")
+                continue
             kind = str if default is None or default == "" or a.name in LISTS or isinstance(default, tuple) else type(default)
             if kind is bool:
                 p.add_argument(f"--{a.name}", action=argparse.BooleanOptionalAction, default=default)
@@ -41,9 +46,22 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def dimensions(spark: SparkSession, e: str, df, args: dict):
+    """E as a number, or as one for each of the columns."""
+    if all(x.isdigit() for x in e.replace(",", " ").split()):
+        es = [int(x) for x in e.replace(",", " ").split()]
+        return es[0] if len(es) == 1 else es
+    known = args.get("columns")
+    known = known.split() if isinstance(known, str) and known else known
+    columns = known or [c for c in df.columns[0 if args.get("noTime") else 1 :] if c != args.get("series") and c not in (args.get("order") or ())]
+    args["columns"] = columns
+    return tables.dimensions(tables.read(spark, e), columns)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = vars(parser().parse_args(argv))
-    f = COMMANDS[args.pop("command")]
+    command = args.pop("command")
+    f = COMMANDS[command]
     source, to, part = args.pop("input"), args.pop("output"), args.pop("part")
     spark = SparkSession.builder.appName("tidelag").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     for k, v in args.items():
@@ -61,7 +79,10 @@ def main(argv: list[str] | None = None) -> None:
         args["theta"] = [float(x) for x in args["theta"].split()]
     if f is api.CrossMap_ColumnList:
         args["columns"] = [c.split("+") for c in args["columns"].split()]
-    out = f(tables.read(spark, source), **args)
+    df = tables.read(spark, source)
+    if command in EACH_E:
+        args["E"] = dimensions(spark, args["E"], df, args)
+    out = f(df, **args)
     if isinstance(out, dict):
         out = out[part or next(iter(out))]
     tables.write(out, to)

@@ -149,10 +149,19 @@ def chosen(p: Piece, t: Task, slots: list[int], v: int | None, lib: bool) -> np.
     if lib and v is not None:
         ok = ok & p.valid[:, v]
     for s in slots:
-        ok = ok & ~np.isnan(p.x[:, s])
+        there = ~np.isnan(p.x[:, s])
+        if not t.ignore_nan and (ok & ~there).any():
+            raise ValueError("the embedding holds missing values (ignoreNan)")
+        ok = ok & there
     return np.flatnonzero(ok)
 
 
+def checked(t: Task, held: int, k: int, strict: bool) -> None:
+    """Raises where the rows that meet a task's condition are fewer than the neighbours it asks for."""
+    if strict and t.valid and held < max(1, k):
+        raise ValueError(f"the valid library of {held} rows is smaller than knn={k}")
+
+
 def near_band(prow: np.ndarray, lrow: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (predicted row, library row) of the pairs within the radius; library rows ascend."""
     lo, hi = np.searchsorted(lrow, prow - radius, "left"), np.searchsorted(lrow, prow + radius, "right")
@@ -191,7 +200,7 @@ def searched(p: Prepared, targets: list[list[int]], finish: Callable, schema: st
 
     ``targets`` are, for each task, the places in ``p.ys`` of what is taken from its neighbours.
     """
-    tasks = p.tasks
+    tasks, strict = p.tasks, p.strict
     slots = [p.slots(t) for t in tasks]
     valid = [p.valid.index(t.valid) if t.valid else None for t in tasks]
     order = sorted(range(len(tasks)), key=lambda i: (slots[i], i))
@@ -200,13 +209,14 @@ def searched(p: Prepared, targets: list[list[int]], finish: Callable, schema: st
     names = [c.split()[0] for c in schema.split(", ")]
     types = {c.split()[0]: {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")}
 
-    def search(block: Piece, mine: dict, piece: Piece, kept: dict) -> None:
+    def search(block: Piece, mine: dict, piece: Piece, kept: dict, met: dict) -> None:
         """Adds the neighbours in a piece of the library to those kept."""
         libs: dict = {}
         for i in mine:
             key = (tasks[i].lib, tasks[i].valid, tasks[i].tp, tasks[i].tau, tasks[i].e, tasks[i].embedded, tuple(slots[i]))
             libs[i] = libs.get(key) if key in libs else chosen(piece, tasks[i], slots[i], valid[i], True)
             libs[key] = libs[i]
+            met[i] = met.get(i, 0) + len(libs[i])
         step = max(1, cells // max(1, len(piece.row)))
         for a in range(0, len(block.row), step):
             x = block.x[a : a + step]
@@ -244,10 +254,12 @@ def searched(p: Prepared, targets: list[list[int]], finish: Callable, schema: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         rows = 0
-        block = mine = kept = None
+        block = mine = kept = met = None
 
         def close() -> None:
             nonlocal rows
+            for i in mine or ():
+                checked(tasks[i], met.get(i, 0), tasks[i].knn, strict)
             for i, found in (kept or {}).items():
                 t = found[0] if len(found) == 1 else tuple(np.concatenate(z) for z in zip(*found))
                 got = finish(i, block, *trimmed(*t, tasks[i].knn))
@@ -270,12 +282,12 @@ def searched(p: Prepared, targets: list[list[int]], finish: Callable, schema: st
                     yield from put()
                 block = piece.part(0, int(piece.own.sum()))
                 mine = {i: q for i, t in enumerate(tasks) if piece.only is None or i in piece.only for q in [chosen(block, t, slots[i], valid[i], False)] if len(q)}
-                kept = {}
+                kept, met = {}, {}
             if mine:
                 at = np.argsort(piece.row, kind="stable")  # own rows stand before the others
                 piece = Piece(piece.series, piece.row[at], piece.n, piece.own[at], piece.x[at], piece.y[at], piece.valid[at], piece.teaches[at], piece.predicted[at], piece.only)
                 for lo in range(0, len(piece.row), part):
-                    search(block, mine, piece.part(lo, lo + part), kept)
+                    search(block, mine, piece.part(lo, lo + part), kept, met)
         close()
         yield from put()
 

@@ -263,6 +263,7 @@ class Prepared:
     dims: list[tuple[str, int]]
     ys: list[tuple[str, int]]
     valid: list[str]
+    strict: bool = False
 
     def slots(self, t: Task) -> list[int]:
         return [self.dims.index(x) for x in t.dims]
@@ -271,7 +272,9 @@ class Prepared:
 def prepared(df: DataFrame, tasks: list[Task], time: str | None = None, series: str | None = None, order: Sequence[str] = (), targets: Iterable[tuple[str, int]] = ()) -> Prepared:
     """The table of a set of tasks; ``targets`` (column and rows ahead) are put beside each row along with those of the tasks.
 
-    With one series, spans must lie within it: ValueError. With many, a span ends where its series does.
+    With one series (strict) spans must lie within it, and a library with a condition must hold k rows: else the
+    task that meets it raises. With many, a span ends where its series does. A task that doesn't ignore missing
+    values (``ignore_nan`` False) raises where its library or its predicted rows hold one.
     """
     valid = list(dict.fromkeys(t.valid for t in tasks if t.valid))
     columns = [c for t in tasks for c, _ in t.dims] + [t.target for t in tasks] + [c for c, _ in targets]
@@ -286,7 +289,7 @@ def prepared(df: DataFrame, tasks: list[Task], time: str | None = None, series:
             # raised by the task that meets it, so that nothing runs before the table is asked for
             short = F.raise_error(F.concat(F.lit(f"lib or pred reach row {last} of a series of "), F.col("n"), F.lit(" rows")))
             wide = wide.withColumn("n", F.when(F.col("n") < last, short.cast("bigint")).otherwise(F.col("n")))
-    return Prepared(base, wide, list(tasks), alias, dims, ys, valid)
+    return Prepared(base, wide, list(tasks), alias, dims, ys, valid, series is None)
 
 
 def meet(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

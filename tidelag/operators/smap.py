@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.operators.neighbors import CELLS, PIECE, PLACES, Piece, chosen, near_band, pieces, streamed
+from tidelag.operators.neighbors import CELLS, PIECE, PLACES, Piece, checked, chosen, near_band, pieces, streamed
 from tidelag.operators.series import Prepared, Task, obs_mask
 from tidelag.operators.solvers import lstsq, solver as as_solver
 
@@ -88,6 +88,7 @@ def forecasts(p: Prepared, thetas: Sequence[float], solver=None) -> DataFrame:
     whole library, a task holds the library's numbers of its series (never its rows' pairs).
     """
     tasks: list[Task] = p.tasks
+    strict = p.strict
     solve = as_solver(solver)
     thetas = [float(t) for t in thetas]
     slots = [p.slots(t) for t in tasks]
@@ -108,6 +109,8 @@ def forecasts(p: Prepared, thetas: Sequence[float], solver=None) -> DataFrame:
         lib = Piece(own.series, each("row"), own.n, each("own"), each("x"), each("y"), each("valid"), each("teaches"), each("predicted"), own.only)
         for i, t in enumerate(tasks):
             q, l = chosen(own, t, slots[i], valid[i], False), chosen(lib, t, slots[i], valid[i], True)
+            if len(q):
+                checked(t, len(l), t.knn, strict)
             if not len(q) or not len(l):
                 continue
             target = aims[i]

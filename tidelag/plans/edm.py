@@ -3,16 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.functions import convergence, skill
-from tidelag.operators import ccm, generate, neighbors, series, simplex, smap, solvers, surrogate, sweep
+from tidelag.operators import ccm, generate, neighbors, series, simplex, smap, surrogate, sweep
 from tidelag.shared import table
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
-LIB, PRED = [1, 300], [301, 500]
+
+
+class Part(NamedTuple):
+    """A row (from 1) in terms of a series' n rows: n * num // den + plus."""
+
+    num: int
+    den: int
+    plus: int = 0
+
+
+#: Rows learnt from and rows predicted: three fifths of a series, and the rest of it.
+LIB, PRED = [1, Part(3, 5)], [Part(3, 5, 1), Part(1, 1)]
+WHOLE = [1, Part(1, 1)]
+
+
+def span(x, n: int) -> list[int]:
+    return [n * p.num // p.den + p.plus if isinstance(p, Part) else p for p in x]
+
+
+def spans(kw: dict, n: int) -> dict:
+    """The arguments of a task with its spans in rows of a series of n."""
+    return kw | {k: span(kw[k], n) for k in ("lib", "pred") if k in kw}
+
+
+def row_sql(p) -> str:
+    return f"(n * {p.num} // {p.den} + {p.plus})" if isinstance(p, Part) else str(p)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,7 +94,7 @@ def shift_sql(c: str, by: int) -> str:
 
 
 def span_sql(pairs, lo: int = 0, hi: int = 0, last: int = 0) -> str:
-    return "(" + " OR ".join(f"row BETWEEN {a - 1 + lo} AND {b - 1 - hi - (last if i == len(pairs) - 1 else 0)}" for i, (a, b) in enumerate(pairs)) + ")"
+    return "(" + " OR ".join(f"row BETWEEN {row_sql(a)} - 1 + {lo} AND {row_sql(b)} - 1 - {hi} - {last if i == len(pairs) - 1 else 0}" for i, (a, b) in enumerate(pairs)) + ")"
 
 
 def near_sql(source: str, columns, target, lib, pred, E=1, Tp=1, tau=-1, k=None, R=0, embedded=False, valid="true", tag="") -> str:
@@ -83,9 +111,9 @@ def near_sql(source: str, columns, target, lib, pred, E=1, Tp=1, tau=-1, k=None,
     d2 = " + ".join(f"(q.{a} - l.{a}) * (q.{a} - l.{a})" for a in x)
     obs = []
     for a, b in pair(pred):
-        a0, b0 = a - 1, b - 1
-        if not embedded and tau < 0:
-            a0 = max(a0, sh)
+        a0, b0 = f"{row_sql(a)} - 1", f"{row_sql(b)} - 1"
+        if not embedded:
+            a0, b0 = (f"greatest({a0}, {sh})", b0) if tau < 0 else (a0, f"least({b0}, n - 1 - {sh})")
         t = f"row + {Tp}"
         seen = f"({t} <= {b0} OR {b0} + {Tp} < n)" if Tp > 0 else f"({t} >= {a0} OR {a0} + {Tp} >= 0)"
         obs.append(f"(row BETWEEN {a0} AND {b0} AND {seen})")
@@ -125,7 +153,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def forecast(spark, d, df, **kw) -> DataFrame:
-    return tidy(simplex.forecasts(series.prepared(df, [series.task(**kw)], "time")))
+    return tidy(simplex.forecasts(series.prepared(df, [series.task(**spans(kw, df.count()))], "time")))
 
 
 # ---- embedding ----
@@ -155,7 +183,7 @@ def embed_plusminus(spark, d):
 
 
 def _lib(spark, d, df, **kw):
-    p = series.prepared(df, [series.task(**kw)], "time")
+    p = series.prepared(df, [series.task(**spans(kw, df.count()))], "time")
     return series.used_rows(p, p.tasks[0], True).select("row")
 
 
@@ -164,7 +192,7 @@ def _lib_sql(base, **kw):
 
 
 _SPAN = dict(columns=["v"], target="v", lib=LIB, pred=PRED, E=3, Tp=2, tau=-2)
-_TWO = dict(columns=["v"], target="v", lib=[1, 100, 151, 300], pred=PRED, E=2, Tp=3)
+_TWO = dict(columns=["v"], target="v", lib=[1, Part(1, 5), Part(3, 10, 1), Part(3, 5)], pred=PRED, E=2, Tp=3)
 _NAN = dict(columns=["v"], target="v", lib=LIB, pred=PRED, E=3)
 
 
@@ -180,7 +208,8 @@ def disjoint_lib(spark, d):
 
 @query(f"WITH {HG}, {ROWS}, {near_sql('s', **_NAN)} SELECT 'lib' AS part, row FROM l UNION ALL SELECT 'pred', row FROM q")
 def remove_nan(spark, d):
-    p = series.prepared(gappy(spark, d), [series.task(**_NAN)], "time")
+    g = gappy(spark, d)
+    p = series.prepared(g, [series.task(**spans(_NAN, g.count()))], "time")
     return series.used_rows(p, p.tasks[0], True).select(F.lit("lib").alias("part"), "row").unionAll(series.used_rows(p, p.tasks[0], False).select(F.lit("pred"), "row"))
 
 
@@ -191,11 +220,12 @@ def valid_lib(spark, d):
 
 # ---- neighbours ----
 
-_NEAR = dict(columns=["v"], target="v", lib=[1, 400], pred=[301, 500], E=3)
+_NEAR = dict(columns=["v"], target="v", lib=[1, Part(4, 5)], pred=PRED, E=3)
 
 
 def _near(spark, d, df=None, **kw):
-    n = neighbors.nearest(series.prepared(df if df is not None else hourly(spark, d), [series.task(**kw)], "time"))
+    h = df if df is not None else hourly(spark, d)
+    n = neighbors.nearest(series.prepared(h, [series.task(**spans(kw, h.count()))], "time"))
     return n.select(F.col("p").alias("row"), F.col("rank").cast("bigint").alias("rank"), F.col("l").alias("neighbour"), F.round("dist", 6).alias("distance"))
 
 
@@ -234,7 +264,7 @@ _VARIANTS: dict[str, tuple[Callable, str, dict, dict]] = {
     "simplex_embedded_mv": (hourly_kinds, HM, dict(columns=["click", "view", "error"], target="click", lib=LIB, pred=PRED, embedded=True), {}),
     "simplex_multivariate": (hourly_kinds, HM, dict(columns=["click", "view"], target="view", lib=LIB, pred=PRED, E=2), {}),
     "simplex_variance": (hourly, H, _BASIC | {"E": 4, "Tp": 3}, {}),
-    "simplex_disjoint": (hourly, H, _BASIC | {"lib": [1, 100, 151, 300], "pred": [101, 140, 301, 400], "E": 2}, {}),
+    "simplex_disjoint": (hourly, H, _BASIC | {"lib": _TWO["lib"], "pred": [Part(1, 5, 1), Part(7, 25), *PRED], "E": 2}, {}),
     "simplex_missing": (gappy, HG, _BASIC, {}),
 }
 
@@ -262,45 +292,64 @@ def simplex_validlib(spark, d):
     return forecast(spark, d, hourly(spark, d), **_BASIC, valid="v > 1000")
 
 
+_FORMAT = _BASIC | {"pred": [1, Part(1, 5)], "Tp": 2}
+
+
 @query(
-    f"WITH {H}, {ROWS}, {near_sql('s', **(_BASIC | {'pred': [1, 100], 'Tp': 2}))}, {made_sql()}, "
-    "o AS (SELECT unnest(range(2, 102)) AS row) SELECT o.row, s.time AS \"Time\", s.v AS \"Observations\", round(predicted, 6) AS \"Predictions\", round(variance, 4) AS \"Pred_Variance\" "
+    f"WITH {H}, {ROWS}, {near_sql('s', **_FORMAT)}, {made_sql()}, "
+    "o AS (SELECT unnest(range(2, (SELECT count(*) // 5 + 2 FROM s))) AS row) SELECT o.row, s.time AS \"Time\", s.v AS \"Observations\", round(predicted, 6) AS \"Predictions\", round(variance, 4) AS \"Pred_Variance\" "
     "FROM o JOIN s USING (row) LEFT JOIN f ON f.p = o.row - 2"
 )
 def simplex_projection_format(spark, d):
-    r = simplex.run(hourly(spark, d), [series.task(**(_BASIC | {"pred": [1, 100], "Tp": 2}))], "time")
+    h = hourly(spark, d)
+    r = simplex.run(h, [series.task(**spans(_FORMAT, h.count()))], "time")
     return r.select("row", "Time", "Observations", F.round("Predictions", 6).alias("Predictions"), F.round("Pred_Variance", 4).alias("Pred_Variance"))
 
 
-def _series_sql(where: str = "") -> str:
+_LONG = dict(columns=["v"], target="v", lib=[1, Part(1, 10)], pred=[Part(1, 10, 1), Part(1, 1)], E=3)
+
+
+@query(
+    f"WITH s AS (SELECT value AS v, row_number() OVER (ORDER BY ts, event_id) - 1 AS row, count(*) OVER () AS n FROM events), {near_sql('s', **_LONG)}, {made_sql()} "
+    "SELECT p AS row, round(predicted, 6) AS predicted FROM f"
+)
+def simplex_long_series(spark, d):
+    """All events as one series, which its first tenth forecasts: many blocks of predicted rows."""
+    e = table(spark, d, "events").select("ts", "event_id", F.col("value").alias("v"))
+    p = series.prepared(e, [series.task(**spans(_LONG, e.count()))], order=["ts", "event_id"])
+    return simplex.forecasts(p).select(F.col("p").alias("row"), F.round("predicted", 6).alias("predicted"))
+
+
+def _series_sql(source: str, key: str) -> str:
     return (
-        f"WITH h AS (SELECT user_id, date_trunc('day', ts) AS time, round(sum(value), 2) AS v FROM events {where}GROUP BY 1, 2), "
-        "s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time) - 1 AS row FROM h), "
-        "e AS (SELECT user_id, row, v AS x0, lag(v) OVER (PARTITION BY user_id ORDER BY row) AS x1, lead(v) OVER (PARTITION BY user_id ORDER BY row) AS y FROM s), "
+        f"WITH h AS ({source}), "
+        f"s AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY time) - 1 AS row FROM h), "
+        f"e AS (SELECT {key}, row, v AS x0, lag(v) OVER (PARTITION BY {key} ORDER BY row) AS x1, lead(v) OVER (PARTITION BY {key} ORDER BY row) AS y FROM s), "
         "g AS (SELECT * FROM e WHERE x1 IS NOT NULL), l AS (SELECT * FROM g WHERE y IS NOT NULL), "
-        "k AS (SELECT q.user_id, q.row AS p, l.row AS l, sqrt((q.x0 - l.x0) * (q.x0 - l.x0) + (q.x1 - l.x1) * (q.x1 - l.x1)) AS dist, l.y FROM g q JOIN l ON q.user_id = l.user_id AND q.row <> l.row "
-        "QUALIFY row_number() OVER (PARTITION BY q.user_id, q.row ORDER BY round(dist, 12), abs(q.row - l.row), l.row) <= 3), "
-        "w AS (SELECT *, exp(-dist / greatest(min(dist) OVER (PARTITION BY user_id, p), 1e-6)) AS w FROM k) "
-        "SELECT user_id::VARCHAR AS series, p AS row, round(sum(w * y) / sum(w), 6) AS predicted FROM w GROUP BY 1, 2"
+        f"k AS (SELECT q.{key}, q.row AS p, l.row AS l, sqrt((q.x0 - l.x0) * (q.x0 - l.x0) + (q.x1 - l.x1) * (q.x1 - l.x1)) AS dist, l.y FROM g q JOIN l ON q.{key} = l.{key} AND q.row <> l.row "
+        f"QUALIFY row_number() OVER (PARTITION BY q.{key}, q.row ORDER BY round(dist, 12), abs(q.row - l.row), l.row) <= 3), "
+        f"w AS (SELECT *, exp(-dist / greatest(min(dist) OVER (PARTITION BY {key}, p), 1e-6)) AS w FROM k) "
+        f"SELECT {key}::VARCHAR AS series, p AS row, round(sum(w * y) / sum(w), 6) AS predicted FROM w GROUP BY 1, 2"
     )
 
 
-def _series(e: DataFrame) -> DataFrame:
-    e = e.groupBy("user_id", F.date_trunc("day", "ts").alias("time")).agg(F.round(F.sum("value"), 2).alias("v"))
-    f = simplex.forecasts(series.prepared(e, [series.task("v", "v", E=2)], "time", "user_id"))
+def _series(e: DataFrame, key: str) -> DataFrame:
+    f = simplex.forecasts(series.prepared(e, [series.task("v", "v", E=2)], "time", key))
     return f.select("series", F.col("p").alias("row"), F.round("predicted", 6).alias("predicted"))
 
 
-@query(_series_sql("WHERE user_id < 40 "))
-def simplex_many_series(spark, d):
-    """One plan over the daily series of the first users."""
-    return _series(table(spark, d, "events").where("user_id < 40"))
-
-
-@query(_series_sql())
+@query(_series_sql("SELECT user_id, date_trunc('day', ts) AS time, round(sum(value), 2) AS v FROM events GROUP BY 1, 2", "user_id"))
 def simplex_every_series(spark, d):
     """One plan over the daily series of every user."""
-    return _series(table(spark, d, "events"))
+    e = table(spark, d, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("time"))
+    return _series(e.agg(F.round(F.sum("value"), 2).alias("v")), "user_id")
+
+
+@query(_series_sql("SELECT o_custkey, date_trunc('day', o_orderdate) AS time, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2", "o_custkey"))
+def simplex_every_customer(spark, d):
+    """One plan over the daily orders of every customer: very many short series."""
+    o = table(spark, d, "orders").groupBy("o_custkey", F.date_trunc("day", "o_orderdate").alias("time"))
+    return _series(o.agg(F.round(F.sum("o_totalprice"), 2).alias("v")), "o_custkey")
 
 
 # ---- locally weighted maps ----
@@ -315,8 +364,9 @@ c AS (SELECT p, px, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS c1, (sy * sxx
 
 
 def _smap(spark, d, theta, kw, source=hourly, solver=None):
-    t = series.with_task(series.task(**kw), knn=0)
-    return smap.forecasts(series.prepared(source(spark, d), [t], "time"), [theta], solver)
+    df = source(spark, d)
+    t = series.with_task(series.task(**spans(kw, df.count())), knn=0)
+    return smap.forecasts(series.prepared(df, [t], "time"), [theta], solver)
 
 
 _E1 = dict(columns=["v"], target="v", lib=LIB, pred=PRED, E=1)
@@ -363,7 +413,7 @@ def _solver_query(name):
     QUERIES[f.__name__] = f
 
 
-for _name in solvers.SOLVERS:
+for _name in ("lstsq", "ols", "ridge", "lasso", "elastic_net"):
     _solver_query(_name)
 
 
@@ -374,7 +424,8 @@ _SKILL = f"WITH {H}, {ROWS}, {near_sql('s', **_BASIC)}, {made_sql()} "
 
 @query(_SKILL + "SELECT round(corr(obs, predicted), 6) AS rho, round(max(obs - predicted), 6) AS \"MAE\", round(sum(abs(obs - predicted)), 6) AS \"CAE\", round(sqrt(avg((obs - predicted) * (obs - predicted))), 6) AS \"RMSE\" FROM f WHERE obs IS NOT NULL AND predicted IS NOT NULL")
 def compute_error(spark, d):
-    return skill.errors(simplex.forecasts(series.prepared(hourly(spark, d), [series.task(**_BASIC)], "time")), [], "obs", "predicted")
+    h = hourly(spark, d)
+    return skill.errors(simplex.forecasts(series.prepared(h, [series.task(**spans(_BASIC, h.count()))], "time")), [], "obs", "predicted")
 
 
 @query("WITH x AS (SELECT c_nationkey AS k, c_acctbal AS a, lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer) SELECT k, CASE WHEN count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) < 3 THEN NULL ELSE round(corr(a, b), 6) END AS rho FROM x GROUP BY k")
@@ -388,19 +439,27 @@ def pearson_nan_safe(spark, d):
 _S = dict(columns=["v"], target="v", lib=LIB, pred=PRED)
 
 
+def _split(df: DataFrame) -> tuple[DataFrame, list[int], list[int]]:
+    """A series, the rows to learn from and those to predict."""
+    n = df.count()
+    return df, span(LIB, n), span(PRED, n)
+
+
 @query(sweep_sql(H, [(f"{e} AS \"E\"", _S | {"E": e}) for e in range(1, 7)]))
 def embed_dimension(spark, d):
-    return sweep.embed_dimension(hourly(spark, d), "v", "v", LIB, PRED, max_e=6, time="time").drop("series")
+    h, lib, pred = _split(hourly(spark, d))
+    return sweep.embed_dimension(h, "v", "v", lib, pred, max_e=6, time="time").drop("series")
 
 
 @query(sweep_sql(H, [(f"{t} AS \"Tp\"", _S | {"E": 3, "Tp": t}) for t in range(1, 9)]))
 def predict_interval(spark, d):
-    return sweep.predict_interval(hourly(spark, d), "v", "v", LIB, PRED, max_tp=8, E=3, time="time").drop("series")
+    h, lib, pred = _split(hourly(spark, d))
+    return sweep.predict_interval(h, "v", "v", lib, pred, max_tp=8, E=3, time="time").drop("series")
 
 
-@query(sweep_sql(H, [(f"{r} AS radius", dict(columns=["v"], target="v", lib=[1, 400], pred=[1, 400], E=3, R=r)) for r in (0, 2, 5, 12, 24)]))
+@query(sweep_sql(H, [(f"{r} AS radius", dict(columns=["v"], target="v", lib=WHOLE, pred=WHOLE, E=3, R=r)) for r in (0, 2, 5, 12, 24)]))
 def predict_exclusion_radius(spark, d):
-    return sweep.predict_exclusion_radius(hourly(spark, d), "v", "v", [1, 400], [1, 400], [0, 2, 5, 12, 24], E=3, time="time").drop("series")
+    return sweep.predict_exclusion_radius(hourly(spark, d), "v", "v", None, None, [0, 2, 5, 12, 24], E=3, time="time").drop("series")
 
 
 _PN = [0.1, 1.0, 3.0, 8.0]
@@ -412,19 +471,53 @@ a AS (SELECT t.theta, k.*, q.x0 AS px, l.x0 AS lx, exp(-theta * dist / avg(dist)
 b AS (SELECT theta, p, any_value(px) AS px, max(obs) AS obs, sum(w * w) AS sw, sum(w * w * lx) AS sx, sum(w * w * lx * lx) AS sxx, sum(w * w * y) AS sy, sum(w * w * lx * y) AS sxy FROM a GROUP BY ALL)
 SELECT theta::DOUBLE AS theta, round(corr(obs, (sy * sxx - sx * sxy) / (sw * sxx - sx * sx) + px * (sw * sxy - sx * sy) / (sw * sxx - sx * sx)), 6) AS rho FROM b GROUP BY 1""")
 def predict_nonlinear(spark, d):
-    return sweep.predict_nonlinear(hourly(spark, d), "v", "v", LIB, PRED, _PN, E=1, time="time").drop("series")
+    h, lib, pred = _split(hourly(spark, d))
+    return sweep.predict_nonlinear(h, "v", "v", lib, pred, _PN, E=1, time="time").drop("series")
+
+
+def _theta_rows(spark, d, kw, thetas):
+    h = hourly(spark, d)
+    t = series.with_task(series.task(**spans(kw, h.count())), knn=0)
+    return smap.forecasts(series.prepared(h, [t], "time"), thetas)
+
+
+def _tp_rows(spark, d, kw, horizons, theta):
+    h = hourly(spark, d)
+    n = h.count()
+    ts = [series.with_task(series.task(**spans(kw | {"Tp": t}, n), label={"Tp": t}), knn=0) for t in horizons]
+    return sweep.labelled(smap.forecasts(series.prepared(h, ts, "time"), [theta]), ts, ["Tp"], ["int"])
 
 
 @query()
 def smap_theta_rows(spark, d):
-    t = series.with_task(series.task(**_BASIC), knn=0)
-    return smap.forecasts(series.prepared(hourly(spark, d), [t], "time"), [0.5, 2.0, 5.0]).select("theta", "p", "predicted", "variance")
+    return _theta_rows(spark, d, _BASIC, [0.5, 2.0, 5.0]).select("theta", "p", "predicted", "variance")
 
 
 @query()
 def smap_tp_rows(spark, d):
-    ts = [series.with_task(series.task(**(_BASIC | {"Tp": t}), label={"Tp": t}), knn=0) for t in (1, 2, 4)]
-    return sweep.labelled(smap.forecasts(series.prepared(hourly(spark, d), ts, "time"), [2.0]), ts, ["Tp"], ["int"]).select("Tp", "p", "predicted", "variance")
+    return _tp_rows(spark, d, _BASIC, (1, 2, 4), 2.0).select("Tp", "p", "predicted", "variance")
+
+
+_FIT = "sum(w * w) AS sw, sum(w * w * lx) AS sx, sum(w * w * lx * lx) AS sxx, sum(w * w * y) AS sy, sum(w * w * lx * y) AS sxy"
+_MADE = "(sy * sxx - sx * sxy) / (sw * sxx - sx * sx) + px * (sw * sxy - sx * sy) / (sw * sxx - sx * sx)"
+
+
+@query(f"""WITH {H}, {ROWS}, {near_sql('s', **_E1, k='(SELECT count(*) - 1 FROM l)')}, t AS (SELECT unnest([0.5, 2.0, 5.0]::DOUBLE[]) AS theta),
+a AS (SELECT t.theta, k.*, q.x0 AS px, l.x0 AS lx, exp(-theta * dist / avg(dist) OVER (PARTITION BY theta, p)) AS w FROM k JOIN q ON q.row = k.p JOIN l ON l.row = k.l CROSS JOIN t),
+b AS (SELECT theta, p, any_value(px) AS px, {_FIT} FROM a GROUP BY ALL) SELECT theta, p, round({_MADE}, 4) AS predicted FROM b""")
+def smap_theta_rows_e1(spark, d):
+    return _theta_rows(spark, d, _E1, [0.5, 2.0, 5.0]).select("theta", "p", F.round("predicted", 4).alias("predicted"))
+
+
+def _tp_sql(tp: int) -> str:
+    near = near_sql("s", **(_E1 | {"Tp": tp}), k=f"(SELECT count(*) - 1 FROM l{tp})", tag=tp)
+    return f"""{near}, a{tp} AS (SELECT k.*, q.x0 AS px, l.x0 AS lx, exp(-2 * dist / avg(dist) OVER (PARTITION BY p)) AS w FROM k{tp} k JOIN q{tp} q ON q.row = k.p JOIN l{tp} l ON l.row = k.l),
+b{tp} AS (SELECT p, any_value(px) AS px, {_FIT} FROM a{tp} GROUP BY p)"""
+
+
+@query(f"WITH {H}, {ROWS}, " + ", ".join(map(_tp_sql, (1, 2, 4))) + " " + " UNION ALL ".join(f'SELECT {t}::INT AS "Tp", p, round({_MADE}, 4) AS predicted FROM b{t}' for t in (1, 2, 4)))
+def smap_tp_rows_e1(spark, d):
+    return _tp_rows(spark, d, _E1, (1, 2, 4), 2.0).select("Tp", "p", F.round("predicted", 4).alias("predicted"))
 
 
 # ---- convergent cross mapping ----
@@ -474,7 +567,7 @@ def ccm_projected(spark, d):
     return ccm.ccm_projected(hourly_kinds(spark, d), "click", "view", [20, 200, 60], 5, 3, Tp=1, seed=777, time="time").drop("series")
 
 
-_MX = ["click", "purchase", "view"]
+_MX = KINDS
 _MATRIX = [(a, b) for a in _MX for b in _MX if a != b]
 
 
@@ -488,7 +581,7 @@ def _matrix(spark, d):
     return ccm.ccm_matrix(hourly_kinds(spark, d), _MX, 2, [50, 150, 400], sample=2, seed=3, time="time", sampler="hash").drop("series")
 
 
-@query(_matrix_sql("SELECT source, target, lib_size, round(rho, 6) AS rho FROM mx UNION ALL SELECT c, c, l, NULL FROM (SELECT unnest(['click', 'purchase', 'view']) AS c), (SELECT unnest([50, 150, 400]) AS l)"))
+@query(_matrix_sql("SELECT source, target, lib_size, round(rho, 6) AS rho FROM mx UNION ALL SELECT c, c, l, NULL FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS c), (SELECT unnest([50, 150, 400]) AS l)"))
 def ccm_matrix(spark, d):
     return _matrix(spark, d).select("source", "target", "lib_size", F.round("rho", 6).alias("rho"))
 
@@ -506,7 +599,7 @@ def ccm_exp_converge(spark, d):
 
 # ---- multiview ----
 
-_MV = ["click", "purchase", "view"]
+_MV = KINDS
 _COORDS = [(c, -d) for d in range(2) for c in _MV]
 
 
@@ -516,26 +609,31 @@ def _combos():
     return list(combinations(_COORDS, 2))
 
 
-def _combo_sql(c, i) -> str:
+def _combo_sql(c, i, pred=PRED, tag="") -> str:
     cols = ", ".join(f"{shift_sql(x, s)} AS z{j}" for j, (x, s) in enumerate(c))
-    return f"g{i} AS (SELECT row, n, click, {cols} FROM s), " + near_sql(f"g{i}", ["z0", "z1"], "click", LIB, PRED, embedded=True, tag=i) + ", " + made_sql(str(i))
+    return f"g{tag}{i} AS (SELECT row, n, click, {cols} FROM s), " + near_sql(f"g{tag}{i}", ["z0", "z1"], "click", LIB, pred, embedded=True, tag=f"{tag}{i}") + ", " + made_sql(f"{tag}{i}")
 
 
 def _view_name(c) -> str:
     return "(" + ", ".join(f"'{x}(t-{abs(s)})'" for x, s in c) + ")"
 
 
-def _multiview_sql(tail: str) -> str:
-    parts = ", ".join(_combo_sql(c, i) for i, c in enumerate(_combos()))
+def _multiview_sql(tail: str, train: bool = False) -> str:
+    """CTEs t (the best combinations with their skill) and ev (all forecasts); ``train`` ranks over the library itself."""
+    combos = _combos()
+    parts = ", ".join([_combo_sql(c, i) for i, c in enumerate(combos)] + ([_combo_sql(c, i, LIB, "t") for i, c in enumerate(combos)] if train else []))
     ok = "FILTER (obs IS NOT NULL AND predicted IS NOT NULL)"
     err = f"round(corr(obs, predicted) {ok}, 6) AS rho, round(max(obs - predicted), 6) AS mae, round(sum(abs(obs - predicted)), 6) AS cae, round(sqrt(avg((obs - predicted) * (obs - predicted))), 6) AS rmse"
-    union = " UNION ALL ".join("SELECT {} AS task, '{}' AS name, {} FROM f{}".format(i, _view_name(c).replace("'", "''"), err, i) for i, c in enumerate(_combos()))
-    every = " UNION ALL ".join(f"SELECT {i} AS task, p, obs, predicted FROM f{i}" for i in range(len(_combos())))
-    return f"WITH {HM}, {ROWS}, {parts}, u AS ({union}), t AS (SELECT *, row_number() OVER (ORDER BY rho DESC NULLS LAST, task) AS rank FROM u QUALIFY rank <= 3), ev AS ({every}) {tail}"
+    skills = lambda tag: " UNION ALL ".join("SELECT {} AS task, '{}' AS name, {} FROM f{}{}".format(i, _view_name(c).replace("'", "''"), err, tag, i) for i, c in enumerate(combos))
+    every = " UNION ALL ".join(f"SELECT {i} AS task, p, obs, predicted FROM f{i}" for i in range(len(combos)))
+    best = f"(SELECT task, row_number() OVER (ORDER BY rho DESC NULLS LAST, task) AS rank FROM {'ut' if train else 'u'} QUALIFY rank <= {isqrt(len(combos))})"
+    more = f", ut AS ({skills('t')})" if train else ""
+    return f"WITH {HM}, {ROWS}, {parts}, u AS ({skills('')}){more}, t AS (SELECT u.*, rank FROM u JOIN {best} USING (task)), ev AS ({every}) {tail}"
 
 
 def _multiview(spark, d):
-    return sweep.multiview(hourly_kinds(spark, d), _MV, "click", LIB, PRED, D=2, E=2, train_lib=False, time="time")
+    h, lib, pred = _split(hourly_kinds(spark, d))
+    return sweep.multiview(h, _MV, "click", lib, pred, D=2, E=2, train_lib=False, time="time")
 
 
 @query(_multiview_sql('SELECT rank, name AS "Columns", rho FROM t'))
@@ -548,14 +646,15 @@ def multiview_view(spark, d):
     return _multiview(spark, d)[1].select(F.col("rank").cast("bigint").alias("rank"), "Columns", "rho", "MAE", "CAE", "RMSE")
 
 
-@query(_multiview_sql('SELECT s.row, s.click AS "Observations", round(avg(ev.predicted), 6) AS "Predictions" FROM s LEFT JOIN (SELECT ev.* FROM ev JOIN t USING (task)) ev ON ev.p = s.row - 1 WHERE s.row BETWEEN 300 AND 500 GROUP BY ALL'))
+@query(_multiview_sql('SELECT o.row, s.click AS "Observations", round(avg(ev.predicted), 6) AS "Predictions" FROM (SELECT unnest(range(count(*) * 3 // 5, count(*) + 1)) AS row FROM s) o LEFT JOIN s USING (row) LEFT JOIN (SELECT ev.* FROM ev JOIN t USING (task)) ev ON ev.p = o.row - 1 GROUP BY ALL'))
 def multiview_predict(spark, d):
     return _multiview(spark, d)[0].select("row", "Observations", F.round("Predictions", 6).alias("Predictions"))
 
 
-@query()
+@query(_multiview_sql('SELECT rank, name AS "Columns", rho, mae AS "MAE", cae AS "CAE", rmse AS "RMSE" FROM t', True))
 def multiview_train_lib(spark, d):
-    return sweep.multiview(hourly_kinds(spark, d), _MV, "click", LIB, PRED, D=2, E=2, time="time")[1]
+    h, lib, pred = _split(hourly_kinds(spark, d))
+    return sweep.multiview(h, _MV, "click", lib, pred, D=2, E=2, time="time")[1].select(F.col("rank").cast("bigint").alias("rank"), "Columns", "rho", "MAE", "CAE", "RMSE")
 
 
 # ---- cross maps ----
@@ -567,12 +666,14 @@ def _cross(cols, targets, E, Tp):
 
 @query(sweep_sql(HM, [(lab.replace("columns", "source"), kw) for lab, kw in _cross(_MX, _MX, 3, 0)]))
 def crossmap_matrix(spark, d):
-    return sweep.cross_map_matrix(hourly_kinds(spark, d), _MX, 3, Tp=0, lib=LIB, pred=PRED, time="time").drop("series")
+    h, lib, pred = _split(hourly_kinds(spark, d))
+    return sweep.cross_map_matrix(h, _MX, 3, Tp=0, lib=lib, pred=pred, time="time").drop("series")
 
 
 @query(sweep_sql(HM, _cross(KINDS, ["view"], 2, 1)))
 def crossmap_columns(spark, d):
-    return sweep.cross_map_skill(hourly_kinds(spark, d), KINDS, "view", 2, LIB, PRED, Tp=1, time="time").select("columns", "target", "rho")
+    h, lib, pred = _split(hourly_kinds(spark, d))
+    return sweep.cross_map_skill(h, KINDS, "view", 2, lib, pred, Tp=1, time="time").select("columns", "target", "rho")
 
 
 _LIST = [["click"], ["click", "error"], ["click", "error", "signup"]]
@@ -580,7 +681,8 @@ _LIST = [["click"], ["click", "error"], ["click", "error", "signup"]]
 
 @query(sweep_sql(HM, [(f"'{' '.join(c)}' AS columns, 'view' AS target", dict(columns=c, target="view", lib=LIB, pred=PRED, E=1)) for c in _LIST]))
 def crossmap_column_list(spark, d):
-    return sweep.cross_map_skill(hourly_kinds(spark, d), _LIST, "view", 1, LIB, PRED, time="time").select("columns", "target", "rho")
+    h, lib, pred = _split(hourly_kinds(spark, d))
+    return sweep.cross_map_skill(h, _LIST, "view", 1, lib, pred, time="time").select("columns", "target", "rho")
 
 
 _ED = [(f"'{c}' AS \"column\", {e} AS \"E\"", dict(columns=[c], target="view", lib=LIB, pred=PRED, E=e)) for c in _MX for e in range(1, 6)]
@@ -594,13 +696,15 @@ def _embed_dim_sql(tail: str) -> str:
 
 @query(_embed_dim_sql('SELECT "column", \'view\' AS target, arg_max("E", (rho, -"E")) AS "E", round(max(rho), 4) AS rho FROM sw WHERE rho IS NOT NULL GROUP BY 1'))
 def embed_dim_columns(spark, d):
-    r = sweep.embed_dim_columns(hourly_kinds(spark, d), _MX, "view", 5, 1, LIB, PRED, time="time")
+    h, lib, pred = _split(hourly_kinds(spark, d))
+    r = sweep.embed_dim_columns(h, _MX, "view", 5, 1, lib, pred, time="time")
     return r.select("column", "target", "E", F.round(F.col("rho").cast("double"), 4).alias("rho"))
 
 
 @query(_embed_dim_sql(', nx AS (SELECT *, lead(rho) OVER (PARTITION BY "column" ORDER BY "E") AS nr FROM sw) SELECT "column", \'view\' AS target, min("E") AS "E", round(arg_min(rho, "E"), 4) AS rho FROM nx WHERE nr IS NULL OR nr < rho GROUP BY 1'))
 def embed_dim_columns_first(spark, d):
-    r = sweep.embed_dim_columns(hourly_kinds(spark, d), _MX, "view", 5, 1, LIB, PRED, first_max=True, time="time")
+    h, lib, pred = _split(hourly_kinds(spark, d))
+    r = sweep.embed_dim_columns(h, _MX, "view", 5, 1, lib, pred, first_max=True, time="time")
     return r.select("column", "target", "E", F.round(F.col("rho").cast("double"), 4).alias("rho"))
 
 

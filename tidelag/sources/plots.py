@@ -30,7 +30,13 @@ def plot_coefficients(coefficients: DataFrame, title: str = ""):
 
 
 def plot_line(table: DataFrame, x: str, y: str, title: str = ""):
-    return table.select(x, y).orderBy(F.col(x)).toPandas().plot(x, y, title=title, ax=_axes())
+    return table.select(F.col(f"`{x}`"), y).orderBy(F.col(f"`{x}`")).toPandas().plot(x, y, title=title, ax=_axes())
+
+
+def plot_lines(table: DataFrame, x: str, title: str = ""):
+    """Every other column over one of them."""
+    p = table.orderBy(F.col(x)).toPandas()
+    return p.plot(x, [c for c in p.columns if c != x], title=title, ax=_axes())
 
 
 def plot_matrix(wide: DataFrame, title: str = ""):

@@ -83,8 +83,8 @@ def wide(pairs: DataFrame, source: str = "source", target: str = "target", value
     return p.agg(F.first(value))
 
 
-def write_npz(pairs: DataFrame, path: str, columns: list[str], slope: DataFrame | None = None) -> None:
-    """Dense tensor (source, target, library size) as half floats, with columns and sizes, in a compressed file.
+def write_npz(pairs: DataFrame, path: str, columns: list[str], slope: DataFrame | None = None, exp_a: DataFrame | None = None) -> None:
+    """Dense tensor (source, target, library size) as half floats, with columns, sizes, slopes and rates, in a compressed file.
 
     Collects columns x columns x sizes numbers; for many columns write the long table as parquet instead.
     """
@@ -94,8 +94,9 @@ def write_npz(pairs: DataFrame, path: str, columns: list[str], slope: DataFrame
     out = np.full((len(columns), len(columns), len(sizes)), np.nan, np.float16)
     out[rows["source"].map(at), rows["target"].map(at), np.searchsorted(sizes, rows["lib_size"])] = rows["rho"].astype(float)
     more = {}
-    if slope is not None:
-        s = slope.toPandas()
-        more["slope"] = np.full((len(columns), len(columns)), np.nan, np.float32)
-        more["slope"][s["source"].map(at), s["target"].map(at)] = s["slope"].astype(float)
+    for name, table in (("slope", slope), ("exp_a", exp_a)):
+        if table is not None:
+            s = table.toPandas()
+            more[name] = np.full((len(columns), len(columns)), np.nan, np.float32)
+            more[name][s["source"].map(at), s["target"].map(at)] = s[name].astype(float)
     np.savez_compressed(path, tensor=out, columns=np.array(columns), libSizes=np.array(sizes), **more)

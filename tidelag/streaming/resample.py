@@ -48,6 +48,7 @@ def scored(stream: DataFrame, library: DataFrame, column: str, time: str, E: int
         t = S.task("x", "x", E=E, Tp=Tp, tau=tau, valid="known")
         p = S.prepared(both, [t], "time")
         known = p.base.where("v0").groupBy("series").agg(F.max("row").alias("last"))
+        p.strict = False
         p.wide = p.wide.join(F.broadcast(known), "series").withColumn("pok", F.col("row") > F.col("last")).withColumn("lok", F.col("row") + Tp <= F.col("last")).drop("last")  # known is one row
         made = simplex.forecasts(p).join(p.base.select("series", F.col("row").alias("p"), "time"), ["series", "p"])
         sink(made.select("time", "predicted", "variance"), number)
