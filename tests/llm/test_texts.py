@@ -110,9 +110,10 @@ def windows(texts, least):
     return out
 
 
-@pytest.mark.parametrize("least,few", [(12, 1 << 19), (40, 1 << 19), (40, 0)])
-def test_shared_spans_equal_all_windows(spark, monkeypatch, least, few):
+@pytest.mark.parametrize("least,few,longest", [(12, 1 << 19, 1 << 20), (40, 1 << 19, 1 << 20), (40, 0, 37)])
+def test_shared_spans_equal_all_windows(spark, monkeypatch, least, few, longest):
     monkeypatch.setattr(spans, "FEW_KEYS", few)
+    monkeypatch.setattr(spans, "LONGEST", longest)
     rng = random.Random(least)
     texts = []
     for al in ("ab", "abcdef ", "the quick brown fox é\U0001f600中"):

@@ -33,6 +33,9 @@ DIGEST = 16
 FEW_KEYS = 1 << 19
 #: Stretches that a task puts out at once.
 ROWS_OUT = 1 << 16
+#: Windows of a text that are parsed at once; a longer text is parsed in parts. As only what lies inside a window is in its
+#: key, the parts give the keys of the whole.
+LONGEST = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -208,6 +211,8 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     docs = df.select(quoted(key).alias("k"), quoted(text).cast("string").alias("x")).where(F.col("k").isNotNull() & (F.length("x") >= least))
     kind = docs.schema["k"].dataType.simpleString()
 
+    longest = LONGEST
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: list[tuple[np.ndarray, ...]] = []
@@ -219,8 +224,10 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
                 return pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), pa.array(w), pa.array(x0.astype(np.int32)), pa.array(x1.astype(np.int32))], names=["k", "w", "x0", "x1"])
 
             for rows, texts in _batched(b, "x"):
-                of, x0, x1, w = ranges(texts, least, rounds)
-                held.append((rows[of], w, x0, x1))
+                parts_ = [(i, lo) for i, x in enumerate(texts) for lo in range(0, max(1, len(x) - least + 1), longest)]
+                of, x0, x1, w = ranges([texts[i][lo : lo + longest + least - 1] for i, lo in parts_], least, rounds)
+                text_of, begins = np.array(parts_, np.int64).T
+                held.append((rows[text_of[of]], w, x0 + begins[of], x1 + begins[of]))
                 many += len(of)
                 if many >= ROWS_OUT:
                     yield put()
