@@ -144,6 +144,12 @@ def test_spans_sizes_and_libraries_are_checked(spark):
         with pytest.raises(Exception, match="rows|missing values"):
             f().collect()
     assert api.Simplex(df, "x", "x", [1, 60], [61, 70], 2, ignoreNan=False).count() == 11
+    for f in (lambda: api.Simplex(df, "x", "x", E=2), lambda: api.SMap(df, "x", "x", [1, 60], "", 2), lambda: api.PredictInterval(df, "x", "x", 3)):
+        for kind in (ValueError, RuntimeError):
+            with pytest.raises(kind):
+                f()
+    with pytest.warns(UserWarning):
+        assert api.Simplex(df, "x", "x", [1, 60], [1, 3], 5).count() == 0
     o = api.Simplex(df, "x", "x", [1, 60], [61, 70], 2, returnObject=True)
     assert o.Projection.count() == 11 and o.Neighbors.count() == 30
     if not plots_at_hand():

@@ -4,7 +4,7 @@ import pytest
 
 from tidelag import api, cli
 from tidelag.operators import series, simplex
-from tidelag.shared import shared_dir, written
+from tidelag.shared import release, shared_dir, written
 from tidelag.sources import plots, tables
 from tidelag.streaming import resample
 
@@ -18,6 +18,8 @@ def test_read_write(spark, tmp_path):
     for f in (tables.read, lambda s, p: tables.write(df, p)):
         with pytest.raises(ValueError):
             f(spark, f"{tmp_path}/t.xls")
+    tables.write(df, f"{tmp_path}/t.pkl")
+    assert len(pd.read_pickle(f"{tmp_path}/t.pkl")) == 3
     s = tables.SampleData(spark, str(tmp_path))
     assert "t" in s and s["t"].count() == 3
     e = spark.createDataFrame([("a", 3), ("b", 5)], "column string, E int")
@@ -37,6 +39,15 @@ def test_written_tables_stay(spark):
     assert written(spark.range(0)).count() == 0
 
 
+def test_written_tables_are_released(spark):
+    import os
+
+    df = written(spark.range(4))
+    folder = os.path.dirname(df.inputFiles()[0]).removeprefix("file://")
+    assert os.path.isdir(folder) and df.count() == 4
+    assert release(spark) >= 1 and not os.path.isdir(folder) and release(spark) == 0
+
+
 def test_command_line(spark, tmp_path):
     t = pd.DataFrame({"Time": range(1, 61), "x": np.round(np.sin(np.arange(60) * 0.7), 4), "y": np.round(np.cos(np.arange(60) * 0.7), 4)})
     t.to_csv(f"{tmp_path}/in.csv", index=False)

@@ -8,7 +8,7 @@ import pytest
 
 from tidelag.plans import catalog
 
-NAMES = ["embed_lead", "disjoint_lib", "remove_nan", "knn_deficient", "simplex_missing", "simplex_projection_format", "simplex_every_series", "simplex_every_customer", "simplex_long_series", "smap_coefficients_e1", "smap_e2_embedded", "predict_interval", "predict_nonlinear", "smap_theta_rows_e1", "smap_tp_rows_e1", "ccm_hash_sample", "ccm_matrix_slope", "multiview_view", "multiview_predict", "multiview_train_lib", "crossmap_matrix", "embed_dim_columns_first", "surrogate_random_shuffle", "p3_found", "p3_observed"]
+NAMES = ["embed_lead", "csv_and_back", "feather_and_back", "simplex_beyond_the_end", "smap_variance_e1", "smap_coefficient_rows", "smap_theta_frames", "ccm_variances", "ccm_projected_full", "crossmap_threshold", "generate_simplex_steps", "disjoint_lib", "remove_nan", "knn_deficient", "simplex_missing", "simplex_projection_format", "simplex_every_series", "simplex_every_customer", "simplex_long_series", "smap_coefficients_e1", "smap_e2_embedded", "predict_interval", "predict_nonlinear", "smap_theta_rows_e1", "smap_tp_rows_e1", "ccm_hash_sample", "ccm_matrix_slope", "multiview_view", "multiview_predict", "multiview_train_lib", "crossmap_matrix", "embed_dim_columns_first", "surrogate_random_shuffle", "p3_found", "p3_observed"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -3,7 +3,8 @@
 All take a table and return tables. Rows are ordered by the time column (the first one unless ``noTime``) or by the
 columns ``order``, since a table has no other order; ``series`` names a column that splits the table into many series, all
 of which run in one plan and whose results carry a ``series`` column. Arguments that steer processes or threads
-elsewhere (numProcess, kdWorkers, mpMethod, chunksize, parallel, sharedMB) are accepted and have no meaning here.
+elsewhere (numProcess, kdWorkers, mpMethod, chunksize, parallel, sharedMB) are accepted and have no meaning here. Spans or
+library sizes beyond a single series, and libraries too small for knn, raise in the task that meets them.
 """
 
 from __future__ import annotations
@@ -42,6 +43,12 @@ def _out(df: DataFrame, series: str | None) -> DataFrame:
     return df if series else df.drop("series")
 
 
+def _needed(lib, pred, series: str | None) -> None:
+    """Raises where lib or pred is empty; None stands for all rows."""
+    if series is None and any(x is not None and not _series.number_list(x) for x in (lib, pred)):
+        raise _series.ArgumentError("lib and pred are needed (None stands for all rows)")
+
+
 def _shown(df: DataFrame, show: bool, draw, *args) -> DataFrame:
     """The table, drawn before if that is asked for (which collects it and needs matplotlib)."""
     if show:
@@ -79,6 +86,7 @@ def Simplex(dataFrame, columns="", target="", lib="", pred="", E=0, Tp=1, knn=0,
 
     ``showPlot`` draws it. ``returnObject`` gives the projection with its neighbours and task instead.
     """
+    _needed(lib, pred, series)
     t = _series.task(columns, target, lib, pred, E, Tp, knn, tau, exclusionRadius, embedded, validLib or None, ignoreNan)
     place = _place(dataFrame, noTime, order, series)
     if generateSteps:
@@ -92,6 +100,7 @@ def Simplex(dataFrame, columns="", target="", lib="", pred="", E=0, Tp=1, knn=0,
 
 def SMap(dataFrame, columns="", target="", lib="", pred="", E=0, Tp=1, knn=0, tau=-1, theta=0, exclusionRadius=0, solver=None, embedded=False, validLib=None, noTime=False, generateSteps=0, generateConcat=False, ignoreNan=True, order=(), series=None, showPlot=False, returnObject=False, verbose=False, kdWorkers=-1) -> dict[str, DataFrame]:  # noqa: N802, N803
     """Locally weighted map: tables predictions, coefficients and singularValues (as attributes, with the task, by ``returnObject``)."""
+    _needed(lib, pred, series)
     t = _series.task(columns, target, lib, pred, E, Tp, 1, tau, exclusionRadius, embedded, validLib or None, ignoreNan)
     if not embedded and len(_series.name_list(columns)) > 1:
         raise ValueError("several columns need embedded=True")
@@ -149,18 +158,21 @@ def _sweep_args(dataFrame, E, Tp, tau, radius, embedded, validLib, noTime, order
 
 def EmbedDimension(dataFrame, columns="", target="", maxE=10, lib="", pred="", Tp=1, tau=-1, exclusionRadius=0, embedded=False, validLib=None, noTime=False, ignoreNan=True, order=(), series=None, numProcess=4, mpMethod=None, chunksize=1, kdWorkers=-1, verbose=False, showPlot=False) -> DataFrame:  # noqa: N802, N803
     """rho for E from 1 to maxE."""
+    _needed(lib, pred, series)
     kw = _sweep_args(dataFrame, 0, Tp, tau, exclusionRadius, embedded, validLib, noTime, order, series, ignoreNan, skip=("E",))
     return _shown(_out(_sweep.embed_dimension(dataFrame, columns, target, lib, pred, maxE, **kw), series), showPlot, plots.plot_line, "E", "rho")
 
 
 def PredictInterval(dataFrame, columns="", target="", lib="", pred="", maxTp=10, E=1, tau=-1, exclusionRadius=0, embedded=False, validLib=None, noTime=False, ignoreNan=True, order=(), series=None, numProcess=4, mpMethod=None, chunksize=1, kdWorkers=-1, verbose=False, showPlot=False) -> DataFrame:  # noqa: N802, N803
     """rho for Tp from 1 to maxTp."""
+    _needed(lib, pred, series)
     kw = _sweep_args(dataFrame, E, 0, tau, exclusionRadius, embedded, validLib, noTime, order, series, ignoreNan, skip=("Tp",))
     return _shown(_out(_sweep.predict_interval(dataFrame, columns, target, lib, pred, maxTp, **kw), series), showPlot, plots.plot_line, "Tp", "rho")
 
 
 def PredictExclusionRadius(dataFrame, columns="", target="", lib="", pred="", Tp=1, E=1, tau=-1, exclusionRadius=None, embedded=False, validLib=None, noTime=False, ignoreNan=True, order=(), series=None, numProcess=4, mpMethod=None, chunksize=1, kdWorkers=-1, verbose=False, showPlot=False) -> DataFrame:  # noqa: N802, N803
     """rho for each exclusion radius."""
+    _needed(lib, pred, series)
     kw = _sweep_args(dataFrame, E, Tp, tau, 0, embedded, validLib, noTime, order, series, ignoreNan, skip=("radius",))
     out = _sweep.predict_exclusion_radius(dataFrame, columns, target, lib, pred, exclusionRadius, **kw).withColumnRenamed("radius", "Exclusion radius")
     return _shown(_out(out, series), showPlot, plots.plot_line, "Exclusion radius", "rho")
@@ -168,6 +180,7 @@ def PredictExclusionRadius(dataFrame, columns="", target="", lib="", pred="", Tp
 
 def PredictNonlinear(dataFrame, columns="", target="", theta=None, lib="", pred="", E=1, Tp=1, knn=0, tau=-1, exclusionRadius=0, solver=None, embedded=False, validLib=None, noTime=False, ignoreNan=True, order=(), series=None, numProcess=4, mpMethod=None, chunksize=1, kdWorkers=-1, verbose=False, showPlot=False) -> DataFrame:  # noqa: N802, N803
     """rho of the locally weighted map for each theta."""
+    _needed(lib, pred, series)
     kw = _sweep_args(dataFrame, E, Tp, tau, exclusionRadius, embedded, validLib, noTime, order, series, ignoreNan, skip=("knn",))
     return _shown(_out(_sweep.predict_nonlinear(dataFrame, columns, target, lib, pred, theta, knn, solver, **kw), series), showPlot, plots.plot_line, "theta", "rho")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelag.functions.skill import LEAST_ERROR, LEAST_PEARSON
 from tidelag.operators.neighbors import BLOCK, CELLS, FLOOR, PIECE, best, by_group, near_band, numbers
-from tidelag.operators.series import beside, name_list, number_list, numbered
+from tidelag.operators.series import ArgumentError, beside, name_list, number_list, numbered
 
 
 def library_sizes(x) -> list[int]:
@@ -22,7 +22,7 @@ def library_sizes(x) -> list[int]:
     v = number_list(x)
     if len(v) == 3 and v[2] < v[1]:
         if v[2] < 1:
-            raise ValueError("the increment of libSizes must be positive")
+            raise ArgumentError("the increment of libSizes must be positive")
         return list(range(v[0], v[1] + 1, v[2]))
     return v
 
@@ -151,7 +151,7 @@ def _crossed(base: DataFrame, alias: dict[str, str], sides: list[Side], sizes, p
         rng = np.random.default_rng(np.random.SeedSequence(seed))
         of_series = sizes(n)
         if one and of_series and max(of_series) > n:
-            raise ValueError(f"libSizes reach {max(of_series)} in a series of {n} rows")
+            raise ArgumentError(f"libSizes reach {max(of_series)} in a series of {n} rows")
         for a, size in enumerate(of_series):
             if per_size:
                 rng = np.random.default_rng(np.random.SeedSequence(seed))
@@ -225,11 +225,11 @@ def _checked(columns, target, lib_sizes, sample: int, E: int, tau: int, embedded
     if embedded:
         E = max(len(columns), len(target))
     if not columns or not target or E < 1 or tau == 0:
-        raise ValueError("columns, target, a positive E and a tau other than 0 are needed")
+        raise ArgumentError("columns, target, a positive E and a tau other than 0 are needed")
     if not sizes or sample < 1:
-        raise ValueError("libSizes and a positive number of samples are needed")
+        raise ArgumentError("libSizes and a positive number of samples are needed")
     if min(sizes) < E + 2:
-        raise ValueError(f"libSizes must be at least {E + 2}")
+        raise ArgumentError(f"libSizes must be at least {E + 2}")
     return columns, target, sizes, E
 
 
@@ -280,7 +280,7 @@ def ccm_matrix(df: DataFrame, columns, E, lib_sizes=None, p_lib_sizes=(10, 20, 8
     columns = name_list(columns)
     es = [int(E)] * len(columns) if np.isscalar(E) else [int(e) for e in E]
     if len(es) != len(columns) or min(es, default=0) < 1 or tau == 0:
-        raise ValueError("a positive E for each column and a tau other than 0 are needed")
+        raise ArgumentError("a positive E for each column and a tau other than 0 are needed")
     base, alias = numbered(df, columns, time, series, order)
     fixed, percent = number_list(lib_sizes), list(p_lib_sizes)
     sides = [Side(tuple((c, d * tau) for d in range(e)), tuple((y, Tp) for y in columns), e + 1) for c, e in zip(columns, es)]

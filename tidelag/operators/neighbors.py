@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.operators.series import Prepared, Task, lib_mask, lib_rows, obs_mask, pred_mask
+from tidelag.operators.series import ArgumentError, Prepared, Task, lib_mask, lib_rows, obs_mask, pred_mask
 
 #: Predicted rows of a block, library rows of a piece, and distances that are held at once.
 BLOCK, PIECE, CELLS = 1024, 1 << 16, 1 << 19
@@ -151,7 +151,7 @@ def chosen(p: Piece, t: Task, slots: list[int], v: int | None, lib: bool) -> np.
     for s in slots:
         there = ~np.isnan(p.x[:, s])
         if not t.ignore_nan and (ok & ~there).any():
-            raise ValueError("the embedding holds missing values (ignoreNan)")
+            raise ArgumentError("the embedding holds missing values (ignoreNan)")
         ok = ok & there
     return np.flatnonzero(ok)
 
@@ -159,7 +159,7 @@ def chosen(p: Piece, t: Task, slots: list[int], v: int | None, lib: bool) -> np.
 def checked(t: Task, held: int, k: int, strict: bool) -> None:
     """Raises where the rows that meet a task's condition are fewer than the neighbours it asks for."""
     if strict and t.valid and held < max(1, k):
-        raise ValueError(f"the valid library of {held} rows is smaller than knn={k}")
+        raise ArgumentError(f"the valid library of {held} rows is smaller than knn={k}")
 
 
 def near_band(prow: np.ndarray, lrow: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

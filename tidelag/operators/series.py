@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -14,6 +15,10 @@ from tidelag.shared import number, quoted, ship
 Spans = tuple[tuple[int, int], ...]
 
 
+class ArgumentError(ValueError, RuntimeError):
+    """Arguments that don't go together, or not with the table."""
+
+
 def name_list(x: str | Iterable[str] | None) -> list[str]:
     """Column names from a blank-separated string or any other iterable (names with blanks need the latter)."""
     return [] if x is None else x.split() if isinstance(x, str) else [str(c) for c in x]
@@ -33,13 +38,13 @@ def span_list(x: str | Sequence[int] | None, what: str) -> Spans | None:
     if not v:
         return None
     if len(v) % 2:
-        raise ValueError(f"{what} must hold an even number of rows")
+        raise ArgumentError(f"{what} must hold an even number of rows")
     pairs = tuple(zip(v[::2], v[1::2]))
     for a, b in pairs:
         if a < 1 or b < 1:
-            raise ValueError(f"{what}: rows are counted from 1")
+            raise ArgumentError(f"{what}: rows are counted from 1")
         if a >= b:
-            raise ValueError(f"{what}: start must be below stop")
+            raise ArgumentError(f"{what}: start must be below stop")
     return pairs
 
 
@@ -70,17 +75,20 @@ def task(columns, target, lib=None, pred=None, E=0, Tp=1, knn=0, tau=-1, radius=
     """A checked task. Raises ValueError for unusable arguments."""
     columns, targets = name_list(columns), name_list(target)
     if not columns or not targets:
-        raise ValueError("columns and target are needed")
+        raise ArgumentError("columns and target are needed")
     if embedded:
         E = len(columns)
     if E < 1:
-        raise ValueError("E must be positive")
+        raise ArgumentError("E must be positive")
     if tau == 0:
-        raise ValueError("tau must not be 0")
+        raise ArgumentError("tau must not be 0")
     if radius < 0:
-        raise ValueError("exclusionRadius must not be negative")
+        raise ArgumentError("exclusionRadius must not be negative")
     dims = tuple((c, 0) for c in columns) if embedded else tuple((c, d * tau) for d in range(E) for c in columns)
-    return Task(dims, targets[0], span_list(lib, "lib"), span_list(pred, "pred"), Tp, knn or E + 1, radius, E, tau, embedded, valid, ignore_nan, label or {})
+    t = Task(dims, targets[0], span_list(lib, "lib"), span_list(pred, "pred"), Tp, knn or E + 1, radius, E, tau, embedded, valid, ignore_nan, label or {})
+    if t.pred and tau < 0 and all(b <= t.shift for _, b in t.pred):
+        warnings.warn("pred holds no row whose embedding is complete: nothing is predicted", stacklevel=3)
+    return t
 
 
 #: Estimated bytes of a table, and then its rows, from which rows are numbered in parallel; rows of a part in which
@@ -99,9 +107,9 @@ def numbered(df: DataFrame, columns: Iterable[str], time: str | None = None, ser
     columns = list(dict.fromkeys(columns))
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"no such column: {missing}")
+        raise ArgumentError(f"no such column: {missing}")
     if time is None and not order:
-        raise ValueError("name the time column or the columns that give the order")
+        raise ArgumentError("name the time column or the columns that give the order")
     alias = {c: f"c{i}" for i, c in enumerate(columns)}
     rows = df.select(
         (quoted(series).cast("string") if series else F.lit("")).alias("series"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from math import isqrt
 from typing import NamedTuple
@@ -9,9 +10,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelag import api
 from tidelag.functions import convergence, skill
 from tidelag.operators import ccm, generate, neighbors, series, simplex, smap, surrogate, sweep
-from tidelag.shared import table
+from tidelag.shared import left_behind, shared_dir, table
+from tidelag.sources import tables
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
@@ -179,6 +182,38 @@ def embed_plusminus(spark, d):
     return series.embed(hourly(spark, d), 2, -1, "v", "time", plusminus=True, keep_row=True)
 
 
+@query(f"WITH {H}, {ROWS} SELECT time, v AS \"v(t-0)\", lag(v, 1) OVER (ORDER BY row) AS \"v(t-1)\" FROM s")
+def embed_include_time(spark, d):
+    return series.embed(hourly(spark, d), 2, -1, "v", "time", include_time=True)
+
+
+# ---- reading and writing ----
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sample_data(spark, d):
+    """A table of a folder by its name."""
+    return tables.SampleData(spark, d)["nation"].select("n_nationkey", "n_name", "n_regionkey")
+
+
+def _and_back(spark, df: DataFrame, end: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tidelag-{uuid.uuid4().hex}.{end}"
+    local = path.removeprefix("file://") if end == "feather" else path
+    tables.write(df, local)
+    left_behind(spark, local)
+    return tables.read(spark, local)
+
+
+@query("SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
+def csv_and_back(spark, d):
+    return _and_back(spark, table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "csv")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def feather_and_back(spark, d):
+    return _and_back(spark, table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "feather")
+
+
 # ---- spans and filters ----
 
 
@@ -306,6 +341,23 @@ def simplex_projection_format(spark, d):
     return r.select("row", "Time", "Observations", F.round("Predictions", 6).alias("Predictions"), F.round("Pred_Variance", 4).alias("Pred_Variance"))
 
 
+_BEYOND = _BASIC | {"pred": [Part(1, 10, 1), Part(1, 5), Part(4, 5, 1), Part(1, 1)], "Tp": 3}
+
+
+@query(
+    f"WITH {H}, {ROWS}, {near_sql('s', **_BEYOND)}, {made_sql()}, "
+    "c AS (SELECT count(*) AS n, max(time) AS last FROM s), "
+    "o AS (SELECT 0 AS seg, unnest(range(n // 10, n // 5 + 3)) AS row, n, last FROM c UNION ALL SELECT 1, unnest(range(n * 4 // 5, n + 3)), n, last FROM c) "
+    "SELECT o.seg::INT AS seg, o.row, coalesce(s.time, last + to_hours(o.row - o.n + 1)) AS \"Time\", s.v AS \"Observations\", round(predicted, 6) AS \"Predictions\" "
+    "FROM o LEFT JOIN s USING (row) LEFT JOIN f ON f.p = o.row - 3 AND f.p >= CASE seg WHEN 0 THEN o.n // 10 ELSE o.n * 4 // 5 END"
+)
+def simplex_beyond_the_end(spark, d):
+    """Two spans, the second of which reaches beyond the series: its times are carried on."""
+    h = hourly(spark, d)
+    r = simplex.run(h, [series.task(**spans(_BEYOND, h.count()))], "time")
+    return r.select("seg", "row", "Time", "Observations", F.round("Predictions", 6).alias("Predictions"))
+
+
 _LONG = dict(columns=["v"], target="v", lib=[1, Part(1, 10)], pred=[Part(1, 10, 1), Part(1, 1)], E=3)
 
 
@@ -387,6 +439,19 @@ def smap_coefficients_e1(spark, d):
     return _smap(spark, d, 3, _E1).select(F.col("p").alias("row"), F.round(F.get("coef", F.lit(0)), 4).alias("c0"), F.round(F.get("coef", F.lit(1)), 6).alias("c1"))
 
 
+@query(smap_e1_sql(3, ", z AS (SELECT a.p, a.w, a.y, c0 + c1 * a.px AS m FROM a JOIN c ON a.p = c.p) SELECT p AS row, round(sum(w * (y - m) * (y - m)) / sum(w), 2) AS variance FROM z GROUP BY p"))
+def smap_variance_e1(spark, d):
+    return _smap(spark, d, 3, _E1).select(F.col("p").alias("row"), F.round("variance", 2).alias("variance"))
+
+
+@query(smap_e1_sql(3, 'SELECT s.row, s.time AS "Time", round(c0, 4) AS "C0", round(c1, 6) AS "∂v/∂v(t-0)" FROM (SELECT unnest(range(count(*) * 3 // 5, count(*))) AS row FROM s) o JOIN s USING (row) LEFT JOIN c ON c.p = s.row - 1'))
+def smap_coefficient_rows(spark, d):
+    h = hourly(spark, d)
+    n = h.count()
+    r = api.SMap(h, "v", "v", span(LIB, n), span(PRED, n), 1, theta=3)["coefficients"].where(F.col("row") < n)
+    return r.select("row", "Time", F.round("C0", 4).alias("C0"), F.round("∂v/∂v(t-0)", 6).alias("∂v/∂v(t-0)"))
+
+
 _E2 = dict(columns=["click", "view"], target="click", lib=LIB, pred=PRED, embedded=True)
 
 
@@ -509,6 +574,18 @@ def smap_theta_rows_e1(spark, d):
     return _theta_rows(spark, d, _E1, [0.5, 2.0, 5.0]).select("theta", "p", F.round("predicted", 4).alias("predicted"))
 
 
+@query(f"""WITH {H}, {ROWS}, {near_sql('s', **_E1, k='(SELECT count(*) - 1 FROM l)')}, t AS (SELECT unnest([0.5, 5.0]::DOUBLE[]) AS theta),
+a AS (SELECT t.theta, k.*, q.x0 AS px, l.x0 AS lx, exp(-theta * dist / avg(dist) OVER (PARTITION BY theta, p)) AS w FROM k JOIN q ON q.row = k.p JOIN l ON l.row = k.l CROSS JOIN t),
+b AS (SELECT theta, p, any_value(px) AS px, {_FIT} FROM a GROUP BY ALL), m AS (SELECT theta, p, {_MADE} AS made FROM b)
+SELECT t.theta, s.row, s.time AS "Time", s.v AS "Observations", round(made, 4) AS "Predictions" FROM s CROSS JOIN t LEFT JOIN m ON m.theta = t.theta AND m.p = s.row - 1 WHERE s.row >= s.n * 3 // 5""")
+def smap_theta_frames(spark, d):
+    """The frames of a list of thetas, as of single maps."""
+    h = hourly(spark, d)
+    n = h.count()
+    r = api.SMap_theta(h, [0.5, 5.0], "v", "v", 1, lib=span(LIB, n), pred=span(PRED, n)).where(F.col("row") < n)
+    return r.select("theta", "row", "Time", "Observations", F.round("Predictions", 4).alias("Predictions"))
+
+
 def _tp_sql(tp: int) -> str:
     near = near_sql("s", **(_E1 | {"Tp": tp}), k=f"(SELECT count(*) - 1 FROM l{tp})", tag=tp)
     return f"""{near}, a{tp} AS (SELECT k.*, q.x0 AS px, l.x0 AS lx, exp(-2 * dist / avg(dist) OVER (PARTITION BY p)) AS w FROM k{tp} k JOIN q{tp} q ON q.row = k.p JOIN l{tp} l ON l.row = k.l),
@@ -557,6 +634,25 @@ def ccm_lib_means(spark, d):
     return r.select("LibSize", F.round("click:view", 6).alias("click:view"), F.round("view:click", 6).alias("view:click"))
 
 
+@query(f"WITH {HM}, {ROWS}, {ccm_sql('click', 'view', 2, [20, 100, 300], 3, 7, 'a')}, {ccm_sql('view', 'click', 2, [20, 100, 300], 3, 7, 'b')}, "
+       "a AS (SELECT lib_size, var_pop(rho) AS v FROM ra GROUP BY 1), b AS (SELECT lib_size, var_pop(rho) AS v FROM rb GROUP BY 1) SELECT lib_size AS \"LibSize\", round(a.v, 8) AS \"click:view_var\", round(b.v, 8) AS \"view:click_var\" FROM a JOIN b USING (lib_size)")
+def ccm_variances(spark, d):
+    r = ccm.lib_means(ccm.ccm(hourly_kinds(spark, d), "click", "view", [20, 100, 300], 3, 2, seed=7, time="time", sampler="hash"), "click", "view", True)
+    return r.select("LibSize", F.round("click:view_var", 8).alias("click:view_var"), F.round("view:click_var", 8).alias("view:click_var"))
+
+
+_ALL = dict(lib=WHOLE, pred=WHOLE, E=3, Tp=1)
+
+
+@query(f"WITH {HM}, {ROWS}, {near_sql('s', ['click'], 'view', **_ALL, tag='a')}, {made_sql('a')}, {near_sql('s', ['view'], 'click', **_ALL, tag='b')}, {made_sql('b')} " + " UNION ALL ".join(
+    f"SELECT '{x}' AS direction, round(corr(y, predicted), 5) AS rho, round(max(y - predicted), 5) AS \"MAE\", round(sum(abs(y - predicted)), 5) AS \"CAE\", round(sqrt(avg((y - predicted) * (y - predicted))), 5) AS \"RMSE\" FROM f{t} JOIN e{t} ON e{t}.row = f{t}.p WHERE y IS NOT NULL AND predicted IS NOT NULL"
+    for x, t in (("click:view", "a"), ("view:click", "b"))))
+def ccm_projected_full(spark, d):
+    """The older form with the whole library, which leaves nothing to chance."""
+    h = hourly_kinds(spark, d)
+    return ccm.ccm_projected(h, "click", "view", [h.count()], 1, 3, Tp=1, seed=1, time="time").select("direction", "rho", "MAE", "CAE", "RMSE")
+
+
 @query()
 def ccm_numpy_seed(spark, d):
     return ccm.ccm(hourly_kinds(spark, d), "click", "view", [20, 200, 60], 5, 3, seed=777, time="time").drop("series")
@@ -670,6 +766,12 @@ def crossmap_matrix(spark, d):
     return sweep.cross_map_matrix(h, _MX, 3, Tp=0, lib=lib, pred=pred, time="time").drop("series")
 
 
+@query(f"SELECT source, target, CASE WHEN rho >= 0.05 AND source <> target THEN rho END AS rho FROM ({sweep_sql(HM, [(lab.replace('columns', 'source'), kw) for lab, kw in _cross(_MX, _MX, 3, 0)])})")
+def crossmap_threshold(spark, d):
+    h, lib, pred = _split(hourly_kinds(spark, d))
+    return sweep.cross_map_matrix(h, _MX, 3, Tp=0, lib=lib, pred=pred, threshold=0.05, time="time").drop("series")
+
+
 @query(sweep_sql(HM, _cross(KINDS, ["view"], 2, 1)))
 def crossmap_columns(spark, d):
     h, lib, pred = _split(hourly_kinds(spark, d))
@@ -716,6 +818,20 @@ def generate_simplex(spark, d):
     return generate.generated(daily(spark, d).withColumn("t", F.datediff("day", F.lit("1990-01-01").cast("date"))), series.task("total", "total", E=3), 50, time="t")
 
 
+@query("""WITH RECURSIVE h AS (SELECT date_trunc('day', o_orderdate) AS day, round(sum(o_totalprice), 2) AS x FROM orders GROUP BY 1),
+s AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS row, count(*) OVER () AS n FROM h),
+e AS (SELECT *, lag(x) OVER (ORDER BY row) AS x1, lag(x, 2) OVER (ORDER BY row) AS x2, lead(x) OVER (ORDER BY row) AS y FROM s),
+l AS (SELECT * FROM e WHERE row BETWEEN 2 AND n - 2),
+g AS (SELECT 0 AS step, x AS a, x1 AS b, x2 AS c FROM e WHERE row = n - 1
+  UNION ALL SELECT step + 1, list_sum(list_transform(z, lambda k: exp(-k.d / greatest(list_min(list_transform(z, lambda q: q.d)), 1e-6)) * k.y)) / list_sum(list_transform(z, lambda k: exp(-k.d / greatest(list_min(list_transform(z, lambda q: q.d)), 1e-6)))), a, b
+  FROM (SELECT step, a, b, c, arg_min({'d': d, 'y': y}, {'r': round(d, 12), 'l': -row}, 4) AS z
+    FROM (SELECT g.step, g.a, g.b, g.c, l.row, l.y, sqrt((l.x - a) * (l.x - a) + (l.x1 - b) * (l.x1 - b) + (l.x2 - c) * (l.x2 - c)) AS d FROM g, l WHERE step < 50) GROUP BY step, a, b, c))
+SELECT g.step::INT AS step, (date_diff('day', DATE '1990-01-01', day) + g.step * (SELECT date_diff('day', min(day), max(day)) FROM s WHERE row < 2))::DOUBLE AS "Time", round(a, 2) AS "Predictions" FROM g, s WHERE s.row = n - 1 AND g.step > 0""")
+def generate_simplex_steps(spark, d):
+    """Each forecast is forecast from in turn."""
+    return generate_simplex(spark, d).select("step", "Time", F.round("Predictions", 2).alias("Predictions"))
+
+
 @query()
 def generate_smap(spark, d):
     return generate.generated(daily(spark, d).withColumn("t", F.datediff("day", F.lit("1990-01-01").cast("date"))), series.with_task(series.task("total", "total", E=3), knn=0), 30, theta=2.0, time="t").drop("coef", "sing")

@@ -67,10 +67,15 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelag-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    left_behind(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def left_behind(spark: SparkSession, path: str) -> None:
+    """Has a path that was written deleted when the driver ends, or by :func:`release`."""
     _left.setdefault(spark.sparkContext.applicationId, []).append(path)
     fs, at = _file_system(spark, path)
     fs.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -32,7 +32,7 @@ def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Writes by the ending of the path; .feather is collected by the driver, the others are written in parallel."""
+    """Writes by the ending of the path; .feather and .pkl are collected by the driver (and .pkl is never read back), the others are written in parallel."""
     kind = Path(path).suffix.lower()
     if kind == ".csv":
         df.write.mode(mode).option("header", True).csv(path)
@@ -42,6 +42,8 @@ def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         from pyarrow import feather
 
         feather.write_feather(df.toArrow(), path)
+    elif kind in (".pkl", ".pickle"):
+        df.toPandas().to_pickle(path)
     else:
         raise ValueError(f"can't write files that end in {kind!r}")
 
