@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.functions.skill import LEAST_ERROR, LEAST_PEARSON
-from tidelag.operators.neighbors import BLOCK, CELLS, FLOOR, PIECE, best, by_group, near_band, numbers
+from tidelag.operators.neighbors import BLOCK, CELLS, FLOOR, PIECE, PLACES, best, by_group, near_band, numbers
 from tidelag.operators.series import ArgumentError, beside, name_list, number_list, numbered
 
 
@@ -51,7 +51,7 @@ def cross_mapped(qx: np.ndarray, qt: np.ndarray, x: np.ndarray, t: np.ndarray, y
     """Predictions (columns of y) of the rows qx at times qt from a library x, t, y in order of time.
 
     Rows with fewer than k neighbours are NaN, or, if ``floored``, predicted from those they have, the least
-    distance being FLOOR at least.
+    distance being FLOOR at least. Equal distances go to the earlier row, or, if ``floored``, to the nearer in time first.
     """
     out = np.full((len(qx), y.shape[1]), np.nan)
     step = max(1, CELLS // max(1, len(x)))
@@ -67,7 +67,7 @@ def cross_mapped(qx: np.ndarray, qt: np.ndarray, x: np.ndarray, t: np.ndarray, y
         if not len(q):
             continue
         d = np.sqrt(d2[q, l])
-        o = np.lexsort((l, d, q))
+        o = np.lexsort((l, np.abs(qt[lo + q] - t[l]), np.round(d, PLACES), q)) if floored else np.lexsort((l, d, q))
         q, l, d = q[o], l[o], d[o]
         new = np.append(True, q[1:] != q[:-1])
         place = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
@@ -75,7 +75,7 @@ def cross_mapped(qx: np.ndarray, qt: np.ndarray, x: np.ndarray, t: np.ndarray, y
         q, l, d, place = q[keep], l[keep], d[keep], place[keep]
         start = np.flatnonzero(place == 0)
         size = np.diff(np.append(start, len(q)))
-        least = np.repeat(d[start], size)
+        least = np.repeat(np.minimum.reduceat(d, start), size)
         with np.errstate(all="ignore"):
             w = np.exp(-d / np.maximum(least, FLOOR)) if floored else np.where(least > 0, np.exp(-d / np.where(least > 0, least, 1.0)), (d == 0).astype(float))
         made = np.add.reduceat(w[:, None] * y[l], start) / np.add.reduceat(w, start)[:, None]

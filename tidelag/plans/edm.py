@@ -156,7 +156,9 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def forecast(spark, d, df, **kw) -> DataFrame:
-    return tidy(simplex.forecasts(series.prepared(df, [series.task(**spans(kw, df.count()))], "time")))
+    p = series.prepared(df, [series.task(**spans(kw, df.count()))], "time")
+    p.strict = False  # small tables may have no row that meets a condition
+    return tidy(simplex.forecasts(p))
 
 
 # ---- embedding ----
@@ -826,10 +828,10 @@ g AS (SELECT 0 AS step, x AS a, x1 AS b, x2 AS c FROM e WHERE row = n - 1
   UNION ALL SELECT step + 1, list_sum(list_transform(z, lambda k: exp(-k.d / greatest(list_min(list_transform(z, lambda q: q.d)), 1e-6)) * k.y)) / list_sum(list_transform(z, lambda k: exp(-k.d / greatest(list_min(list_transform(z, lambda q: q.d)), 1e-6)))), a, b
   FROM (SELECT step, a, b, c, arg_min({'d': d, 'y': y}, {'r': round(d, 12), 'l': -row}, 4) AS z
     FROM (SELECT g.step, g.a, g.b, g.c, l.row, l.y, sqrt((l.x - a) * (l.x - a) + (l.x1 - b) * (l.x1 - b) + (l.x2 - c) * (l.x2 - c)) AS d FROM g, l WHERE step < 50) GROUP BY step, a, b, c))
-SELECT g.step::INT AS step, (date_diff('day', DATE '1990-01-01', day) + g.step * (SELECT date_diff('day', min(day), max(day)) FROM s WHERE row < 2))::DOUBLE AS "Time", round(a, 2) AS "Predictions" FROM g, s WHERE s.row = n - 1 AND g.step > 0""")
+SELECT g.step::INT AS step, (date_diff('day', DATE '1990-01-01', day) + g.step * (SELECT date_diff('day', min(day), max(day)) FROM s WHERE row < 2))::DOUBLE AS "Time", round(a, 1) AS "Predictions" FROM g, s WHERE s.row = n - 1 AND g.step > 0""")
 def generate_simplex_steps(spark, d):
     """Each forecast is forecast from in turn."""
-    return generate_simplex(spark, d).select("step", "Time", F.round("Predictions", 2).alias("Predictions"))
+    return generate_simplex(spark, d).select("step", "Time", F.round("Predictions", 1).alias("Predictions"))
 
 
 @query()
