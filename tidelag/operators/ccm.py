@@ -133,7 +133,8 @@ def _crossed(base: DataFrame, alias: dict[str, str], sides: list[Side], sizes, p
     rows = rows.withColumn("of", groups).withColumn("blk", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     keys = ["series", "side", "blk", "grp"]
     parts = max(1, min(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), most))
-    rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "row")
+    turn = F.pmod(F.xxhash64("series"), F.lit(parts)) + (F.col("side") + F.col("blk") * len(sides)) * F.col("of") + F.col("grp")
+    rows = rows.repartitionById(parts, F.pmod(turn, F.lit(parts)).cast("int")).sortWithinPartitions(*keys, "row")
     schema = "series string, side int, lib_size int, sample int, tgt int, pairs bigint, sa double, sb double, saa double, sbb double, sab double, cae double, sq double, mae double"
     names = [c.split()[0] for c in schema.split(", ")]
 

@@ -167,11 +167,10 @@ def regular(
         if w is not None:
             source_rows = source_rows.join(w, "block")
         added = source_rows.mapInArrow(sums(known, i == 0), sum_schema).groupBy("block", "s").agg(*(F.sum(c).alias(c) for c in names), F.sum("n").alias("n"))
-        made = added.groupBy("block").applyInPandas(factors, "block int, w array<double>")
-        if few:  # at most FEW_BLOCKS factor tables of BLOCK x rank numbers: they go to each task once
-            known = sc.broadcast({r["block"]: np.array(r["w"], float) for r in made.collect()})
+        if few:  # at most FEW_BLOCKS x BLOCK sums come to the driver, and as many factors go to each task once
+            known = sc.broadcast({int(b): factors((b,), part)["w"].iloc[0] for b, part in added.toPandas().groupby("block")})
         else:
-            w = written(made)
+            w = written(added.groupBy("block").applyInPandas(factors, "block int, w array<double>"))
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidelag.operators.series import ArgumentError, Prepared, Task, lib_mask, lib_rows, obs_mask, pred_mask
 
 #: Predicted rows of a block, library rows of a piece, and distances that are held at once.
-BLOCK, PIECE, CELLS = 1024, 1 << 16, 1 << 19
+BLOCK, PIECE, CELLS = 1024, 1 << 16, 1 << 17
 #: Fixed value: least distance that weights are scaled by.
 FLOOR = 1e-6
 #: Places that distances are compared to.
@@ -50,7 +50,9 @@ def streamed(p: Prepared) -> DataFrame:
     rows = p.wide.withColumn("blk", F.explode(F.filter(blocks, predicted)))
     rows = rows.withColumn("own", F.col("blk") == own)
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
-    return rows.repartition(parts, "series", "blk").sortWithinPartitions("series", "blk", F.col("own").desc(), "row")
+    # the blocks of a series go round the partitions, so that each has as many
+    rows = rows.repartitionById(parts, F.pmod(F.pmod(F.xxhash64("series"), F.lit(parts)) + F.col("blk"), F.lit(parts)).cast("int"))
+    return rows.sortWithinPartitions("series", "blk", F.col("own").desc(), "row")
 
 
 @dataclass
@@ -191,8 +193,10 @@ def best(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if k < d2.shape[1]:
         kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
         most = np.where(np.isfinite(kth), (np.sqrt(kth) + 2 * 10.0**-PLACES) ** 2 * (1 + 1e-15), np.finfo(float).max)
-        return np.nonzero(d2 <= most[:, None])
-    return np.nonzero(d2 < np.inf)
+        at = np.flatnonzero(d2 <= most[:, None])
+    else:
+        at = np.flatnonzero(d2 < np.inf)
+    return np.divmod(at, d2.shape[1])
 
 
 def searched(p: Prepared, targets: list[list[int]], finish: Callable, schema: str) -> DataFrame:
@@ -205,7 +209,7 @@ def searched(p: Prepared, targets: list[list[int]], finish: Callable, schema: st
     valid = [p.valid.index(t.valid) if t.valid else None for t in tasks]
     order = sorted(range(len(tasks)), key=lambda i: (slots[i], i))
     sizes = len(p.dims), len(p.ys), len(p.valid), PIECE
-    cells, part = CELLS, max(1, CELLS // 64)
+    cells, part = CELLS, max(1, CELLS // 16)
     names = [c.split()[0] for c in schema.split(", ")]
     types = {c.split()[0]: {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")}
 
