@@ -129,7 +129,7 @@ def search(x: np.ndarray, p: np.ndarray, ids: np.ndarray, qx: np.ndarray, qp: np
             for j in range(m):
                 off = arrays[j][None, lo:hi] - qp[q, j, None]
                 hits += np.abs(off, out=off) <= half[q]
-            r, c = np.nonzero(hits >= threshold)
+            r, c = np.divmod(np.flatnonzero(hits >= threshold), max(1, hi - lo))
             c += lo
             d2 = np.zeros(len(r))
             for i in range(x.shape[1]):
