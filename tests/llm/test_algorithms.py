@@ -137,7 +137,9 @@ def test_majority_winners(spark, monkeypatch):
 # ---- nearest vectors ----
 
 
-def test_nearest_is_exact_over_many_blocks(spark):
+@pytest.mark.parametrize("most", [1 << 14, 4])
+def test_nearest_is_exact_over_many_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(knn, "MOST_BLOCKS", most)  # four blocks are cut on in place
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal(size=(500, 3)), rng.normal(5, 0.01, size=(300, 3)), np.round(rng.normal(size=(200, 3)), 0), np.tile([1.0, 2.0, 3.0], (90, 1)), [[40.0, 40.0, 40.0], [-60.0, 0.0, 0.0]]])
     ids = rng.permutation(len(x)) * 3
@@ -220,6 +222,17 @@ def test_a_count_against_the_threshold_loses_nothing():
         assert hits.min() >= threshold and (dims == 1 or threshold < m)
 
 
+def test_trees_are_grafted():
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(4000, 3))
+    axis, at = knn.fitted_blocks(p, 2, 3)
+    b = knn.block_of(p, axis, at)
+    below = {leaf: knn.fitted_blocks(p[b == leaf], 3, 3) for leaf in (0, 1, 3)}
+    got = knn.block_of(p, *knn.grafted(axis, at, below, 3))
+    want = np.array([8 * leaf + (knn.block_of(x[None], *below[leaf])[0] if leaf in below else 0) for leaf, x in zip(b, p)])
+    assert (got == want).all() and len(set(got)) == 25 and np.bincount(got[b != 2]).max() < 200
+
+
 def test_many_visitors_of_a_block_are_split(spark, monkeypatch):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(600), "a": rng.normal(size=600), "b": rng.normal(size=600)}))

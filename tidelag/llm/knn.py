@@ -25,8 +25,11 @@ from tidelag.shared import quoted, ship, written
 
 #: Vectors the block boundaries are fitted on, at most; every vector is put into a block.
 FIT_ROWS = 200_000
-#: Vectors a block is meant to hold, most blocks, and visitors of a block that a task takes.
+#: Vectors a block is meant to hold, most blocks that the driver fits, and visitors of a block that a task takes.
 BLOCK, MOST_BLOCKS, VISITORS = 2048, 1 << 14, 1 << 14
+#: Halvings by which each of those blocks is cut further where there are more vectors, and vectors of a final block that
+#: such cuts are fitted on.
+DEEPER, FIT_BLOCK = 6, 12
 #: Queries whose windows are counted at once, and cells of such a count.
 QUERIES, CELLS = 64, 1 << 18
 #: Growth of the reach; share of a block's vectors that its first reach is meant to suffice for.
@@ -71,6 +74,18 @@ def fitted_blocks(p: np.ndarray, depth: int, axes: int) -> tuple[np.ndarray, np.
     return axis, at
 
 
+def grafted(axis: np.ndarray, at: np.ndarray, below: dict[int, tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tree whose blocks are cut by the trees ``below``, of ``depth`` halvings each, on."""
+    leaves = len(axis)
+    out_axis, out_at = np.zeros(leaves << depth, np.int64), np.full(leaves << depth, np.inf)
+    out_axis[:leaves], out_at[:leaves] = axis, at
+    for leaf, (a, t) in below.items():
+        for j in range(depth):
+            node = (leaves + leaf) << j
+            out_axis[node : node + (1 << j)], out_at[node : node + (1 << j)] = a[1 << j : 2 << j], t[1 << j : 2 << j]
+    return out_axis, out_at
+
+
 def block_of(p: np.ndarray, axis: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Block of each row of projections."""
     node = np.ones(len(p), np.int64)
@@ -193,6 +208,27 @@ def _members(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(m.offsets.to_numpy()), m.flatten().to_numpy()
 
 
+def _cut_on(vectors: DataFrame, n: int, axis: np.ndarray, at: np.ndarray, deeper: int, dirs: np.ndarray, axes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tree with each of its blocks cut ``deeper`` times more.
+
+    A block's cuts are fitted by the task that has its sample, FIT_BLOCK vectors for each final block on average; what
+    comes to the driver are the nodes, of which there are at most MOST_BLOCKS << DEEPER.
+    """
+    xs = vectors.columns
+
+    @F.pandas_udf("int")
+    def placed(v: pd.DataFrame) -> pd.Series:
+        return pd.Series(block_of(projected(v.to_numpy(float), dirs), axis, at).astype(np.int32))
+
+    def fit(t: pa.Table) -> pa.Table:
+        a, c = fitted_blocks(projected(_columns(t, xs), dirs), deeper, axes)
+        return pa.table({"b": pa.array([t["b"][0].as_py()], pa.int32()), "axis": pa.array([a], pa.list_(pa.int64())), "at": pa.array([c], pa.list_(pa.float64()))})
+
+    some = vectors.sample(min(1.0, FIT_BLOCK * (len(axis) << deeper) / n), seed=seed)
+    trees = some.withColumn("b", placed(F.struct(*xs))).groupBy("b").applyInArrow(fit, "b int, axis array<bigint>, at array<double>").collect()
+    return grafted(axis, at, {r["b"]: (np.array(r["axis"]), np.array(r["at"])) for r in trees}, deeper)
+
+
 def nearest(
     df: DataFrame, key: str, columns: Sequence[str], k: int = 5, below: float = np.inf, projections: int | None = None, width: float | None = None, threshold: int | None = None, seed: int = 1, block: int = BLOCK
 ) -> DataFrame:
@@ -209,7 +245,8 @@ def nearest(
         give no rows.
 
     Equal vectors are one point, so that no number of copies makes a block large. Blocks are cut by medians along
-    the projections, fitted on at most FIT_ROWS vectors; each vector is first searched in its own block, which bounds
+    the projections, fitted on at most FIT_ROWS vectors (from MOST_BLOCKS blocks on, each is cut further by a sample of its
+    own); each vector is first searched in its own block, which bounds
     how far its neighbours can be, and then only in those blocks that its window touches.
     """
     ship(df.sparkSession)
@@ -233,8 +270,12 @@ def nearest(
     sample = points.select(*xs)
     if n > FIT_ROWS:
         sample = sample.sample(FIT_ROWS / n * 0.95, seed=seed)
-    depth = min(max(0, int(np.ceil(np.log2(max(1, n) / block)))), MOST_BLOCKS.bit_length() - 1)
+    want = max(0, int(np.ceil(np.log2(max(1, n) / block))))
+    depth = min(want, MOST_BLOCKS.bit_length() - 1)
     axis, at = fitted_blocks(projected(sample.toPandas().to_numpy(float).reshape(-1, dims), dirs), depth, axes)
+    deeper = min(want - depth, DEEPER)
+    if deeper:
+        axis, at = _cut_on(points.select(*xs), n, axis, at, deeper, dirs, axes, seed)
 
     @F.pandas_udf("int")
     def placed(v: pd.DataFrame) -> pd.Series:
@@ -261,8 +302,9 @@ def nearest(
 
     first = written(points.groupBy("b").applyInArrow(own, f"{vectors}, id bigint, members array<bigint>, reach double, d2 array<double>, ids array<bigint>, others array<int>"))
     visits = first.select("id", *xs, "reach", F.explode("others").alias("b"))
-    # a block with many visitors stands in several parts, each of which takes some; there are at most MOST_BLOCKS blocks
-    parts = F.broadcast(visits.groupBy("b").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts")))
+    # a block with many visitors stands in several parts, each of which takes some
+    parts = visits.groupBy("b").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
+    parts = parts if deeper else F.broadcast(parts)  # a row for each of at most MOST_BLOCKS blocks
     visits = visits.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     hosts = points.join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     hosts = hosts.select(*(F.col(c).alias(c) for c in [*xs, "members", "b", "part"]))
