@@ -29,8 +29,8 @@ TOGETHER = 1 << 16
 SPREAD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), 0x632BE59BD9B4E019)
 #: Bytes of the digests by which texts are compared.
 DIGEST = 16
-#: Keys up to which those of several records are sent to every task; more of them are joined by a shuffle.
-FEW_KEYS = 1 << 19
+#: Keys, and spans of them, up to which those of several records are sent to every task; more are joined by a shuffle.
+FEW_KEYS = 1 << 18
 #: Stretches that a task puts out at once.
 ROWS_OUT = 1 << 16
 #: Windows of a text that are parsed at once; a longer text is parsed in parts. As only what lies inside a window is in its
@@ -264,14 +264,15 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     # what all windows of a stretch cover, its span, is compared first
     parts = written(per_record(chosen).mapInArrow(whole_spans, f"k {kind}, w bigint, h0 bigint, h1 bigint, x0 int, x1 int"))
     spans = written(parts.groupBy("w", "h0", "h1").agg(F.min("k").alias("a"), F.max("k").alias("b")))
+    few = F.broadcast if spans.count() <= FEW_KEYS else lambda x: x
     keys = spans.groupBy("w").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max((F.col("a") == F.col("b")).cast("int")).alias("single"))
     whole = spans.where("a <> b").select("w", "h0", "h1")
-    settled = parts.join(whole, ["w", "h0", "h1"], "left_semi").select("k", "x0", "x1")
+    settled = parts.join(few(whole), ["w", "h0", "h1"], "left_semi").select("k", "x0", "x1")
     open_keys = keys.where("a <> b AND single = 1").select("w")
     # of each span of an open key the least and the greatest record stand for all, as one of them is another record than
     # any that is asked; the others of a span that is in two records are settled
-    stands = spans.join(open_keys, "w", "left_semi").select("w", "h0", "h1", F.explode(F.array_distinct(F.array("a", "b"))).alias("k"))
-    asked = parts.join(stands, ["w", "h0", "h1", "k"], "left_semi").select("k", "w", "x0", "x1")
+    stands = spans.join(few(open_keys), "w", "left_semi").select("w", "h0", "h1", F.explode(F.array_distinct(F.array("a", "b"))).alias("k"))
+    asked = parts.join(few(stands), ["w", "h0", "h1", "k"], "left_semi").select("k", "w", "x0", "x1")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
