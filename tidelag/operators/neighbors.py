@@ -3,7 +3,8 @@
 Predicted rows of a series are cut into blocks; a block's task gets the block and streams the library past it, keeping
 the k best so far. No pair leaves the task and no series is held by one. All tasks of a plan (a sweep's values, a
 multiview's combinations) are worked on where the rows lie: squared differences are shared by tasks whose
-embeddings begin alike, and the whole distance by those that differ only in horizon, radius, k or rows.
+embeddings begin alike, and the whole distance by those that differ only in horizon, radius, k or rows. Blocks of a long
+series are wider, and a tree of the library tells which of it is near (:mod:`tidelag.operators.tree`).
 """
 
 from __future__ import annotations
@@ -16,20 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelag.operators import tree
 from tidelag.operators.series import ArgumentError, Prepared, Task, lib_mask, lib_rows, obs_mask, pred_mask
 
 #: Predicted rows of a block, library rows of a piece, and distances that are held at once.
 BLOCK, PIECE, CELLS = 1024, 1 << 16, 1 << 17
+#: Blocks of a long series: how many it is cut into, rows of one at most, rows that a task holds before it searches them,
+#: predicted rows that are searched together, and neighbours up to which a tree is used.
+SHARE, WIDE, HELD, SUB, TREE_K = 16, 1 << 19, 3 << 19, 1 << 14, 64
 #: Fixed value: least distance that weights are scaled by.
 FLOOR = 1e-6
 #: Places that distances are compared to.
 PLACES = 12
 
 
-def streamed(p: Prepared) -> DataFrame:
+def streamed(p: Prepared, wider: bool = False) -> DataFrame:
     """Rows of use, by (series, blk): first the rows of the block itself (own), then the library of the whole series.
 
-    Rows of the library stand in every block that a task predicts rows of, others only in their own.
+    Rows of the library stand in every block that a task predicts rows of, others only in their own. With ``wider`` a
+    series of more than SHARE blocks is cut into so many, unless they pass WIDE rows.
     """
     spark = p.wide.sparkSession
     rule = lambda t: (t.lib, t.tp, t.tau, t.e, t.embedded)
@@ -37,16 +43,17 @@ def streamed(p: Prepared) -> DataFrame:
     for t in {rule(t): t for t in p.tasks}.values():
         teach = teach | lib_rows(t)
     n = F.col("n")
+    width = F.greatest(F.lit(BLOCK), F.least(F.lit(max(BLOCK, WIDE)), F.ceil(n / (SHARE * BLOCK)) * BLOCK)) if wider else F.lit(BLOCK)
 
     def predicted(b):
         ok = F.lit(False)
         for spans in {t.pred for t in p.tasks}:
             for lo, hi in spans or ((1, n),):
-                ok = ok | ((b * BLOCK <= hi - 1) & (b * BLOCK + (BLOCK - 1) >= lo - 1))
+                ok = ok | ((b * width <= hi - 1) & (b * width + (width - 1) >= lo - 1))
         return ok
 
-    own = F.floor(F.col("row") / BLOCK).cast("int")
-    blocks = F.when(teach, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array(own))
+    own = F.floor(F.col("row") / width).cast("int")
+    blocks = F.when(teach, F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).otherwise(F.array(own))
     rows = p.wide.withColumn("blk", F.explode(F.filter(blocks, predicted)))
     rows = rows.withColumn("own", F.col("blk") == own)
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
@@ -74,6 +81,13 @@ class Piece:
         s = slice(a, b)
         return Piece(self.series, self.row[s], self.n, self.own[s], self.x[s], self.y[s], self.valid[s], self.teaches[s], self.predicted[s], self.only)
 
+    @staticmethod
+    def joined(parts: list[Piece]) -> Piece:
+        """Pieces of one group as one, by row."""
+        at = np.argsort(np.concatenate([p.row for p in parts]), kind="stable")  # own rows stand before the others
+        every = lambda f: np.concatenate([getattr(p, f) for p in parts])[at]
+        return Piece(parts[0].series, every("row"), parts[0].n, *(every(f) for f in ("own", "x", "y", "valid", "teaches", "predicted")), parts[0].only)
+
 
 def changes(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
     """Marks rows whose key differs from that of the row before, the first row always."""
@@ -127,7 +141,7 @@ def numbers(t: pa.Table, names: Sequence[str]) -> np.ndarray:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], dims: int, ys: int, valid: int, piece: int) -> Iterator[tuple[bool, Piece]]:
-    """(whether a new group begins, piece); the first piece of a group holds all of its own rows."""
+    """(whether a new group begins, piece); the first piece of a group holds all of its own rows, unless its block is wider than a piece."""
     last = None
     for key, t, start in by_group(batches, ["series", "blk"], piece):
         at = np.flatnonzero(start)
@@ -251,22 +265,74 @@ def searched(p: Prepared, targets: list[list[int]], finish: Callable, schema: st
                 r, c = best(d2, tasks[i].knn)
                 d = np.sqrt(d2[r, c])
                 new = (a + q[r], lrow[c], d, np.abs(prow[r] - lrow[c]), piece.y[l[c]][:, targets[i]])
-                kept.setdefault(i, []).append(trimmed(*new, tasks[i].knn)[:5])
-                if len(kept[i]) > 1 and sum(len(z[0]) for z in kept[i]) > cells:
-                    kept[i] = [trimmed(*(np.concatenate(z) for z in zip(*kept[i])), tasks[i].knn)[:5]]
+                kept.setdefault((i, 0), []).append(trimmed(*new, tasks[i].knn)[:5])
+                if len(kept[i, 0]) > 1 and sum(len(z[0]) for z in kept[i, 0]) > cells:
+                    kept[i, 0] = [trimmed(*(np.concatenate(z) for z in zip(*kept[i, 0])), tasks[i].knn)[:5]]
+
+    def predicted_rows(block: Piece) -> dict:
+        return {i: q for i, t in enumerate(tasks) if block.only is None or i in block.only for q in [chosen(block, t, slots[i], valid[i], False)] if len(q)}
+
+    def search_tree(block: Piece, mine: dict, subs: dict, piece: Piece, kept: dict, met: dict) -> None:
+        """As search, for many predicted rows and a large piece of the library."""
+        trees: dict = {}
+        for i in mine:
+            t = tasks[i]
+            q, l = mine[i], chosen(piece, t, slots[i], valid[i], True)
+            met[i] = met.get(i, 0) + len(l)
+            if not len(l):
+                continue
+            x, lx, lrow = np.stack([block.x[q, c] for c in slots[i]]), np.stack([piece.x[l, c] for c in slots[i]]), piece.row[l]
+            around = np.searchsorted(lrow, block.row[q] + t.radius, "right") - np.searchsorted(lrow, block.row[q] - t.radius, "left")
+            k = t.knn + int(around.max())  # as many points may have rows within the radius only
+            key = (tuple(slots[i]), t.lib, t.valid, t.tp, t.tau, t.e, t.embedded, max(tree.LEAF, k))
+            known = k <= TREE_K and tree.fit(x) and tree.fit(lx)
+            if known and key not in trees:
+                trees[key] = tree.grown(lx, k)
+            if i not in subs:
+                at, begin = tree.halved(x, max(1, SUB // 2)) if known else (np.arange(len(q)), np.arange(0, len(q), BLOCK))
+                subs[i] = np.split(at, begin[1:])
+            for s, at in enumerate(subs[i]):
+                if known:
+                    for of, point, d2 in tree.closest(trees[key], x[:, at], k, 2 * 10.0**-PLACES, cells, best):
+                        pair, near = tree.rows_near(trees[key], lrow, block.row[q[at[of]]], point, t.knn, t.radius)
+                        a = q[at[of[pair]]]
+                        new = (a, lrow[near], np.sqrt(d2[pair]), np.abs(block.row[a] - lrow[near]), piece.y[l[near]][:, targets[i]])
+                        kept.setdefault((i, s), []).append(trimmed(*new, t.knn))
+                else:
+                    some, found = np.sort(q[at]), {}
+                    sub = block.part(int(some[0]), int(some[-1]) + 1)
+                    for lo in range(0, len(piece.row), part):
+                        search(sub, {i: some - some[0]}, piece.part(lo, lo + part), found, {})
+                    kept.setdefault((i, s), []).extend((z[0] + some[0], *z[1:]) for z in found.get((i, 0), ()))
+                if len(kept.get((i, s), ())) > 1:
+                    kept[i, s] = [trimmed(*(np.concatenate(z) for z in zip(*(f[:5] for f in kept[i, s]))), t.knn)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         rows = 0
-        block = mine = kept = met = None
+        block = mine = kept = met = subs = None
+        held: list[Piece] = []
+
+        def search_held() -> None:
+            nonlocal block, mine
+            if not held:
+                return
+            piece = Piece.joined(held)
+            held.clear()
+            if block is None:
+                block = piece.part(*(int(z) for z in np.searchsorted(piece.row, [piece.row[piece.own].min(), piece.row[piece.own].max() + 1]))) if piece.own.any() else piece.part(0, 0)
+                mine = predicted_rows(block)
+            if mine:
+                search_tree(block, mine, subs, piece, kept, met)
 
         def close() -> None:
             nonlocal rows
+            search_held()
             for i in mine or ():
                 checked(tasks[i], met.get(i, 0), tasks[i].knn, strict)
-            for i, found in (kept or {}).items():
+            for (i, _), found in (kept or {}).items():
                 t = found[0] if len(found) == 1 else tuple(np.concatenate(z) for z in zip(*found))
-                got = finish(i, block, *trimmed(*t, tasks[i].knn))
+                got = finish(i, block, *(t if len(t) == 6 else trimmed(*t, tasks[i].knn)))
                 m = len(got["p"])
                 if m:
                     out.append({"series": pa.array([block.series] * m, pa.string()), "task": pa.array(np.full(m, i, np.int32)), **{c: pa.array(v, types[c], from_pandas=True) for c, v in got.items()}})
@@ -284,18 +350,23 @@ def searched(p: Prepared, targets: list[list[int]], finish: Callable, schema: st
                 close()
                 if rows > 1 << 14:
                     yield from put()
-                block = piece.part(0, int(piece.own.sum()))
-                mine = {i: q for i, t in enumerate(tasks) if piece.only is None or i in piece.only for q in [chosen(block, t, slots[i], valid[i], False)] if len(q)}
-                kept, met = {}, {}
-            if mine:
-                at = np.argsort(piece.row, kind="stable")  # own rows stand before the others
-                piece = Piece(piece.series, piece.row[at], piece.n, piece.own[at], piece.x[at], piece.y[at], piece.valid[at], piece.teaches[at], piece.predicted[at], piece.only)
+                block = mine = None
+                kept, met, subs = {}, {}, {}
+                if piece.n <= SHARE * BLOCK:
+                    block = piece.part(0, int(piece.own.sum()))
+                    mine = predicted_rows(block)
+            if piece.n > SHARE * BLOCK:
+                held.append(piece)
+                if sum(len(h.row) for h in held) >= HELD and not piece.own[-1]:
+                    search_held()
+            elif mine:
+                piece = Piece.joined([piece])
                 for lo in range(0, len(piece.row), part):
                     search(block, mine, piece.part(lo, lo + part), kept, met)
         close()
         yield from put()
 
-    return streamed(p).mapInArrow(run, schema)
+    return streamed(p, True).mapInArrow(run, schema)
 
 
 def nearest(p: Prepared) -> DataFrame:

@@ -96,12 +96,13 @@ def task(columns, target, lib=None, pred=None, E=0, Tp=1, knn=0, tau=-1, radius=
 BIG_BYTES, BIG_ROWS, SPAN, RANGES = 1 << 28, 1 << 20, 1 << 16, 64
 
 
-def numbered(df: DataFrame, columns: Iterable[str], time: str | None = None, series: str | None = None, order: Sequence[str] = (), extra: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def numbered(df: DataFrame, columns: Iterable[str], time: str | None = None, series: str | None = None, order: Sequence[str] = (), extra: dict[str, Column] | None = None, rows_known: int | None = None) -> tuple[DataFrame, dict[str, str]]:
     """series, row (from 0), n, time and the columns as doubles, and the internal name of each column.
 
     Rows are ordered by ``order`` if given, else by ``time``; a table has no other order. NaN becomes null. A large table
     is cut into ranges of the first order column: rows are numbered within a range, and each range's offset comes
-    from the counts of those before, so that no series is ordered by one task.
+    from the counts of those before, so that no series is ordered by one task. Whether it is large is told by its rows
+    where these are known, else by an estimate.
     """
     ship(df.sparkSession)
     columns = list(dict.fromkeys(columns))
@@ -119,7 +120,7 @@ def numbered(df: DataFrame, columns: Iterable[str], time: str | None = None, ser
         *((v.alias(k)) for k, v in (extra or {}).items()),
     )
     by = [f"_o{i}" for i in range(len(order))] or ["time"]
-    cuts = _cuts(rows, by[0])
+    cuts = _cuts(rows, by[0], rows_known)
     if cuts is None:
         w = Window.partitionBy("series")
         rows = rows.withColumn("row", F.row_number().over(w.orderBy(*by)).cast("bigint") - 1).withColumn("n", F.count("*").over(w).cast("bigint"))
@@ -145,12 +146,12 @@ def _ordinal(c: Column, kind: str) -> Column | None:
     return None if kind in ("string", "boolean", "binary", "struct", "array", "map") else c.cast("double")
 
 
-def _cuts(rows: DataFrame, first: str) -> list[float] | None:
+def _cuts(rows: DataFrame, first: str, known: int | None = None) -> list[float] | None:
     """Values at which a large table is cut; None if it is small, or its order column can't be cut."""
     at = _ordinal(F.col(first), rows.schema[first].dataType.typeName())
-    if at is None or estimated_bytes(rows) <= BIG_BYTES:
+    if at is None or (estimated_bytes(rows) <= BIG_BYTES if known is None else known <= BIG_ROWS):
         return None
-    n, q = rows.agg(F.count("*"), F.percentile_approx(at, [i / RANGES for i in range(1, RANGES)], 1000)).first()
+    n, q = rows.agg(F.count("*") if known is None else F.lit(known), F.percentile_approx(at, [i / RANGES for i in range(1, RANGES)], 1000)).first()
     return None if n <= BIG_ROWS or not q else sorted(set(q))
 
 
@@ -162,13 +163,13 @@ def estimated_bytes(df: DataFrame) -> int:
         return 0
 
 
-def beside(base: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+def beside(base: DataFrame, wanted: dict[str, tuple[str, int]], rows_known: int | None = None) -> DataFrame:
     """Adds columns by name: the value of a column so many rows later (earlier if negative).
 
     The rows of a large table are worked on in parts of SPAN rows, to which those that the shifts reach are added.
     """
     moves = [s for _, s in wanted.values()]
-    if not any(moves) or estimated_bytes(base) <= BIG_BYTES:
+    if not any(moves) or (estimated_bytes(base) <= BIG_BYTES if rows_known is None else rows_known <= BIG_ROWS):
         return base.select("*", *(shifted(c, s).alias(a) for a, (c, s) in wanted.items()))
     lo, hi = min(0, *moves), max(0, *moves)
     part = base.withColumn("_b", F.explode(F.sequence(F.floor((F.col("row") - hi) / SPAN), F.floor((F.col("row") - lo) / SPAN))))
@@ -277,20 +278,21 @@ class Prepared:
         return [self.dims.index(x) for x in t.dims]
 
 
-def prepared(df: DataFrame, tasks: list[Task], time: str | None = None, series: str | None = None, order: Sequence[str] = (), targets: Iterable[tuple[str, int]] = ()) -> Prepared:
+def prepared(df: DataFrame, tasks: list[Task], time: str | None = None, series: str | None = None, order: Sequence[str] = (), targets: Iterable[tuple[str, int]] = (), rows_known: int | None = None) -> Prepared:
     """The table of a set of tasks; ``targets`` (column and rows ahead) are put beside each row along with those of the tasks.
 
     With one series (strict) spans must lie within it, and a library with a condition must hold k rows: else the
     task that meets it raises. With many, a span ends where its series does. A task that doesn't ignore missing
-    values (``ignore_nan`` False) raises where its library or its predicted rows hold one.
+    values (``ignore_nan`` False) raises where its library or its predicted rows hold one. ``rows_known`` is the number of
+    the table's rows, where it has been counted.
     """
     valid = list(dict.fromkeys(t.valid for t in tasks if t.valid))
     columns = [c for t in tasks for c, _ in t.dims] + [t.target for t in tasks] + [c for c, _ in targets]
-    base, alias = numbered(df, columns, time, series, order, {f"v{i}": F.coalesce(F.expr(v).cast("boolean"), F.lit(False)) for i, v in enumerate(valid)})
+    base, alias = numbered(df, columns, time, series, order, {f"v{i}": F.coalesce(F.expr(v).cast("boolean"), F.lit(False)) for i, v in enumerate(valid)}, rows_known)
     dims = list(dict.fromkeys(x for t in tasks for x in t.dims))
     ys = list(dict.fromkeys([*((t.target, t.tp) for t in tasks), *targets]))
     wanted = {f"d{i}": (alias[c], s) for i, (c, s) in enumerate(dims)} | {f"y{i}": (alias[c], s) for i, (c, s) in enumerate(ys)}
-    wide = beside(base, wanted).select("series", "row", "n", *wanted, *(f"v{i}" for i in range(len(valid))))
+    wide = beside(base, wanted, rows_known).select("series", "row", "n", *wanted, *(f"v{i}" for i in range(len(valid))))
     if series is None:
         last = max((b for t in tasks for spans in (t.lib, t.pred) for _, b in spans or ()), default=0)
         if last:

@@ -370,7 +370,8 @@ _LONG = dict(columns=["v"], target="v", lib=[1, Part(1, 10)], pred=[Part(1, 10,
 def simplex_long_series(spark, d):
     """All events as one series, which its first tenth forecasts: many blocks of predicted rows."""
     e = table(spark, d, "events").select("ts", "event_id", F.col("value").alias("v"))
-    p = series.prepared(e, [series.task(**spans(_LONG, e.count()))], order=["ts", "event_id"])
+    n = e.count()
+    p = series.prepared(e, [series.task(**spans(_LONG, n))], order=["ts", "event_id"], rows_known=n)
     return simplex.forecasts(p).select(F.col("p").alias("row"), F.round("predicted", 6).alias("predicted"))
 
 
